@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from weblathe.llm import quality_rules
+from weblathe.llm import exact_dedup, quality_rules
 
 
 def queries() -> dict:
-    return {"op6_quality_rules": quality_rules.query}
+    return {
+        "op2_exact_dedup": exact_dedup.query,
+        "op6_quality_rules": quality_rules.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op6_quality_rules": quality_rules.ORACLE_SQL,
+    }
