@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weblathe.llm import exact_dedup, quality_rules
+from weblathe.llm import exact_dedup, quality_rules, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.query,
         "op6_quality_rules": quality_rules.query,
+        "op7_token_counts": token_counts.query,
     }
 
 
