@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from weblathe.llm import exact_dedup, quality_rules, token_counts
+from weblathe.llm import exact_dedup, license_scan, mixing, quality_rules, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.query,
+        "op5_license_scan": license_scan.query,
         "op6_quality_rules": quality_rules.query,
         "op7_token_counts": token_counts.query,
+        "op8_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op5_license_scan": license_scan.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
     }
