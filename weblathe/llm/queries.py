@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from weblathe.llm import exact_dedup, license_scan, mixing, quality_rules, token_counts
+from weblathe.llm import exact_dedup, license_scan, mixing, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": url_filter.query,
         "op2_exact_dedup": exact_dedup.query,
         "op5_license_scan": license_scan.query,
         "op6_quality_rules": quality_rules.query,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": url_filter.ORACLE_SQL,
         "op2_exact_dedup": exact_dedup.ORACLE_SQL,
         "op5_license_scan": license_scan.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,

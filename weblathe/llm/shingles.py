@@ -92,7 +92,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = sums[source]
     for i in np.flatnonzero((count > 0) & (count < SHINGLE)):
         c = count[i]
-        out[firsts[i]] = (words[at[i] : at[i + 1]] * _STEP[:c]).sum(dtype=np.uint64) + _SHORT[c]
+        out[firsts[i]] = np.append(words[at[i] : at[i + 1]] * _STEP[:c], _SHORT[c]).sum(dtype=np.uint64)
     out = mix(out)
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
         out[a:b].sort()
