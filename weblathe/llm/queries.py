@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weblathe.llm import exact_dedup, license_scan, mixing, quality_rules, token_counts, url_filter
+from weblathe.llm import exact_dedup, jaccard_join, license_scan, mixing, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_quality_rules": quality_rules.query,
         "op7_token_counts": token_counts.query,
         "op8_mixing": mixing.query,
+        "op10_jaccard_join": jaccard_join.query,
     }
 
 
