@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weblathe.llm import exact_dedup, jaccard_join, license_scan, mixing, quality_rules, token_counts, url_filter
+from weblathe.llm import exact_dedup, jaccard_join, license_scan, mixing, pieces, quality_rules, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.query,
         "op2_exact_dedup": exact_dedup.query,
+        "op4_pieces": pieces.query,
         "op5_license_scan": license_scan.query,
         "op6_quality_rules": quality_rules.query,
         "op7_token_counts": token_counts.query,
