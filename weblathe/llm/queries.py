@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from weblathe.llm import exact_dedup, jaccard_join, license_scan, mixing, pieces, quality_rules, token_counts, url_filter
+from weblathe.llm import exact_dedup, jaccard_join, license_scan, mixing, pieces, quality_model, quality_rules, site_style, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.query,
         "op2_exact_dedup": exact_dedup.query,
+        "op3_site_style": site_style.query,
         "op4_pieces": pieces.query,
         "op5_license_scan": license_scan.query,
         "op6_quality_rules": quality_rules.query,
         "op7_token_counts": token_counts.query,
         "op8_mixing": mixing.query,
+        "op9_quality_model": quality_model.query,
         "op10_jaccard_join": jaccard_join.query,
     }
 
