@@ -32,7 +32,9 @@ from weblathe.llm.jaccard_join import slices
 
 MARK = "▁"
 #: Words whose ids a worker keeps at most, from one batch to the next.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Bytes of text that are indexed at a time.
+SLICE = 800_000
 _FAR = np.iinfo(np.int64).max
 
 
@@ -304,7 +306,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(tokenizer)
         for batch in batches:
-            for start, n in slices(batch.column(len(keep))):
+            for start, n in slices(batch.column(len(keep)), SLICE):
                 part = batch.slice(start, n)
                 texts = part.column(len(keep)).to_pylist()
                 ids, at = own.encode(texts)
