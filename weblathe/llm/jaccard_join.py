@@ -12,9 +12,10 @@ prefix of a set that has fewer is all its own: it has no candidate. So
 3. With r shared shingles left, a prefix of r - need + 1 has to meet the other set's prefix, under any order that both
    use. Candidates come from the first order (rarest first), by its prefix, lengths and positions; they must also
    meet in the prefixes of the second (rarest first, other ties) and third (by hash) order before they are verified.
-4. Links are first sought to one leader a prefix shingle, under two orders, and merged into components. What is left are
-   pairs between different components only: every candidate pair among these is verified. So no link between components
-   is lost, and no group of copies is expanded into its pairs.
+4. Links are first sought to one leader a prefix shingle, under two orders and then anew among the components that
+   still meet, and merged into components. What is left are pairs between different components only. The join that finds them refuses, in its own condition, pairs whose 512
+   parities (each shingle flips one) show that they differ in too many shingles; every other pair is verified. So no link
+   between components is lost, and no group of copies is expanded into its pairs.
 
 Null and empty texts have no shingles and link with nothing: their component is their own doc_id. The component of a
 group of rows is its smallest doc_id that isn't null, so a null id takes part with the others; a component of null ids
@@ -39,17 +40,21 @@ from weblathe.llm.shingles import mix, shingle_sets
 from weblathe.llm.url_filter import MAX_BYTES, Level, level
 
 PERCENT = 75
+#: How often links are sought to one leader a shingle before all pairs of different components are.
+ROUNDS = 2
+#: Parities kept of each set.
+BITS = 512
 #: Shingles that meet in one task, about.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Shingles that a task holds before it sends them.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 #: Characters of text that are fingerprinted at a time.
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about SLICE bytes."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about so many bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
     at = 0
     for n in np.unique(size, return_counts=True)[1].tolist():
         yield at, n
@@ -67,6 +72,19 @@ def fingerprints(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     return a.view(np.int64), b.view(np.int64)
 
 
+def parities(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """BITS parities of each set, as 64-bit words: every shingle flips one, so sets differ in at least as many shingles as bits."""
+    place = mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)
+    bit = np.left_shift(np.uint64(1), place & np.uint64(63))
+    word = (place >> np.uint64(6)).astype(np.int64)
+    out = np.zeros((len(at) - 1, BITS // 64), np.uint64)
+    some = np.flatnonzero(np.diff(at))
+    for k in range(BITS // 64):
+        if len(some):
+            out[some, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), at[some])
+    return out.view(np.int64)
+
+
 # Step 1: which texts can have a link
 
 
@@ -179,20 +197,23 @@ def with_sets(docs: DataFrame, some: Level | None) -> DataFrame:
                 shown = np.repeat(keep, n)
                 offsets = np.concatenate(([0], np.cumsum(np.where(keep, n, 0)))).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~keep, False)), pa.array(values[shown].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(a), pa.array(b), sets], names=["doc_id", "n", "a", "b", "shingles"])
+                bits = parities(values, at).reshape(-1)[np.repeat(keep, BITS // 64)]
+                ends = np.concatenate(([0], np.cumsum(np.where(keep, BITS // 64, 0)))).astype(np.int32)
+                flags = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~keep, False)), pa.array(bits))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(a), pa.array(b), sets, flags], names=["doc_id", "n", "a", "b", "shingles", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, shingles array<long>, bits array<long>")
 
 
 def shared_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """id, n, need, r and three orders of the r shingles that other sets have too: o1 whole, o2 and o3 prefixes."""
-    one = sets.filter("shingles IS NOT NULL").groupBy("a").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.min("b").alias("b"), F.max("b").alias("c"))
-    one = kept(one.filter(F.assert_true(F.col("b") == F.col("c"), "two sets have one fingerprint").isNull()).select(F.col("a").alias("id"), "n", "shingles"))
+    one = sets.filter("shingles IS NOT NULL").groupBy("a").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"), F.min("b").alias("b"), F.max("b").alias("c"))
+    one = kept(one.filter(F.assert_true(F.col("b") == F.col("c"), "two sets have one fingerprint").isNull()).select(F.col("a").alias("id"), "n", "shingles", "bits"))
     rows = one.select("id", F.explode("shingles").alias("s"))
     often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     need = F.ceil(F.col("n") * percent / 100).cast("long")
     lists = rows.join(often, "s").groupBy("id").agg(F.collect_list(F.struct("df", "s")).alias("found"))  # at most a text's shingles
-    out = lists.join(one.select("id", "n"), "id").withColumn("need", need).withColumn("r", F.size("found").cast("long")).filter("r >= need")
+    out = lists.join(one.select("id", "n", "bits"), "id").withColumn("need", need).withColumn("r", F.size("found").cast("long")).filter("r >= need")
     room = (F.col("r") - F.col("need") + 1).cast("int")
 
     def order(*by) -> Column:
@@ -202,7 +223,7 @@ def shared_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     o1 = order(lambda x: x["df"])
     o2 = F.slice(order(lambda x: x["df"], lambda x: F.xxhash64(F.lit(17), x["s"])), 1, room)
     o3 = F.slice(order(lambda x: F.xxhash64(F.lit(29), x["s"])), 1, room)
-    return kept(out.select("id", "n", "need", "r", o1.alias("o1"), o2.alias("o2"), o3.alias("o3")))
+    return kept(out.select("id", "n", "need", "r", "bits", o1.alias("o1"), o2.alias("o2"), o3.alias("o3")))
 
 
 # Steps 3 and 4: candidates and links
@@ -213,16 +234,22 @@ def _enough(percent: int, n1: str, n2: str) -> Column:
     return F.ceil((F.col(n1) + F.col(n2)) * percent / (100 + percent) - 1e-9)
 
 
+def _near(percent: int) -> Column:
+    """False for sets x and y whose parities show that they differ in too many shingles to link."""
+    differ = sum((F.bit_count(F.get("x_bits", F.lit(k)).bitwiseXOR(F.get("y_bits", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+    return differ <= F.col("x_n") + F.col("y_n") - 2 * _enough(percent, "x_n", "y_n")
+
+
 def prefixes(sets: DataFrame, order: str) -> DataFrame:
     room = (F.col("r") - F.col("need") + 1).cast("int")
-    return sets.select("id", "n", "r", F.posexplode(F.slice(order, 1, room)).alias("pos", "s"))
+    return sets.select("id", "n", "r", "bits", F.posexplode(F.slice(order, 1, room)).alias("pos", "s"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (x, y): those that link. All orders' prefixes must meet before the sets are intersected."""
-    side = lambda p: sets.select(*[F.col(c).alias(p + c) for c in ("id", "n", "r", "o1", "o2", "o3")])
+    side = lambda p: sets.select(*[F.col(c).alias(p + c) for c in ("id", "n", "r", "bits", "o1", "o2", "o3")])
     both = pairs.join(side("x_"), F.col("x") == F.col("x_id")).join(side("y_"), F.col("y") == F.col("y_id"))
-    may = (F.least("x_r", "y_r") >= _enough(percent, "x_n", "y_n")) & F.arrays_overlap("x_o2", "y_o2") & F.arrays_overlap("x_o3", "y_o3")
+    may = _near(percent) & (F.least("x_r", "y_r") >= _enough(percent, "x_n", "y_n")) & F.arrays_overlap("x_o2", "y_o2") & F.arrays_overlap("x_o3", "y_o3")
     inter = F.size(F.array_intersect("x_o1", "y_o1"))
     link = 100 * inter >= percent * (F.col("x_n") + F.col("y_n") - inter)
     return both.filter(F.when(may, link).otherwise(False)).select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -239,19 +266,28 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = star if pairs is None else pairs.unionByName(star)
     near = kept(verified(kept(pairs.distinct()), sets, percent))
     merged = kept(components(near))
-    rows = prefixes(sets, "o1").join(merged, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
-    several = rows.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("s")
-    rows = kept(rows.join(several, "s", "left_semi"))
-    parts = rows.select("s", "c").distinct()
-    other = parts.select("s", F.col("c").alias("d"))
-    cross = parts.join(other, "s").filter("c < d")
-    x = rows.select("s", "c", *[F.col(k).alias("x_" + k) for k in ("id", "n", "r", "pos")])
-    y = rows.select("s", F.col("c").alias("d"), *[F.col(k).alias("y_" + k) for k in ("id", "n", "r", "pos")])
     enough = _enough(percent, "x_n", "y_n")
-    left = (F.col("x_r") - F.col("x_pos") >= enough) & (F.col("y_r") - F.col("y_pos") >= enough)
-    rest = cross.join(x, ["s", "c"]).join(y, ["s", "d"]).filter(left).select(F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y")).distinct()
-    more = verified(kept(rest), sets, percent)
-    return components(near.unionByName(more))
+    may = (F.col("x_c") != F.col("y_c")) & (F.col("x_id") != F.col("y_id")) & (F.col("x_r") - F.col("x_pos") >= enough) & (F.col("y_r") - F.col("y_pos") >= enough) & _near(percent)
+    for salt in range(ROUNDS + 1):
+        rows = prefixes(sets, "o1").join(merged, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
+        several = rows.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("s")
+        rows = kept(rows.join(several, "s", "left_semi"))
+        side = lambda p, r: r.select(F.col("s").alias(p + "s"), *[F.col(k).alias(p + k) for k in ("c", "id", "n", "r", "bits", "pos")])
+        if salt < ROUNDS:  # a leader of each shingle's own; what has many links meets one of them
+            lead = rows.groupBy("s").agg(F.min(F.xxhash64(F.lit(salt), "s", "id")).alias("least"))
+            other = rows.join(lead, "s").filter(F.xxhash64(F.lit(salt), "s", "id") == F.col("least"))
+            on = may
+        else:  # everything that is left
+            other, on = rows, may & (F.col("x_id") < F.col("y_id"))
+        # all of the filter is the join's own condition: pairs that it refuses, and pairs within a component, are never made
+        found = side("x_", rows).join(side("y_", other), (F.col("x_s") == F.col("y_s")) & on)
+        found = kept(found.select(F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y")).distinct())
+        more = kept(verified(found, sets, percent))
+        if more.isEmpty() and salt < ROUNDS:
+            continue
+        near = near.unionByName(more)
+        merged = kept(components(near))
+    return merged
 
 
 def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
