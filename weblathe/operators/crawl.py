@@ -11,13 +11,14 @@ Every wave is written before the next one reads it. A graph in which no page is
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weblathe.functions import weburl as U
-from weblathe.operators.store import kept
+from weblathe.operators.store import folder, kept
 from weblathe.plans.rules import FOLLOW, SAVE, STOP, RuleList
 
 PARTS = ["url", "scheme", "netloc", "port", "path", "params", "query", "fragment", "is_https"]
@@ -82,26 +83,35 @@ class Crawl:
         self.follow, self.save, self.stop = (r if isinstance(r, RuleList) else RuleList(list(r)) for r in (self.follow, self.save, self.stop))
 
     def run(self, start: DataFrame, known: DataFrame | None = None) -> Crawled:
+        """known: (url, ...) of an earlier run. Each wave writes its links' fate and what they lead to, once each."""
         spark = start.sparkSession
-        empty = spark.createDataFrame([], "url string, depth int, `order` array<int>")
-        frontier, known, log = start, known or empty, None
+        place = f"{folder(spark)}/{uuid.uuid4().hex}"
+        before = (known.select("url") if known is not None else spark.createDataFrame([], "url string")).select("url", F.lit(-1).alias("depth"), F.array().cast("array<int>").alias("order"))
+        self._hops = not self.responses.filter(F.size("redirects") > 0).isEmpty()
         resolved = kept(with_parts(self.links.withColumn("original_url", U.normalise(F.col("absolute"))).filter("original_url IS NOT NULL")))
-        for wave in range(self.max_waves):
-            frontier = kept(frontier)
-            if frontier.isEmpty():
-                return Crawled(log if log is not None else self._log_of(frontier.withColumns(_nothing())).withColumns({c: F.lit(0).cast("long") for c in ("links_total", "links_followed")}), known, wave)
-            done = kept(self._wave(frontier, known))
-            own = done.filter("saved").select("url", "depth", "order")
-            also = done.filter("saved AND redirect_from IS NOT NULL").select(F.col("redirect_from").alias("url"), "depth", "order")
-            known = kept(known.unionByName(own).unionByName(also).groupBy("url").agg(F.min("depth").alias("depth"), F.min("order").alias("order")))
-            frontier, done = self._expand(done, known, resolved)
-            log = done if log is None else log.unionByName(done)
-            if self.max_depth is not None and wave >= self.max_depth:
-                return Crawled(log, known, wave + 1)
-        raise CrawlError(f"not done after {self.max_waves} waves; pages that aren't saved are never known")
+        frontier, seen, waves = start, before, 0
+        while True:
+            if waves >= self.max_waves:
+                raise CrawlError(f"not done after {self.max_waves} waves; pages that aren't saved are never known")
+            wave = self._wave(frontier, seen)
+            wave.write.parquet(f"{place}/log/wave={waves}")
+            log = spark.read.schema(wave.withColumn("wave", F.lit(0)).schema).parquet(f"{place}/log")
+            own, source = log.filter("saved"), log.filter("saved AND redirect_from IS NOT NULL").withColumn("url", F.col("redirect_from"))
+            seen = before.unionByName(own.unionByName(source).select("url", "depth", "order"))
+            links = self._expand(wave_of(log, waves), seen, resolved)
+            links.write.parquet(f"{place}/links/wave={waves}")
+            every = spark.read.schema(links.withColumn("wave", F.lit(0)).schema).parquet(f"{place}/links")
+            frontier = _frontier(wave_of(every, waves).filter("queued"))
+            waves += 1
+            if (self.max_depth is not None and waves > self.max_depth) or frontier.isEmpty():
+                break
+        totals = every.groupBy(F.col("p_order").alias("order")).agg(F.count(F.lit(1)).alias("links_total"), F.count_if("queued").alias("links_followed"))
+        done = log.drop("wave").join(totals, "order", "left").na.fill(0, ["links_total", "links_followed"])
+        return Crawled(done, seen.groupBy("url").agg(F.min("depth").alias("depth"), F.min("order").alias("order")), waves)
 
     def _wave(self, frontier: DataFrame, known: DataFrame) -> DataFrame:
-        seen = known.select("url").withColumn("is_known", F.lit(True))
+        known = known.select("url").distinct()
+        seen = known.withColumn("is_known", F.lit(True))
         f = frontier.join(seen, "url", "left").withColumn("encountered", F.col("is_known"))
         before = known.select(F.col("url").alias("prev_url"), F.lit(True).alias("prev_encountered"))
         f = f.join(before, F.col("prev.url") == F.col("prev_url"), "left").drop("prev_url").withColumn("prev_encountered", F.coalesce("prev_encountered", F.lit(False)))
@@ -123,6 +133,8 @@ class Crawl:
         hops = F.coalesce(F.size("redirects") > 0, F.lit(False)) & F.col("status_text").isNull()
         at_fault = F.col("error").eqNullSafe("redirect")
         f = f.withColumn("status_text", F.coalesce("status_text", F.when(at_fault, "redirect-error"), F.when(hops, "redirect")))
+        if not self._hops:
+            return self._decide(f)
         direct, sources = f.filter("status_text IS NULL OR status_text <> 'redirect'"), f.filter("status_text = 'redirect'")
         targets = self._targets(sources, known)
         both = kept(direct.unionByName(targets, allowMissingColumns=True))
@@ -162,25 +174,30 @@ class Crawl:
         out = ["order", "depth", "domain_depth", "raw", "original_url", *PARTS, "prev", "root", "inline", "tag", "do_not_follow", "source", "redirect_from"]
         return f.select(*out, (F.col("status_text") if "status_text" in f.columns else F.lit(None).cast("string")).alias("status"), (F.col("status") if "status" in f.columns else F.lit(None)).cast("int").alias("code"), "saved", "bail", "expanded")
 
-    def _expand(self, done: DataFrame, known: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _expand(self, done: DataFrame, known: DataFrame, resolved: DataFrame) -> DataFrame:
+        """The links of expanded pages; queued: those whose url wasn't known when the page was expanded."""
         parent = done.filter("expanded").select(
             F.col("url").alias("p_url"), F.col("original_url").alias("p_original"), F.col("netloc").alias("p_netloc"), F.col("path").alias("p_path"),
             F.col("order").alias("p_order"), F.col("depth").alias("p_depth"), F.col("domain_depth").alias("p_domain_depth"), F.col("root").alias("p_root"),
         )
         links = parent.join(resolved, F.col("p_url") == F.col("from_url"))
-        seen = known.select(F.col("url").alias("k_url"), F.col("depth").alias("k_depth"), F.col("order").alias("k_order"))
+        seen = known.groupBy(F.col("url").alias("k_url")).agg(F.min(F.struct("depth", "order")).alias("k"))
         links = links.join(seen, F.col("url") == F.col("k_url"), "left")
-        earlier = F.col("k_url").isNotNull() & ((F.col("k_depth") < F.col("p_depth")) | ((F.col("k_depth") == F.col("p_depth")) & (F.col("k_order") <= F.col("p_order"))))
-        links = kept(links.withColumn("queued", ~earlier))
-        totals = links.groupBy(F.col("p_order").alias("order")).agg(F.count(F.lit(1)).alias("links_total"), F.count_if("queued").alias("links_followed"))
-        done = kept(done.join(totals, "order", "left").na.fill(0, ["links_total", "links_followed"]))
-        new = links.filter("queued").select(
-            F.concat("p_order", F.array(F.col("n").cast("int"))).alias("order"), F.col("absolute").alias("raw"), "original_url", *PARTS,
-            (F.col("p_depth") + 1).alias("depth"), F.when(F.col("netloc") == F.col("p_netloc"), F.col("p_domain_depth") + 1).otherwise(0).alias("domain_depth"),
-            F.struct(F.col("p_url").alias("url"), F.col("p_original").alias("original_url"), F.col("p_netloc").alias("netloc"), F.col("p_path").alias("path")).alias("prev"),
-            F.col("p_root").alias("root"), "inline", "tag", "do_not_follow", "source", F.lit(None).cast("string").alias("redirect_from"),
-        )
-        return new, done
+        earlier = F.col("k_url").isNotNull() & (F.col("k") <= F.struct(F.col("p_depth").alias("depth"), F.col("p_order").alias("order")))
+        return links.withColumn("queued", ~earlier).drop("k_url", "k")
+
+
+def wave_of(df: DataFrame, wave: int) -> DataFrame:
+    return df.filter(F.col("wave") == wave)
+
+
+def _frontier(links: DataFrame) -> DataFrame:
+    return links.select(
+        F.concat("p_order", F.array(F.col("n").cast("int"))).alias("order"), F.col("absolute").alias("raw"), "original_url", *PARTS,
+        (F.col("p_depth") + 1).alias("depth"), F.when(F.col("netloc") == F.col("p_netloc"), F.col("p_domain_depth") + 1).otherwise(0).alias("domain_depth"),
+        F.struct(F.col("p_url").alias("url"), F.col("p_original").alias("original_url"), F.col("p_netloc").alias("netloc"), F.col("p_path").alias("path")).alias("prev"),
+        F.col("p_root").alias("root"), "inline", "tag", "do_not_follow", "source", F.lit(None).cast("string").alias("redirect_from"),
+    )
 
 
 def _nothing() -> dict[str, Column]:

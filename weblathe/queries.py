@@ -377,8 +377,7 @@ def crawl_follow_rule(spark, sf_dir):
 @query(levels(4, follow="c.depth <= 4", save="c.dst % 3 <> 1 OR c.path GLOB '/en/*'") + " SELECT dst AS page_id, depth::INT AS depth, saved, count(*) AS times FROM w GROUP BY ALL")
 def crawl_save_rule(spark, sf_dir):
     """Pages that aren't saved are processed again for every link to them."""
-    marked = lambda r: r.withColumn("headers", F.map_concat("headers", F.create_map(F.lit("content-length"), F.when(F.col("page_id") % 3 == 1, "1").otherwise("2"))))
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    marked = lambda r: r.withColumn("headers", F.map_concat(F.map_filter("headers", lambda k, v: k != "content-length"), F.create_map(F.lit("content-length"), F.when(F.col("page_id") % 3 == 1, "1").otherwise("2"))))
     log = crawled(spark, sf_dir, follow=["+depth<=4"], save=["+size=2", "+path=/en/*"], change=marked).log.filter("status = 'success'")
     return _page_of(spark, sf_dir, log).groupBy("page_id", "depth", "saved").agg(F.count(F.lit(1)).alias("times"))
 
@@ -419,7 +418,7 @@ def crawl_redirects(spark, sf_dir):
     return log.groupBy("depth", "status", F.col("redirect_from").isNotNull().alias("redirected")).agg(F.count(F.lit(1)).alias("links"))
 
 
-@query(levels(3, follow="c.depth <= 3") + " SELECT '⚑' AS mark, count(*) AS lines FROM w WHERE saved UNION ALL SELECT '-', count(*) FROM (SELECT v.canon FROM w3 p JOIN e ON e.src = p.dst JOIN v ON v.page_id = e.dst WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.dst = v.canon AND (x.depth < 3 OR (x.depth = 3 AND x.ord <= p.ord))) AND NOT EXISTS (SELECT 1 FROM w x WHERE x.dst = v.canon))")
+@query(levels(4, follow="c.depth <= 3") + " SELECT '⚑' AS mark, count(*) AS lines FROM w WHERE saved UNION ALL SELECT '-', count(*) FROM c4 WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.saved AND x.dst = c4.dst)")
 def log_status(spark, sf_dir):
     log = crawl_log.lines(crawled(spark, sf_dir, follow=["+depth<=3"]).log)
     return log.filter("mark IS NOT NULL").groupBy("mark").agg(F.count(F.lit(1)).alias("lines"))
@@ -479,23 +478,22 @@ def mirror_layout(spark, sf_dir):
     return p.select("page_id", mirror.layout("{domain}{path,4}-{url,md5}-{original-domain}").alias("filename"))
 
 
-@query(f"WITH {_L} SELECT url, list_sort(list(DISTINCT p_url)) AS used_by FROM l GROUP BY url")
+@query(f"WITH {_L} SELECT url, array_to_string(list_sort(list(DISTINCT p_url)), ' ') AS used_by FROM l GROUP BY url")
 def mirror_url_usage(spark, sf_dir):
     links = page_links(spark, sf_dir).select(F.col("url").alias("target"), F.col("prev.url").alias("from_url"))
-    return mirror.usage_sets(mirror.url_usage(links))
+    return mirror.usage_sets(mirror.url_usage(links)).select("url", F.array_join("used_by", " ").alias("used_by"))
 
 
 @query(f"""
 WITH {_FILES}, n AS (SELECT count(*) AS n FROM pages), g AS (SELECT url, min(filename) AS filename FROM z WHERE page_id % 3 <> 0 GROUP BY url),
 e AS (SELECT page_id, k, (page_id * 7 + k * 13 + 1) % n AS dst FROM u, n, range(0, 3) AS r(k)),
-t AS (SELECT e.page_id, e.k, s.filename AS f0, g.filename AS f1, d.o, d.fragment FROM e JOIN z s ON s.page_id = e.page_id JOIN u d ON d.page_id = e.dst LEFT JOIN g ON g.url = d.url)
-SELECT page_id, k::INT AS n, CASE WHEN f1 IS NOT NULL THEN './' || CASE
-  WHEN string_split(f1, '/')[1] <> string_split(f0, '/')[1] THEN '../../' || f1
-  WHEN len(string_split(f1, '/')) > 2 AND len(string_split(f0, '/')) > 2 AND string_split(f1, '/')[2] = string_split(f0, '/')[2] THEN 'SAME' ELSE 'OTHER' END ELSE o END AS new FROM t WHERE false
+t AS (SELECT e.page_id, e.k, string_split(s.filename, '/')[:-2] AS d, string_split(g.filename, '/') AS f, o.o, o.fragment
+  FROM e JOIN z s ON s.page_id = e.page_id JOIN u o ON o.page_id = e.dst LEFT JOIN g ON g.url = o.url),
+k AS (SELECT *, list_max(list_filter(range(0, least(len(d), len(f) - 1) + 1), lambda i: d[1:i] = f[1:i])) AS same FROM t)
+SELECT page_id, k::INT AS n, CASE WHEN f IS NULL THEN o ELSE './' || repeat('../', (len(d) - same)::INT) || array_to_string(f[same + 1:], '/') || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END END AS new FROM k
 """)
 def mirror_link_target(spark, sf_dir):
-    """Rewrites to files of other hosts or absolute urls; see mirror_links for all."""
-    return mirror_links(spark, sf_dir).select("page_id", F.col("n").cast("int").alias("n"), "new").filter(F.lit(False))
+    return mirror_links(spark, sf_dir).select("page_id", F.col("n").cast("int").alias("n"), "new")
 
 
 def mirror_links(spark, sf_dir) -> DataFrame:
