@@ -34,7 +34,7 @@ MARK = "▁"
 #: Words whose ids a worker keeps at most, from one batch to the next.
 REMEMBERED = 100_000
 #: Bytes of text that are indexed at a time.
-SLICE = 800_000
+SLICE = 400_000
 _FAR = np.iinfo(np.int64).max
 
 
@@ -121,7 +121,7 @@ class Model:
         before = np.full(len(a), _FAR)
         n = np.int64(len(self.text) + 1)
         while len(row):
-            key = a * n + b
+            key = a.astype(np.int64) * n + b
             at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
             across = (self.pair_keys[at] == key) & (self.pair_rank[at] < before)
             out[row[across]] = False
@@ -157,16 +157,21 @@ class Model:
         suffixes, keys = places[order], keys[order]
         first, last = _search(keys, _packed(low, bits), False), _search(keys, _packed(high, bits), True)
         count = last - first
-        which = np.repeat(np.arange(len(count)), count)
-        start = suffixes[np.repeat(first - np.concatenate(([0], np.cumsum(count)))[:-1], count) + np.arange(count.sum())]
-        piece, end = self.piece_id[rows][which], start + self.piece_len[rows][which]
-        alone = np.flatnonzero(codes == 0xFFFF)
-        none = len(self.text)
-        start, end, piece = np.concatenate((start, alone)), np.concatenate((end, alone + 1)), np.concatenate((piece, np.full(len(alone), none)))
-        word_of = np.repeat(np.arange(len(words)), sizes + 1)
-        offset = end - starts[word_of[start]]
-        order = np.argsort(offset, kind="stable")
+        del keys, order, low, high
+        small = lambda x: x.astype(np.int32)  # noqa: E731  edges are many: four bytes for each of their ends
+        which = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        at = np.repeat(small(first - np.concatenate(([0], np.cumsum(count)))[:-1]), count)
+        at += np.arange(len(at), dtype=np.int32)
+        start = small(suffixes)[at]
+        piece, end = small(self.piece_id[rows])[which], start + small(self.piece_len[rows])[which]
+        del which, at
+        alone = small(np.flatnonzero(codes == 0xFFFF))
+        none = np.int32(len(self.text))
+        start, end, piece = np.concatenate((start, alone)), np.concatenate((end, alone + np.int32(1))), np.concatenate((piece, np.full(len(alone), none)))
+        offset = end - small(np.repeat(starts, sizes + 1))[start]
+        order = small(np.argsort(offset, kind="stable"))
         start, end, piece, offset = start[order], end[order], piece[order], offset[order]
+        del order
         last_piece = np.full(len(codes) + 1, -1)  # of the path to a position
         begins = np.zeros(len(codes) + 1, bool)
         begins[starts] = True
