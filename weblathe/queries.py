@@ -310,11 +310,11 @@ def web(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     r = responses(spark, sf_dir)
     n = r.count()
     r = kept(r.select("page_id", "url", "original_url", "status", "headers", "content", "redirects", "error"))
-    edges = r.select("page_id", F.col("url").alias("from_url"), F.posexplode(F.array(*[F.lit(k) for k in range(3)])).alias("n", "k"))
+    first = r.groupBy("url").agg(F.min_by(F.struct(*[c for c in r.columns if c != "url"]), "page_id").alias("r")).select("url", "r.*")
+    edges = first.select("page_id", F.col("url").alias("from_url"), F.posexplode(F.array(*[F.lit(k) for k in range(3)])).alias("n", "k"))
     edges = edges.withColumn("dst", (F.col("page_id") * 7 + F.col("k") * 13 + 1) % n)
     to = r.select(F.col("page_id").alias("dst"), F.col("original_url").alias("absolute"))
     links = edges.join(to, "dst").select("from_url", "n", "absolute", (F.col("k") == 2).alias("inline"), F.lit("a.href").alias("tag"), F.lit(False).alias("do_not_follow"), F.lit(None).cast("string").alias("source"))
-    first = r.groupBy("url").agg(F.min_by(F.struct(*[c for c in r.columns if c != "url"]), "page_id").alias("r")).select("url", "r.*")
     return first, links
 
 
