@@ -13,7 +13,7 @@ def values(spark, rows, schema, *columns):
 
 def test_normalise(spark):
     cases = {
-        "http://elsdoerfer.name": "http://elsdoerfer.name/", "HTTP://elsdoerFER.NaME:80": "http://elsdoerfer.name/", "http://a.b/?": "http://a.b/", "http://a.b/#foo": "http://a.b/#foo",
+        "http://example.name": "http://example.name/", "HTTP://exaMPLE.NaME:80": "http://example.name/", "http://a.b/?": "http://a.b/", "http://a.b/#foo": "http://a.b/#foo",
         "https://a.b:443/X": "https://a.b/X", "http://a.b/x/../y/./z": "http://a.b/y/z", "http://u:P@A.b:8080/": "http://u:P@a.b:8080/", "nothing": None, "http:///x": None, None: None, " http://a.b/x ": "http://a.b/x",
         "http://a.b/..": "http://a.b/", "http://a.b/x y?q=é#f": "http://a.b/x y?q=é#f",
     }
