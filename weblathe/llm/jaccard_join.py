@@ -100,33 +100,30 @@ def _sent(sets: list[tuple[np.ndarray, np.ndarray]], bits: int, percent: int) ->
     runs = np.diff(np.append(first, len(values)))
     shared = np.repeat(runs > 1, runs)
     r = np.bincount(owner[shared], minlength=len(sizes))
+    kind = np.uint16 if len(sizes) < 0xFFFF else np.uint32
     yield -1, sizes.astype(np.uint32), r.astype(np.uint32), keys
     values, single = values[first], runs == 1
-    owner = np.where(single, owner[first], np.uint32(0xFFFFFFFF))
+    owner = np.where(single, owner[first], np.iinfo(kind).max).astype(kind)
     ends = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
     low = ((values << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
     for chunk, (a, b) in enumerate(zip(np.r_[0, ends], np.r_[ends, len(values)])):
         if b > a:
-            known, local = np.unique(owner[a:b], return_inverse=True)
-            many = len(known) > 0 and known[-1] == 0xFFFFFFFF
-            kind = np.uint16 if len(known) < 0xFFFF else np.uint32
-            local = local.astype(kind)
-            if many:
-                local[local == len(known) - 1] = np.iinfo(kind).max
-                known = known[:-1]
-            yield chunk, low[a:b], local, keys[known]
+            yield chunk, low[a:b], owner[a:b], keys[:0]
 
 
 def _send(bits: int, percent: int):
-    names = ["chunk", "part", "shingles", "owners", "keys", "wide"]
+    names = ["chunk", "flush", "shingles", "owners", "keys", "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held = [], 0
 
         def flush():
-            rows = [(c, i % 64 if c < 0 else 0, v.tobytes(), o.tobytes(), k.tobytes(), o.itemsize == 4) for i, (c, v, o, k) in enumerate(_sent(sets, bits, percent))]
+            parts = list(_sent(sets, bits, percent))
+            own = np.append(parts[0][3], len(parts[0][3])).astype(np.int64).view(np.uint64)  # the same if the task is run again
+            name = int(mix(own + np.arange(len(own), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
+            rows = [(c, name, v.tobytes(), o.tobytes(), k.tobytes(), o.itemsize == 4) for c, v, o, k in parts]
             for at in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 64]), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 64]), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()))], names=names)
 
         for batch in batches:
             texts = batch.column(0)
@@ -143,38 +140,52 @@ def _send(bits: int, percent: int):
 
 
 def _met(t: pa.Table) -> pa.Table:
-    """Of a chunk: how many of its shingles each set shares with another; sizes and counts of a task are passed on."""
-    out = {"key": [], "n": [], "r": []}
-    values, owners, keys, base = [], [], [], 0
-    for chunk, v, o, k, wide in zip(*(t[c].to_pylist() for c in ("chunk", "shingles", "owners", "keys", "wide"))):
-        k, v = np.frombuffer(k, np.int64), np.frombuffer(v, np.uint32)
-        if chunk < 0:
-            out["key"].append(k), out["n"].append(v), out["r"].append(np.frombuffer(o, np.uint32))
-            continue
-        o = np.frombuffer(o, np.uint32 if wide else np.uint16)
-        none = o == np.iinfo(o.dtype).max
-        values.append(v), keys.append(k)
-        owners.append(np.where(none, -1, o.astype(np.int64) + base))
-        base += len(k)
-    if values:
-        values, owners, keys = np.concatenate(values), np.concatenate(owners), np.concatenate(keys)
-        order = np.argsort(values)
-        values, owners = values[order], owners[order]
-        same = values[1:] == values[:-1]
-        shared = np.r_[False, same] | np.r_[same, False]
-        r = np.bincount(owners[shared & (owners >= 0)], minlength=base)
-        hit = np.flatnonzero(r)
-        out["key"].append(keys[hit]), out["n"].append(np.zeros(len(hit), np.int64)), out["r"].append(r[hit])
-    return pa.table({c: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for c, x in out.items()})
+    """Of a chunk: a row for each flush, of how many of the chunk's shingles its sets share with another. A flush's own row is passed on."""
+    cols = [t[c].to_pylist() for c in ("chunk", "flush", "shingles", "owners", "keys", "wide")]
+    if cols[0] and cols[0][0] < 0:
+        return pa.table({"flush": t["flush"], "owners": t["shingles"], "counts": t["owners"], "keys": t["keys"]})
+    kinds = [np.uint32 if w else np.uint16 for w in cols[5]]
+    values = np.concatenate([np.frombuffer(v, np.uint32) for v in cols[2]])
+    owners = [np.frombuffer(o, k) for o, k in zip(cols[3], kinds)]
+    none = np.concatenate([o == np.iinfo(o.dtype).max for o in owners])
+    order = np.argsort(values)
+    same = values[order][1:] == values[order][:-1]
+    shared = np.zeros(len(values), bool)
+    shared[order] = np.r_[False, same] | np.r_[same, False]
+    shared &= ~none
+    ends, out = np.cumsum([len(o) for o in owners]), {"flush": [], "owners": [], "counts": [], "keys": []}
+    for flush, o, end in zip(cols[1], owners, ends.tolist()):
+        found, n = np.unique(o[shared[end - len(o) : end]], return_counts=True)
+        if len(found):
+            out["flush"].append(flush), out["owners"].append(found.astype(np.uint32).tobytes()), out["counts"].append(n.astype(np.uint32).tobytes()), out["keys"].append(b"")
+    return pa.table({c: pa.array(x, pa.int64() if c == "flush" else pa.binary()) for c, x in out.items()})
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    """Of a flush: each set's fingerprint, size, and shingles shared with another set. Equal flushes come as several own rows."""
+    key, n, r, more = [], [], [], []
+    for o, c, k in zip(*(t[x].to_pylist() for x in ("owners", "counts", "keys"))):
+        if k:
+            key.append(np.frombuffer(k, np.int64)), n.append(np.frombuffer(o, np.uint32)), r.append(np.frombuffer(c, np.uint32))
+        else:
+            more.append((np.frombuffer(o, np.uint32), np.frombuffer(c, np.uint32)))
+    if not key:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("key", "n", "r")})
+    total = r[0].astype(np.int64)
+    for o, c in more:
+        total[o] += c
+    return pa.table({"key": pa.array(key[0]), "n": pa.array(n[0].astype(np.int64)), "r": pa.array(total)})
 
 
 def linkable(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Fingerprints (a) of the sets that have enough shingles in other texts; a superset, by a few, of what has a link."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, size / 6 / CHUNK))))
-    sent = docs.select("text").mapInArrow(_send(bits, percent), "chunk int, part int, shingles binary, owners binary, keys binary, wide boolean")
-    met = sent.groupBy("chunk", F.when(F.col("chunk") < 0, F.pmod(F.xxhash64("keys"), F.lit(64))).otherwise(0)).applyInArrow(_met, "key long, n long, r long")
-    total = met.groupBy("key").agg(F.max("n").alias("n"), F.sum("r").alias("r"))
+    sent = docs.select("text").mapInArrow(_send(bits, percent), "chunk int, flush long, shingles binary, owners binary, keys binary, wide boolean")
+    spread = F.when(F.col("chunk") < 0, F.col("flush")).otherwise(0)
+    met = sent.groupBy("chunk", spread).applyInArrow(_met, "flush long, owners binary, counts binary, keys binary")
+    summed = met.groupBy("flush").applyInArrow(_summed, "key long, n long, r long")
+    total = summed.groupBy("key").agg(F.max("n").alias("n"), F.sum("r").alias("r"))
     return total.filter((F.col("n") > 0) & (F.col("r") * 100 >= F.col("n") * percent)).select(F.col("key").alias("a"))
 
 
