@@ -98,6 +98,21 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert got[3] == "Text number 3 More of 21" and got[90] == got[91] == "" and got[92] == "a b < c d e"
 
 
+def test_copies_of_a_page_arent_template(spark):
+    """12 equal pages and one different page of a host keep their text, with and without a marked article."""
+    page = lambda tag, i: f"<body><{tag}><h1>Title {i}</h1><p>First of {i}<p>Second of {i}</{tag}></body>"
+    rows = [(100 * k + i, f"http://{tag}/p?utm_source={i}", page(tag, min(i, 1))) for k, tag in enumerate(("article", "div")) for i in range(13)]
+    got = {r["page_id"]: r["text"] for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: "Title {0} First of {0} Second of {0}".format(min(n % 100, 1)) for n, _, _ in rows}
+
+
+def test_a_marked_article_loses_nothing_by_importance(spark):
+    """A line that all articles of a host share stays, outside an article it goes."""
+    rows = [(100 * k + i, f"http://{tag}/{i}", f"<body><{tag}><h2>Method</h2><p>Text {i}</{tag}></body>") for k, tag in enumerate(("article", "div")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {n: f"{'' if n >= 100 else 'Method '}Text {n % 100}" for n, _, _ in rows}
+
+
 TEXTS = ["", "  a  b   c", "a\n\nb\tc", " " * 40 + "x", "aaaaaaa", "日本語😀x é", "x<s>y</s><unk>", "<|endoftext|> I'LL don't", "▁▁a", "İΣ ΑΣ. ½²"]
 
 
