@@ -148,6 +148,30 @@ def test_license_places(spark):
     assert [(got[i]["n_base"], got[i]["first_word"], got[i]["last_word"], got[i]["labels"]) for i in (1, 2, 3, 4)] == [(2, 0, 3, "cc-by-nc"), (2, 0, 4, "mit"), (0, None, None, ""), (0, None, None, "gpl-3")]
 
 
+def test_wrapped_licenses(spark):
+    """Notices wrapped as usual, in comments, after other text; words of different paragraphs don't make a notice."""
+    wrapped = {
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation.",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+        "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one.",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+        "apache-2": "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES",
+    }
+    rows, want = [], []
+    for label, text in wrapped.items():
+        for near in (text, "Copyright someone\n\n" + text, "/*\n * " + text.replace("\n", "\n * ") + "\n */\nint x;", text.replace(" ", "\n")):
+            rows.append((len(rows), near))
+            want.append(label)
+        rows.append((len(rows), text.replace("\n", "\n\n")))
+        want.append("")
+    rows.append((len(rows), "Mit " + "und so weiter " * 5 + "\nLicensed under the Apache License, Version 2.0."))
+    want.append("apache-2")
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(len(rows))] == want
+    assert all(got[i]["score"] >= 0.8 and len(got[i]["matches"]) == 1 for i, label in enumerate(want) if label)
+    assert got[1]["matches"][0]["line"] == 2 and got[1]["score"] == 1.0
+
+
 def test_targets():
     assert mixing.targets([10, 10, 10], [5, 2, 1], 1.5, 2) == [20.0, pytest.approx(50 / 3), pytest.approx(25 / 3)]
     assert mixing.targets([], [], 1.5, 2) == [] and mixing.targets([0, 4], [5, 2], 1.5, 2) == [0.0, 6.0]

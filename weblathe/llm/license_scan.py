@@ -1,6 +1,8 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-Words are runs of ASCII letters and digits and of all other than ASCII characters, A-Z lower-cased. A block is a line.
+Words are runs of ASCII letters and digits and of all other than ASCII characters, A-Z lower-cased. A block is a line,
+or a window of consecutive words over the ends of lines, without a line that has no words between them, that is a fifth longer
+than the template (SLACK); a window starts in the line that it is counted for. Of a template's windows that overlap the best is kept.
 A template fits a block when the block has at least CONTAINMENT of the template's distinct words. The join is exact:
 the words of the templates get one global order, rarest in the corpus first; a fitting block must have a word of the
 template's prefix in that order (prefix filter), at least as many distinct words as are needed (length filter), and
@@ -24,6 +26,8 @@ from weblathe.llm.common import let, table
 _IN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _OUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 CONTAINMENT = 0.8
+#: How much longer than a template's words a window over several lines is: wrapped notices may have other words between their own.
+SLACK = 1.2
 #: The base phrases.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Sentences of well-known licenses and their notices.
@@ -72,6 +76,7 @@ class Template:
 
     def __init__(self, label: str, text: str, counts: dict[str, int], containment: float):
         self.label = label
+        self.window = int(SLACK * len(text.split()))
         self.tokens = sorted(set(text.split()), key=lambda w: (counts.get(w, 0), w))
         self.needed = math.ceil(containment * len(self.tokens) - 1e-9)
         self.prefix = self.tokens[: len(self.tokens) - self.needed + 1]
@@ -107,16 +112,61 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, containment:
         each = lambda words: F.array(*[_match(m, words, number) for m in made])
         return let(F.array_distinct(_words(line)), lambda words: F.array_compact(each(words)))
 
+    def wrapped(lines: Column, start: Column) -> Column:
+        """The templates that fit the windows from line start on, of more than one line."""
+        return F.array_compact(F.array(*[_wrapped(k, m, lines, start) for k, m in enumerate(made) if m.window > 1]))
+
+    def _wrapped(k: int, m: Template, lines: Column, start: Column) -> Column:
+        def add(a, x):
+            more = a["open"] & (a["n"] < m.window) & (x["n"] > 0)
+            return F.when(more, F.struct((a["n"] + x["n"]).alias("n"), (a["size"] + 1).alias("size"), F.lit(True).alias("open"))).otherwise(F.struct(a["n"].alias("n"), a["size"].alias("size"), F.lit(False).alias("open")))
+
+        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(1).alias("size"), F.lit(True).alias("open"))
+        size = F.aggregate(F.slice(lines, start + 2, m.window), none, add, lambda a: a["size"])
+
+        def hit(block: Column) -> Column:
+            n = F.element_at(block, 1)["n"].cast("int")
+            tokens = F.array(*map(F.lit, m.tokens))
+            places = F.sequence(F.greatest(F.lit(1), n - m.window + 2), n)
+            most = lambda words: F.array_max(F.transform(places, lambda at: F.size(F.array_intersect(F.slice(words, at, m.window), tokens))))
+            kept_as = lambda o: F.when(o >= m.needed, F.struct(F.lit(k).alias("k"), (start + F.size(block) - 1).alias("end"), _hit(m, o, start).alias("match")))
+            # The whole of the lines first: most have too few of the words.
+            found = lambda words: F.when(m.overlap(F.array_distinct(words)) >= m.needed, let(most(words), kept_as))
+            text = F.array_join(F.transform(block, lambda x: x["x"]), "\n")
+            return F.when((F.size(block) > 1) & F.exists(block, lambda x: x["hit"]), let(_words(text), found))
+
+        return let(F.slice(lines, start + 1, size), hit)
+
+    def best(found: Column) -> Column:
+        """Of overlapping windows of a template the one with most words, then of fewest lines, then the first."""
+        rank = lambda h: F.struct(-h["match"]["overlap"], h["end"] - h["match"]["line"], h["match"]["line"])
+        beats = lambda g, h: (g["k"] == h["k"]) & (g["match"]["line"] <= h["end"]) & (h["match"]["line"] <= g["end"]) & (rank(g) < rank(h))
+        left = F.filter(found, lambda h: ~F.exists(found, lambda g: beats(g, h)))
+        return F.transform(left, lambda h: h["match"].withField("end", h["end"]))
+
+    def plain(found: Column) -> Column:
+        return F.transform(found, lambda h: h.dropFields("end"))
+
     def _match(m: Template, words: Column, number: Column) -> Column:
         o = m.overlap(words)
-        hit = F.struct(F.lit(m.label).alias("label"), number.cast("long").alias("line"), o.cast("long").alias("overlap"), (o / len(m.tokens)).alias("score"))
-        return F.when(o >= m.needed, hit)
+        return F.when(o >= m.needed, _hit(m, o, number))
+
+    def _hit(m: Template, o: Column, number: Column) -> Column:
+        return F.struct(F.lit(m.label).alias("label"), number.cast("long").alias("line"), o.cast("long").alias("overlap"), (o / len(m.tokens)).alias("score"))
 
     # A text or line without any prefix word has no candidate.
     rare = r"(?i)(?<!%s)(?:%s)(?!%s)" % (_IN, "|".join(sorted({w for m in made for w in m.prefix})), _IN)
     candidates = F.filter(F.transform(F.split(t, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(rare))
     nothing = F.array().cast("array<struct<label:string,line:bigint,overlap:bigint,score:double>>")
-    matches = F.when(t.rlike(rare), F.flatten(F.transform(candidates, lambda s: fits(s["x"], s["i"])))).otherwise(nothing)
+    single = F.flatten(F.transform(candidates, lambda s: fits(s["x"], s["i"])))
+    lines = F.transform(F.split(t, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"), _count_words(x).alias("n"), x.rlike(rare).alias("hit")))
+    # A window from a line on has at most as many lines more as the longest window has words.
+    reach = max((m.window for m in made), default=0) + 1
+    near = lambda ls: F.filter(ls, lambda s: (s["n"] > 0) & F.exists(F.slice(ls, s["i"] + 1, reach), lambda x: x["hit"]))
+    several = let(lines, lambda ls: let(F.flatten(F.transform(near(ls), lambda s: wrapped(ls, s["i"]))), best))
+    # Lines that fit alone need no window over them.
+    covered = lambda w, alone: F.exists(alone, lambda a: (a["label"] == w["label"]) & (a["score"] >= w["score"]) & a["line"].between(w["line"], w["end"]))
+    matches = F.when(t.rlike(rare), let(single, lambda alone: F.concat(alone, let(several, lambda ws: plain(F.filter(ws, lambda w: ~covered(w, alone))))))).otherwise(nothing)
 
     places = {f"place_{i}": place(p) for i, p in enumerate(PHRASES)}
     out = docs.withColumns({**places, "matches": matches, "n_words": _count_words(t)})
