@@ -365,13 +365,13 @@ def crawl_depth(spark, sf_dir):
 
 
 @query(levels(4, follow="c.depth <= 4") + " SELECT dst AS page_id, depth::INT AS depth, domain_depth::INT AS domain_depth FROM w WHERE saved")
-def crawl_domain_depth(spark, sf_dir):
-    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=["+depth<=4"]).saved).select("page_id", "depth", F.col("domain_depth").cast("int").alias("domain_depth"))
+def crawl_domain_depth(spark, sf_dir, first="+depth<=4"):
+    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=[first]).saved).select("page_id", "depth", F.col("domain_depth").cast("int").alias("domain_depth"))
 
 
 @query(levels(6, follow="c.depth <= 6 AND NOT c.netloc GLOB '*.org'") + " SELECT dst AS page_id, depth::INT AS depth FROM w WHERE saved")
-def crawl_follow_rule(spark, sf_dir):
-    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=["+depth<=6", "-domain=*.org"]).saved).select("page_id", "depth")
+def crawl_follow_rule(spark, sf_dir, first="+depth<=6"):
+    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=[first, "-domain=*.org"]).saved).select("page_id", "depth")
 
 
 @query(levels(4, follow="c.depth <= 4", save="c.dst % 3 <> 1 OR c.path GLOB '/en/*'") + " SELECT dst AS page_id, depth::INT AS depth, saved, count(*) AS times FROM w GROUP BY ALL")
@@ -383,8 +383,8 @@ def crawl_save_rule(spark, sf_dir):
 
 
 @query(levels(5, follow="c.depth <= 5", stop="c.path GLOB '/de/*'") + " SELECT dst AS page_id, depth::INT AS depth, bail FROM w WHERE saved")
-def crawl_stop_rule(spark, sf_dir):
-    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=["+depth<=5"], stop=["-", "+path=/de/*"]).saved).select("page_id", "depth", "bail")
+def crawl_stop_rule(spark, sf_dir, first="+depth<=5"):
+    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=[first], stop=["-", "+path=/de/*"]).saved).select("page_id", "depth", "bail")
 
 
 @query(levels(4, follow="c.depth <= 1 OR (c.inline AND c.p_saved)") + " SELECT dst AS page_id, depth::INT AS depth FROM w WHERE saved")
@@ -393,15 +393,15 @@ def crawl_requisite(spark, sf_dir):
 
 
 @query(levels(5, follow="c.depth <= 5", status="CASE WHEN c.dst % 4 = 3 THEN 404 ELSE 200 END", extra=", z AS (SELECT dst, depth, code FROM w UNION ALL " + " UNION ALL ".join(f"SELECT dst, depth, code FROM f{d} WHERE code >= 400" for d in range(6)) + ")") + " SELECT depth::INT AS depth, CASE WHEN code < 400 THEN 'success' ELSE 'http-error' END AS status, count(*) AS links FROM z GROUP BY ALL")
-def crawl_errors(spark, sf_dir):
+def crawl_errors(spark, sf_dir, first="+depth<=5"):
     broken = lambda r: r.withColumn("status", F.when(F.col("page_id") % 4 == 3, 404).otherwise(F.col("status")))
-    log = crawled(spark, sf_dir, follow=["+depth<=5"], change=broken).log
+    log = crawled(spark, sf_dir, follow=[first], change=broken).log
     return log.filter("status IN ('success', 'http-error')").groupBy("depth", "status").agg(F.count(F.lit(1)).alias("links"))
 
 
 @query(levels(4, follow="c.depth <= 3", extra=", ".join(["", *(f"t{d} AS (SELECT p.dst AS page_id, p.depth, 3::BIGINT AS links_total, (SELECT count(*) FROM c{d + 1} c WHERE c.ord[:len(c.ord) - 1] = p.ord) AS links_followed FROM w{d} p WHERE saved)" for d in range(4))])) + " " + " UNION ALL ".join(f"SELECT page_id, depth::INT AS depth, links_total, links_followed FROM t{d}" for d in range(4)))
-def crawl_links_followed(spark, sf_dir):
-    log = crawled(spark, sf_dir, follow=["+depth<=3"]).saved
+def crawl_links_followed(spark, sf_dir, first="+depth<=3"):
+    log = crawled(spark, sf_dir, follow=[first]).saved
     return _page_of(spark, sf_dir, log).select("page_id", "depth", "links_total", "links_followed")
 
 
@@ -414,19 +414,33 @@ def crawl_redirects(spark, sf_dir):
         r = r.join(to, "page_id", "left")
         return r.withColumn("redirects", F.when((F.col("page_id") % 5 == 2) & F.col("to").isNotNull(), F.array("to")).otherwise(F.col("redirects"))).drop("to")
 
-    log = crawled(spark, sf_dir, follow=["+depth<=5", "-path=/fr/*"], change=moved).log
+    log = crawled(spark, sf_dir, follow=["+", "-path=/fr/*"], change=moved).log
     return log.groupBy("depth", "status", F.col("redirect_from").isNotNull().alias("redirected")).agg(F.count(F.lit(1)).alias("links"))
 
 
 @query(levels(4, follow="c.depth <= 3") + " SELECT '⚑' AS mark, count(*) AS lines FROM w WHERE saved UNION ALL SELECT '-', count(*) FROM c4 WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.saved AND x.dst = c4.dst)")
-def log_status(spark, sf_dir):
-    log = crawl_log.lines(crawled(spark, sf_dir, follow=["+depth<=3"]).log)
+def log_status(spark, sf_dir, first="+depth<=3"):
+    log = crawl_log.lines(crawled(spark, sf_dir, follow=[first]).log)
     return log.filter("mark IS NOT NULL").groupBy("mark").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query(levels(3, follow="c.depth <= 3") + " SELECT count(*) AS saved, 0::BIGINT AS errors FROM w WHERE saved")
-def log_counters(spark, sf_dir):
-    return crawl_log.counters(crawled(spark, sf_dir, follow=["+depth<=3"]).log).select("saved", "errors")
+def log_counters(spark, sf_dir, first="+depth<=3"):
+    return crawl_log.counters(crawled(spark, sf_dir, follow=[first]).log).select("saved", "errors")
+
+
+def _to_the_end(f):
+    """f without its limit of depth. The SQL is unrolled by depth, so these have none."""
+
+    def run(spark, sf_dir):
+        return f(spark, sf_dir, "+")
+
+    run.__name__ = f"{f.__name__}_whole"
+    return query()(run)
+
+
+for _f in (crawl_domain_depth, crawl_follow_rule, crawl_stop_rule, crawl_errors, crawl_links_followed, log_status, log_counters):
+    _to_the_end(_f)
 
 
 # Requests to an existing mirror
