@@ -113,6 +113,24 @@ def test_a_marked_article_loses_nothing_by_importance(spark):
     assert got == {n: f"{'' if n >= 100 else 'Method '}Text {n % 100}" for n, _, _ in rows}
 
 
+def test_names_in_an_article_only_shift(spark):
+    """Sections with ids of headings stay; a telling name in an article needs evidence; outside, whole names decide."""
+    ids = ["side-effects", "social-impact", "search-algorithms", "related-work"]
+    many = "".join(f'<section id="{x}"><h2 id="{x}">About {x}</h2><p>Text {x}</section>' for x in ids)
+    text = " ".join(f"About {x} Text {x}" for x in ids)
+    rows = [(1, "http://a/1", f"<article>{many}</article>"), (2, "http://b/2", f'<div>{many}</div><div class="x site-footer">gone</div><div class="related-posts">gone</div>')]
+    rows += [(10 + i, f"http://c/{i}", f"<article><p>Text {i}</p><div class=share>Share this</div><div class=notice>Note {i}</div></article>") for i in range(12)]
+    rows += [(30, "http://d/1", "<article><p>Text</p><div class=share>Once</div></article>")]
+    got = {r["page_id"]: r["text"] for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: text, 2: text, 30: "Text Once"} | {10 + i: f"Text {i} Note {i}" for i in range(12)}
+
+
+def test_presentation_is_of_child_tags():
+    """Nodes with as many blocks but other children differ in shape."""
+    tags = [site_style.parsed(f"<div class=a>x<{t}>y</{t}>z</div>")[1] for t in ("b", "i", "b")]
+    assert tags[0] == tags[2] != tags[1] and ["", "b"] in tags[0].values()
+
+
 TEXTS = ["", "  a  b   c", "a\n\nb\tc", " " * 40 + "x", "aaaaaaa", "日本語😀x é", "x<s>y</s><unk>", "<|endoftext|> I'LL don't", "▁▁a", "İΣ ΑΣ. ½²"]
 
 
