@@ -63,6 +63,15 @@ def test_repeated_words(spark):
     assert {x["doc_id"]: x["n_repeat_words"] for x in quality_rules.judge(df).collect()} == {i: brute(t) for i, t in enumerate(texts)}
 
 
+def test_stop_words_of_listed_languages_only(spark):
+    """Texts in upper case and in languages without stop words here aren't rejected for having none."""
+    long = lambda f: " ".join(f"{f}{chr(ord(f) + i % 20)}{chr(ord(f) + i // 20)}x"[: 3 if f > "z" else 4] for i in range(80))
+    latin = long("a")
+    rows = [(1, long("б"), None), (2, long("α"), "el"), (3, "THE " + latin.upper(), "en"), (4, latin, "fi"), (5, latin, "en"), (6, latin, None), (7, "12 34 " * 40, None)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: False, 6: False, 7: False}
+
+
 def test_cascade_is_exact(spark):
     listed = [(f"h{i}.example.com/", "block" if i % 3 else "allow") for i in range(0, 400, 7)]
     urls = [(i, f"http://a.h{i}.example.com/x") for i in range(400)]

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from weblathe.llm.common import SPACES, let, table, without, words
 
+#: Languages that STOP_WORDS has, and their script.
+LANGUAGES = ("en", "de", "fr", "es")
+LATIN = r"\p{IsLatin}"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 #: The commonest function words of English, German, French and Spanish.
@@ -52,7 +55,7 @@ def counts(text: Column) -> dict[str, Column]:
         words(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
             repeated_words(w).cast("long").alias("n_repeat_words"),
         ),
     )
@@ -101,8 +104,17 @@ def measures() -> dict[str, Column]:
     }
 
 
-def compiled(thresholds=THRESHOLDS) -> Column:
-    """Whether a text passes all thresholds."""
+def unlisted(text: Column, lang: Column | None = None) -> Column:
+    """Whether a text's language has no stop words here: by lang where it is known, and texts mostly of other than Latin letters."""
+    text = F.coalesce(text, F.lit(""))
+    other = 2 * F.regexp_count(text, F.lit(LATIN)) < F.regexp_count(text, F.lit(r"\p{L}"))
+    if lang is None:
+        return other
+    return ~F.coalesce(F.regexp_extract(F.lower(lang), "^([a-z]*)", 1).isin("", *LANGUAGES), F.lit(True)) | other
+
+
+def compiled(thresholds=THRESHOLDS, no_stop_words: Column | None = None) -> Column:
+    """Whether a text passes all thresholds; that of stop words isn't asked where no_stop_words."""
     known, passes = measures(), F.lit(True)
     for t in thresholds:
         bound = F.lit(True)
@@ -110,20 +122,24 @@ def compiled(thresholds=THRESHOLDS) -> Column:
             bound &= known[t.measure] >= t.low
         if t.high is not None:
             bound &= known[t.measure] <= t.high
-        passes &= bound | (F.col("n_words") < t.at_least)
+        bound |= F.col("n_words") < t.at_least
+        if t.measure == "stop_word_share" and no_stop_words is not None:
+            bound |= no_stop_words
+        passes &= bound
     return passes
 
 
-def judge(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    """docs with the counts, base_failed and kept."""
+def judge(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS, lang: str = "lang") -> DataFrame:
+    """docs with the counts, base_failed and kept. The column lang is used where docs has it."""
     n, repeated = F.col("n_words"), F.col("n_repeat_words")
     docs = docs.drop(*(c for c in docs.columns if c.lower() in RESULTS and c.lower() != text.lower()))
+    none = unlisted(F.col(text), F.col(lang) if lang in docs.columns else None)
     return (
         docs.withColumns(counts(F.col(text)))
         .select("*", "of_words.*", "of_lines.*")
         .drop("of_words", "of_lines")
         .withColumn("base_failed", (n < 10) | (100 * repeated > 20 * n))
-        .withColumn("kept", ~F.col("base_failed") & compiled(thresholds))
+        .withColumn("kept", ~F.col("base_failed") & compiled(thresholds, none))
     )
 
 
