@@ -446,11 +446,11 @@ for _f in (crawl_domain_depth, crawl_follow_rule, crawl_stop_rule, crawl_errors,
 # Requests to an existing mirror
 
 
-def _info(spark, sf_dir) -> DataFrame:
-    """A previous run: every other page, with entity tags of which some have changed, and dates."""
+def _info(spark, sf_dir, part: str = "page_id % 2 = 0") -> DataFrame:
+    """A previous run: every other page, or another part, with entity tags of which some have changed, and dates."""
     i = F.col("page_id")
     day = F.concat(F.lit("Tue, "), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit(" Jan 2030 08:00:00 GMT"))
-    return pages(spark, sf_dir).filter(i % 2 == 0).select("page_id", "url", F.concat(F.lit("e"), (i % 5).cast("string")).alias("etag"), F.lit(None).cast("string").alias("last_modified"), T.http_date(day).alias("expires"))
+    return pages(spark, sf_dir).filter(part).select("page_id", "url", F.concat(F.lit("e"), (i % 5).cast("string")).alias("etag"), F.lit(None).cast("string").alias("last_modified"), T.http_date(day).alias("expires"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 AND page_id % 5 = page_id % 7 THEN 304 ELSE 200 END AS status FROM pages")
@@ -460,9 +460,15 @@ def refetch_not_modified(spark, sf_dir):
 
 
 @query("SELECT page_id, make_timestamp(2030, 1, page_id % 28 + 1, 8, 0, 0) AS expires, page_id % 28 + 1 > 14 AS skipped FROM pages WHERE page_id % 2 = 0")
-def refetch_expires(spark, sf_dir):
+def refetch_expires(spark, sf_dir, part="page_id % 2 = 0"):
     skip = mirror.skipped(False, True, "2030-01-14 12:00:00", F.col("expires"))
-    return _info(spark, sf_dir).select("page_id", F.col("expires").cast("timestamp_ntz").alias("expires"), skip.alias("skipped"))
+    return _info(spark, sf_dir, part).select("page_id", F.col("expires").cast("timestamp_ntz").alias("expires"), skip.alias("skipped"))
+
+
+@query("SELECT page_id, make_timestamp(2030, 1, page_id % 28 + 1, 8, 0, 0) AS expires, page_id % 28 + 1 > 14 AS skipped FROM pages")
+def refetch_expires_whole(spark, sf_dir):
+    """The expiry of all pages."""
+    return refetch_expires(spark, sf_dir, "true")
 
 
 # Mirror tables
