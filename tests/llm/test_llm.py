@@ -283,6 +283,29 @@ def test_components_of_near_copies(spark):
     assert got == sorted(map(repr, brute_components(rows)))
 
 
+def test_all_links_of_near_copies(spark):
+    """Every pair of documents that link, within components too."""
+    r = random.Random(6)
+    base = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(80)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = "x" + str(r.randrange(1000))
+        rows.append((i, " ".join(w)))
+    rows += [(50, rows[0][1]), (51, "a b"), (52, "A b"), (53, None)]
+    pairs, sets = jaccard_join.links_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    linked = {(x["a"], x["b"]) for x in pairs.collect()}
+    of = {x["doc_id"]: x["a"] for x in sets.collect()}
+    s = {d: _sets(t) for d, t in rows}
+    for i in s:
+        for j in s:
+            if i < j and s[i] and s[j]:
+                n = len(s[i] & s[j])
+                want = 100 * n >= 75 * (len(s[i]) + len(s[j]) - n)
+                assert want == (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in linked), (i, j)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (5, 5), (200, 201), (201, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))

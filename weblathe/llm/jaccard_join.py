@@ -301,13 +301,36 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return merged
 
 
-def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, a row for each of docs."""
+def all_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: all pairs of different sets that link, a < b; also those within a component."""
+    rows = kept(prefixes(sets, "o1"))
+    side = lambda p: rows.select(F.col("s").alias(p + "s"), *[F.col(k).alias(p + k) for k in ("id", "n", "r", "bits", "pos")])
+    enough = _enough(percent, "x_n", "y_n")
+    may = (F.col("x_id") < F.col("y_id")) & (F.col("x_r") - F.col("x_pos") >= enough) & (F.col("y_r") - F.col("y_pos") >= enough) & _near(percent)
+    pairs = side("x_").join(side("y_"), (F.col("x_s") == F.col("y_s")) & may).select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
+    return verified(kept(pairs.distinct()), sets, percent)
+
+
+def links_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (a, b) for all pairs of different sets that link, and doc_id, a: the set of each of docs with words.
+
+    Equal sets are one, so documents of one a link as well.
+    """
+    every = _with_sets_of(docs, doc_id, text, percent)
+    return kept(all_links(shared_sets(every, percent), percent)), every.filter("n > 0").select("doc_id", "a")
+
+
+def _with_sets_of(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     able = kept(linkable(docs, percent))
     n = able.count()
     some = level(able.select("a", F.col("a").alias("b")), n, max(1e-4, 2.0 ** (-MAX_BYTES * 5.5 / max(1, n))), 1) if n else Level(np.zeros(8, np.uint8), 1)
-    every = kept(with_sets(docs, some))
+    return kept(with_sets(docs, some))
+
+
+def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, a row for each of docs."""
+    every = _with_sets_of(docs, doc_id, text, percent)
     found = links(shared_sets(every, percent), percent)
     sets = every.filter("n > 0").groupBy("a").agg(F.min("doc_id").alias("least"))
     sets = sets.join(found, F.col("a") == F.col("node"), "left").withColumn("c", F.coalesce("component", "a")).select("a", "least", "c")
