@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,14 @@ from weblathe.llm.common import table
 from weblathe.llm.jaccard_join import slices
 
 MARK = "▁"
-#: Words whose ids a worker keeps at most, from one batch to the next.
-REMEMBERED = 100_000
-#: Bytes of text that are indexed at a time.
-SLICE = 400_000
+#: Units whose ids a worker keeps from one slice to the next, about.
+REMEMBERED = 300_000
+#: Bytes of text that are encoded at a time.
+SLICE = 3_000_000
+#: Characters of new units that are indexed at a time.
+INDEXED = 400_000
+#: Units of more characters are indexed in windows.
+LONG, WINDOW = 200, 50_000
 _FAR = np.iinfo(np.int64).max
 
 
@@ -103,6 +108,7 @@ class Model:
         alphabet = sorted({c for x in at for c in x})
         self.code = np.full(0x110000, 0xFFFF, np.uint16)  # no piece has such a character
         self.code[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.code[0x20] = self.code[ord(MARK)]
         usable = [(x, i) for x, i in at.items() if reached[i]]
         self.longest = max(len(x) for x, _ in usable)
         self.piece_id = np.array([i for _, i in usable])
@@ -112,7 +118,11 @@ class Model:
         self.spelled = np.zeros((len(usable), -(-self.longest // 8) * 8), np.uint16)
         for row, (x, _) in enumerate(usable):
             self.spelled[row, : len(x)] = self.code[[ord(c) for c in x]]
-        self.known: dict[str, np.ndarray] = {}
+        self.beside = np.unique(np.array([(int(self.code[ord(x)]) << 16) | int(self.code[ord(y)]) for t, _ in usable for x, y in zip(t, t[1:])], np.uint32))
+        size = np.fromiter(map(len, self.text), np.int64, len(self.text))
+        #: The bytes of all pieces, end to end, as decoding takes them.
+        self.bytes_of, self.bytes_at = np.frombuffer(b"".join(self.text), np.uint8), np.concatenate(([0], np.cumsum(size)))
+        self.forget()
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the concatenation of two pieces leaves these two."""
@@ -134,37 +144,49 @@ class Model:
             a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
         return out
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct words, each with its space mark first, end to end, and where each word's begin."""
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(1, np.int64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        text = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        starts = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-        codes = self.code[text]
-        codes[starts + sizes] = 0
+    def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The start and the piece of every occurrence of a piece in these codes, from a suffix array of them."""
         # codes of the batch: as many characters as fit go into one number to compare
-        here = np.unique(codes[(codes != 0) & (codes != 0xFFFF)])
+        here = np.flatnonzero(np.bincount(codes, minlength=0x10000))
+        here = here[(here != 0) & (here != 0xFFFF)]
         bits = 8 if len(here) < 255 else 16
         to = np.zeros(0x10000, np.uint16)
         to[here] = np.arange(1, len(here) + 1)
-        rows = np.flatnonzero((to[self.spelled] != 0).sum(axis=1) == self.piece_len)  # other pieces can't occur
+        first_two = np.zeros(1 << 16, bool) if bits == 8 else None
+        rows = np.flatnonzero(to[self.spelled[:, 0]] != 0)
+        if first_two is not None and len(codes) > 1:  # other pieces can't occur
+            small = to[codes].astype(np.uint32)
+            first_two[(small[:-1] << 8) | small[1:]] = True
+            second = to[self.spelled[rows, 1]].astype(np.uint32)
+            rows = rows[(self.piece_len[rows] == 1) | first_two[(to[self.spelled[rows, 0]].astype(np.uint32) << 8) | second] & (second != 0)]
+        rows = rows[(to[self.spelled[rows]] != 0).sum(axis=1) == self.piece_len[rows]]
         low = to[self.spelled[rows]]
         high = np.where(low == 0, np.uint16((1 << bits) - 1), low)
         places = np.flatnonzero((codes != 0) & (codes != 0xFFFF))
         keys = _windows(to[codes], places, low.shape[1], bits)
         order = np.lexsort(keys.T[::-1])
-        suffixes, keys = places[order], keys[order]
+        suffixes, keys = places[order].astype(np.int32), keys[order]
+        del order, places
         first, last = _search(keys, _packed(low, bits), False), _search(keys, _packed(high, bits), True)
         count = last - first
-        del keys, order, low, high
-        small = lambda x: x.astype(np.int32)  # noqa: E731  edges are many: four bytes for each of their ends
         which = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        at = np.repeat(small(first - np.concatenate(([0], np.cumsum(count)))[:-1]), count)
+        at = np.repeat((first - np.concatenate(([0], np.cumsum(count)))[:-1]).astype(np.int32), count)
         at += np.arange(len(at), dtype=np.int32)
-        start = small(suffixes)[at]
-        piece, end = small(self.piece_id[rows])[which], start + small(self.piece_len[rows])[which]
-        del which, at
+        return suffixes[at], rows.astype(np.int32)[which]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct units, end to end, and where each unit's begin."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
+        codes = self.code[text]
+        codes[starts + sizes] = 0
+        start, row = self._edges(codes)
+        small = lambda x: x.astype(np.int32)  # noqa: E731  edges are many: four bytes for each of their ends
+        piece, end = small(self.piece_id)[row], start + small(self.piece_len)[row]
+        del row
         alone = small(np.flatnonzero(codes == 0xFFFF))
         none = np.int32(len(self.text))
         start, end, piece = np.concatenate((start, alone)), np.concatenate((end, alone + np.int32(1))), np.concatenate((piece, np.full(len(alone), none)))
@@ -172,7 +194,7 @@ class Model:
         order = small(np.argsort(offset, kind="stable"))
         start, end, piece, offset = start[order], end[order], piece[order], offset[order]
         del order
-        last_piece = np.full(len(codes) + 1, -1)  # of the path to a position
+        last_piece = np.full(len(codes) + 1, -1, np.int32)  # of the path to a position
         begins = np.zeros(len(codes) + 1, bool)
         begins[starts] = True
         cuts = np.flatnonzero(np.r_[True, offset[1:] != offset[:-1], True]) if len(offset) else np.zeros(1, np.int64)
@@ -184,6 +206,55 @@ class Model:
             last_piece[e[ok]] = p[ok]
         return self._back(starts, sizes, last_piece, text)
 
+    def long_word(self, word: str) -> np.ndarray:
+        """The ids of one unit of any length, in bounded memory: it is indexed window by window and relaxed from place to place."""
+        text = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes, n = self.code[text], len(text)
+        last, none, fits = np.full(n + 1, -1, np.int32), len(self.text), {}
+        for at in range(0, n, WINDOW):
+            low = max(0, at - self.longest + 1)
+            start, row = self._edges(codes[low : at + WINDOW])
+            start, piece = start.astype(np.int64) + low, self.piece_id[row]
+            end = start + self.piece_len[row]
+            alone = np.flatnonzero(codes[at : at + WINDOW] == 0xFFFF) + at
+            start, end, piece = np.concatenate((start, alone)), np.concatenate((end, alone + 1)), np.concatenate((piece, np.full(len(alone), none)))
+            order = np.argsort(end, kind="stable")
+            order = order[end[order] > at]
+            for s, e, p in zip(start[order].tolist(), end[order].tolist(), piece[order].tolist()):
+                if s:
+                    pair = (int(last[s]), p)
+                    if pair not in fits:
+                        fits[pair] = bool(self.compatible(np.array(pair[:1]), np.array(pair[1:]))[0])
+                    if not fits[pair]:
+                        continue
+                last[e] = p
+        return self._back(np.zeros(1, np.int64), np.array([n]), last, text)[0]
+
+    def learn(self, units: list[str]) -> None:
+        """Puts the ids of distinct units that aren't known yet into the table; they are indexed in runs of bounded size."""
+        short = [x for x in units if len(x) <= LONG]
+        run = np.cumsum(np.fromiter(map(len, short), np.int64, len(short)) + 1) // INDEXED
+        cuts = np.searchsorted(run, np.arange(run[-1] + 2)).tolist() if short else [0]
+        for a, b in zip(cuts, cuts[1:]):
+            self._remember(short[a:b], *self.words(short[a:b]))
+        for x in units:
+            if len(x) > LONG:
+                ids = self.long_word(x)
+                self._remember([x], ids, np.array([0, len(ids)]))
+
+    def _remember(self, units: list[str], ids: np.ndarray, at: np.ndarray) -> None:
+        known, end = len(self.known), int(self.ends[len(self.known)])
+        self.known.update(zip(units, range(known, known + len(units))))
+        fits = lambda x, n: x if n <= len(x) else np.concatenate((x, np.zeros(max(n, len(x) // 2), x.dtype)))
+        self.store, self.ends = fits(self.store, end + len(ids)), fits(self.ends, known + len(units) + 1)
+        self.store[end : end + len(ids)] = ids
+        self.ends[known : known + len(units) + 1] = at + end
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        #: The ids of the known units, end to end, and where each unit's begin.
+        self.store, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64)
+
     def _back(self, starts, sizes, last_piece, text):
         at, word = starts + sizes, np.arange(len(starts))
         steps = []
@@ -210,26 +281,45 @@ class Model:
             piece[np.concatenate([np.arange(t, t + len(x)) for t, x in zip(to[bad].tolist(), parts)])] = self.byte[np.frombuffer(b"".join(parts), np.uint8)]
         return piece, np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(starts)))))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids end to end, and where each text's begin."""
-        split = [(" " + x).replace(" ", MARK).split(MARK)[1:] if x else [] for x in texts]
-        each = np.fromiter(map(len, split), np.int64, len(split))
-        coded = pa.array([w for part in split for w in part], pa.string()).dictionary_encode()
+    def units(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The texts, each with a space before it, cut before every space and between characters that lie side by side in no
+        piece, as nothing is merged across such a border; and where each text's units begin. Empty texts have none."""
+        some = pc.binary_length(texts).to_numpy() > 0
+        texts = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts.filter(pa.array(some)), pa.scalar(" ", pa.large_string()))
+        sizes = pc.binary_length(texts).to_numpy()
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[: sizes.sum()] if len(texts) else np.zeros(0, np.uint8)
+        first = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)  # bytes of a character
+        codes = self.code[np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+        here = np.flatnonzero(np.bincount(codes, minlength=1))
+        to = np.zeros(0x10000, np.uint16)
+        to[here] = np.arange(1, len(here) + 1)
+        together = np.zeros((len(here) + 1, len(here) + 1), bool)
+        left, right = to[self.beside >> np.uint32(16)], to[self.beside & np.uint32(0xFFFF)]
+        together[left, right] = (left > 0) & (right > 0)
+        together[:, to[self.code[0x20]]] = False
+        codes = to[codes]
+        border = np.r_[True, ~together[codes[:-1], codes[1:]]] if len(codes) else np.zeros(0, bool)
+        del codes
+        begin = first[border].astype(np.int64)
+        whole = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)])
+        each = np.zeros(len(some), np.int64)
+        each[some] = sizes
+        return whole.dictionary_encode(), np.searchsorted(begin, np.concatenate(([0], np.cumsum(each))))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids end to end, and where each text's begin. Null is empty."""
+        coded, at = self.units(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), MARK, " "))
         distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, distinct
-        ids, at = self.words([MARK + w for w in new])
-        ends = at.tolist()
-        self.known.update(zip(new, (ids[a:b] for a, b in zip(ends, ends[1:]))))
-        parts = [self.known[w] for w in distinct]
-        ids = np.concatenate([np.zeros(0, np.int64), *parts])
-        at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))
-        word = coded.indices.to_numpy().astype(np.int64)
-        count = np.diff(at)[word]
-        ends = np.concatenate(([0], np.cumsum(count)))
-        out = ids[np.repeat(at[:-1][word] - ends[:-1], count) + np.arange(ends[-1])]
-        return self._joined(out, ends[np.concatenate(([0], np.cumsum(each)))])
+        if len(self.known) > REMEMBERED or len(self.store) > 16 * REMEMBERED:
+            self.forget()
+        self.learn([x for x in distinct if x not in self.known])
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        begin, count = self.ends[number].astype(np.int32), (self.ends[number + 1] - self.ends[number]).astype(np.int32)
+        unit = coded.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(count[unit], dtype=np.int64)))
+        source = np.repeat(begin[unit] - ends[:-1].astype(np.int32), count[unit])
+        source += np.arange(ends[-1], dtype=np.int32)
+        return self._joined(self.store[source], ends[at])
 
     def run_of_marks(self, n: int) -> list[int]:
         """The lengths that n space marks are merged to: the leftmost pair that is a piece is always the next."""
@@ -249,6 +339,8 @@ class Model:
         firsts = np.flatnonzero(opens)
         size = np.bincount(np.cumsum(opens)[single] - 1, minlength=len(firsts))
         drop, known = np.zeros(len(ids), bool), {}
+        if not (size > 1).any():
+            return ids, at
         for first, n in zip(firsts[size > 1].tolist(), size[size > 1].tolist()):
             if n not in known:
                 known[n] = [self.runs[k] for k in self.run_of_marks(n)]
@@ -260,6 +352,24 @@ class Model:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
+    def decoded(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts of all ids: the bytes of their pieces, without the space that a text's first piece begins with."""
+        size = np.diff(self.bytes_at).astype(np.int32)[ids]
+        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        source = np.repeat(self.bytes_at.astype(np.int32)[ids] - ends[:-1].astype(np.int32), size)
+        source += np.arange(ends[-1], dtype=np.int32)
+        data, ends = self.bytes_of[source], ends[at]
+        del source
+        some = np.flatnonzero(np.diff(ends) > 0)
+        stays = np.ones(len(data), bool)
+        stays[ends[:-1][some]] = False
+        ends = ends - np.searchsorted(some, np.arange(len(ends)))
+        out = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[stays])])
+        try:
+            return out.cast(pa.string())
+        except pa.ArrowInvalid:  # ids that no text has
+            return pa.array([x.decode("utf-8", "replace") for x in out.to_pylist()], pa.string())
+
 
 def _packed(codes: np.ndarray, bits: int) -> np.ndarray:
     """Codes of so many bits to numbers, 64 bits of them to each, the first the most significant."""
@@ -313,13 +423,11 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
         for batch in batches:
             for start, n in slices(batch.column(len(keep)), SLICE):
                 part = batch.slice(start, n)
-                texts = part.column(len(keep)).to_pylist()
+                texts = part.column(len(keep))
                 ids, at = own.encode(texts)
-                flat, ends = ids.tolist(), at.tolist()
-                decoded = [own.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                same = pa.array([x == y for x, y in zip(texts, decoded)])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(np.diff(at)), pa.array(decoded, pa.string()), same], names=[*keep, "ids", "n_ids", "decoded", "round_trip"])
+                decoded = own.decoded(ids, at)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(np.diff(at)), decoded, pc.equal(texts.cast(pa.string()), decoded)], names=[*keep, "ids", "n_ids", "decoded", "round_trip"])
 
     return docs.mapInArrow(run, schema)
 
