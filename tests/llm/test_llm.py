@@ -152,8 +152,12 @@ def test_pieces_are_the_library_s():
     import sentencepiece
 
     own, lib = pieces.Model(P.path("piece_bpe_32k.model")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
-    texts = _random_texts()
-    ids, at = own.encode(texts)
+    r = random.Random(4)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123+/") for _ in range(20000))
+    texts = _random_texts() + ["a" * 5000, "ab" * 70000, letters, "日本語" * 400, "😀" * 300, "the" * 200, " " * 50 + "z", "=_" * 444, "x\n\n\ty\0z"]
+    ids, at = own.encode(pa.array(texts))
+    assert own.decoded(ids, at).to_pylist() == [t.replace("▁", " ") for t in texts]
+    assert own.encode(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0, 0] and own.encode(pa.array([], pa.string()))[1].tolist() == [0]
     got = [ids[a:b].tolist() for a, b in zip(at, at[1:])]
     assert got == lib.encode(texts)
     assert [own.decode(x) for x in got] == lib.decode(got)
@@ -245,6 +249,37 @@ def test_shingles():
             assert len(got[i] & got[j]) == len(want[i] & want[j])
 
 
+def test_words_over_blocks(monkeypatch):
+    """Words and texts that lie in several blocks have the fingerprints that they have in one."""
+    r = random.Random(2)
+    texts = pa.array(["".join(r.choice("ab \n") for _ in range(r.randint(0, 40))) for _ in range(100)] + [None, "", "x" * 100, "a b", "b", "", "c d"])
+    want = shingles.word_hashes(texts)
+    for size in (1, 3, 7, 64):
+        monkeypatch.setattr(shingles, "BLOCK", size)
+        got = shingles.word_hashes(texts)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+def test_linkable_over_flushes_and_chunks(spark):
+    """Several flushes and chunks, and a shingle that nearly all texts have, let through what one of each does."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    passage = " ".join(word() for _ in range(6))
+    texts = [" ".join(word() for _ in range(r.randint(5, 40))) + " " + passage for _ in range(60)]
+    texts += [t + " " + word() for t in texts[:20]] + texts[5:10] + [passage] * 5
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    one = {x["a"] for x in jaccard_join.linkable(df).collect()}
+    many = {x["a"] for x in jaccard_join.linkable(df, chunk=20, flush=50).collect()}
+    assert one == many and len(one) >= 40
+
+
+def test_sets_of_one_first_fingerprint(spark):
+    """Sets that share their first fingerprint have names of their own."""
+    rows = [(1, 3, 7, 1), (2, 3, 7, 2), (3, 3, 7, 1), (4, 3, 8, 1), (5, 0, 0, 0)]
+    got = {x["doc_id"]: x["id"] for x in jaccard_join.named(spark.createDataFrame(rows, "doc_id long, n long, a long, b long")).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == 8 and got[5] is None
+
+
 def brute_components(rows):
     group, sets = list(range(len(rows))), [_sets(t) for _, t in rows]
 

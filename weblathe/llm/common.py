@@ -36,6 +36,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows a batch between the JVM and Python workers where nobody has said how many: 10,000 texts are too many to hold in both."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

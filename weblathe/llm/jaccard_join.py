@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weblathe.llm.common import kept, table
+from weblathe.llm.common import kept, small_batches, table
 from weblathe.llm.components import components
 from weblathe.llm.shingles import mix, shingle_sets
 from weblathe.llm.url_filter import MAX_BYTES, Level, level
@@ -47,9 +47,9 @@ BITS = 512
 #: Shingles that meet in one task, about.
 CHUNK = 1_000_000
 #: Shingles that a task holds before it sends them.
-FLUSH = 1_500_000
+FLUSH = 600_000
 #: Characters of text that are fingerprinted at a time.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -88,53 +88,54 @@ def parities(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 # Step 1: which texts can have a link
 
 
-def _sent(sets: list[tuple[np.ndarray, np.ndarray]], bits: int, percent: int) -> Iterator[tuple]:
-    """Of the sets of a flush: (chunk, shingles, owners, keys) for each chunk, and each set's own row (-1, n, r, keys)."""
-    values = np.concatenate([v for v, _ in sets])
+def _sent(sets: list[tuple[np.ndarray, np.ndarray]], bits: int) -> pa.RecordBatch:
+    """The sets of a flush: a row for each chunk that has any of their shingles, and one (chunk -1: n, r, keys) of the sets themselves."""
     sizes = np.concatenate([np.diff(at) for _, at in sets])
     keys = np.concatenate([fingerprints(v, at)[0] for v, at in sets])
+    values = np.concatenate([v for v, _ in sets])
+    sets.clear()
     owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
     order = np.argsort(values)
     values, owner = values[order], owner[order]
+    del order
     first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
     runs = np.diff(np.append(first, len(values)))
-    shared = np.repeat(runs > 1, runs)
-    r = np.bincount(owner[shared], minlength=len(sizes))
+    r = np.bincount(owner[np.repeat(runs > 1, runs)], minlength=len(sizes)).astype(np.uint32)
     kind = np.uint16 if len(sizes) < 0xFFFF else np.uint32
-    yield -1, sizes.astype(np.uint32), r.astype(np.uint32), keys
-    values, single = values[first], runs == 1
-    owner = np.where(single, owner[first], np.iinfo(kind).max).astype(kind)
-    ends = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
+    values = values[first]
+    owner = np.where(runs == 1, owner[first], np.iinfo(kind).max).astype(kind)
+    chunk = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+    cuts = np.append(np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(chunk) else np.zeros(0, np.int64), len(chunk))
     low = ((values << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-    for chunk, (a, b) in enumerate(zip(np.r_[0, ends], np.r_[ends, len(values)])):
-        if b > a:
-            yield chunk, low[a:b], owner[a:b], keys[:0]
-
+    own = np.append(keys, len(keys)).view(np.uint64)  # the same if the task is run again
+    name = int(mix(own + np.arange(len(own), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
+    n = len(cuts)
+
+    def binary(at: np.ndarray, data: np.ndarray, last: bytes) -> pa.Array:
+        ends = np.append(at * data.itemsize, len(data) * data.itemsize + len(last)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data.tobytes() + last)])
+
+    chunks = np.append(chunk[cuts[:-1]], -1).astype(np.int32)
+    keyed = pa.array([b""] * (n - 1) + [keys.tobytes()], pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(chunks), pa.array(np.full(n, name)), binary(cuts, low, sizes.astype(np.uint32).tobytes()), binary(cuts, owner, r.tobytes()), keyed, pa.array(np.full(n, kind is np.uint32))],
+        names=["chunk", "flush", "shingles", "owners", "keys", "wide"],
+    )
 
-def _send(bits: int, percent: int):
-    names = ["chunk", "flush", "shingles", "owners", "keys", "wide"]
 
+def _send(bits: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held = [], 0
-
-        def flush():
-            parts = list(_sent(sets, bits, percent))
-            own = np.append(parts[0][3], len(parts[0][3])).astype(np.int64).view(np.uint64)  # the same if the task is run again
-            name = int(mix(own + np.arange(len(own), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
-            rows = [(c, name, v.tobytes(), o.tobytes(), k.tobytes(), o.itemsize == 4) for c, v, o, k in parts]
-            for at in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 64]), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()))], names=names)
-
         for batch in batches:
             texts = batch.column(0)
             for at, n in slices(texts):
                 sets.append(shingle_sets(texts.slice(at, n)))
                 held += len(sets[-1][0])
-                if held >= FLUSH:
-                    yield from flush()
-                    sets, held = [], 0
+                if held >= most:
+                    yield _sent(sets, bits)
+                    held = 0
         if sets:
-            yield from flush()
+            yield _sent(sets, bits)
 
     return run
 
@@ -177,11 +178,15 @@ def _summed(t: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(key[0]), "n": pa.array(n[0].astype(np.int64)), "r": pa.array(total)})
 
 
-def linkable(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Fingerprints (a) of the sets that have enough shingles in other texts; a superset, by a few, of what has a link."""
+def linkable(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, flush: int = FLUSH) -> DataFrame:
+    """Fingerprints (a) of the sets that have enough shingles in other texts; a superset, by a few, of what has a link.
+
+    Chunks hold about as many shingles each at any size of the input; a flush sends a row to each chunk that it has shingles of, so
+    rows are never more than shingles.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, size / 6 / CHUNK))))
-    sent = docs.select("text").mapInArrow(_send(bits, percent), "chunk int, flush long, shingles binary, owners binary, keys binary, wide boolean")
+    bits = min(31, max(0, math.ceil(math.log2(max(1, size / 6 / chunk)))))
+    sent = docs.select("text").mapInArrow(_send(bits, flush), "chunk int, flush long, shingles binary, owners binary, keys binary, wide boolean")
     spread = F.when(F.col("chunk") < 0, F.col("flush")).otherwise(0)
     met = sent.groupBy("chunk", spread).applyInArrow(_met, "flush long, owners binary, counts binary, keys binary")
     summed = met.groupBy("flush").applyInArrow(_summed, "key long, n long, r long")
@@ -216,10 +221,19 @@ def with_sets(docs: DataFrame, some: Level | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, shingles array<long>, bits array<long>")
 
 
+def named(sets: DataFrame) -> DataFrame:
+    """sets with id, one for each distinct set: its first fingerprint, or one of both where several sets have the same first."""
+    several = kept(sets.filter("n > 0").groupBy("a").agg(F.min("b").alias("b1"), F.max("b").alias("b2")).filter("b1 <> b2").select("a"))
+    if several.isEmpty():
+        return sets.withColumn("id", F.when(F.col("n") > 0, F.col("a")))
+    both = sets.join(several.withColumn("several", F.lit(True)), "a", "left")
+    return both.withColumn("id", F.when(F.col("n") > 0, F.when(F.col("several"), F.xxhash64("a", "b")).otherwise(F.col("a")))).drop("several")
+
+
 def shared_sets(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """id, n, need, r and three orders of the r shingles that other sets have too: o1 whole, o2 and o3 prefixes."""
-    one = sets.filter("shingles IS NOT NULL").groupBy("a").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"), F.min("b").alias("b"), F.max("b").alias("c"))
-    one = kept(one.filter(F.assert_true(F.col("b") == F.col("c"), "two sets have one fingerprint").isNull()).select(F.col("a").alias("id"), "n", "shingles", "bits"))
+    one = sets.filter("shingles IS NOT NULL").groupBy("id").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"), F.min(F.xxhash64("a", "b")).alias("u"), F.max(F.xxhash64("a", "b")).alias("v"))
+    one = kept(one.filter(F.assert_true(F.col("u") == F.col("v"), "two sets have one name").isNull()).select("id", "n", "shingles", "bits"))
     rows = one.select("id", F.explode("shingles").alias("s"))
     often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     need = F.ceil(F.col("n") * percent / 100).cast("long")
@@ -317,30 +331,30 @@ def links_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     Equal sets are one, so documents of one a link as well.
     """
     every = _with_sets_of(docs, doc_id, text, percent)
-    return kept(all_links(shared_sets(every, percent), percent)), every.filter("n > 0").select("doc_id", "a")
+    return kept(all_links(shared_sets(every, percent), percent)), every.filter("n > 0").select("doc_id", F.col("id").alias("a"))
 
 
 def _with_sets_of(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     able = kept(linkable(docs, percent))
     n = able.count()
     some = level(able.select("a", F.col("a").alias("b")), n, max(1e-4, 2.0 ** (-MAX_BYTES * 5.5 / max(1, n))), 1) if n else Level(np.zeros(8, np.uint8), 1)
-    return kept(with_sets(docs, some))
+    return named(kept(with_sets(docs, some)))
 
 
 def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, a row for each of docs."""
     every = _with_sets_of(docs, doc_id, text, percent)
     found = links(shared_sets(every, percent), percent)
-    sets = every.filter("n > 0").groupBy("a").agg(F.min("doc_id").alias("least"))
-    sets = sets.join(found, F.col("a") == F.col("node"), "left").withColumn("c", F.coalesce("component", "a")).select("a", "least", "c")
-    sets = kept(sets)
+    sets = every.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"))
+    sets = kept(sets.join(found, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).select("id", "least", "c"))
     low = sets.groupBy("c").agg(F.min("least").alias("component_id"))
-    known = sets.join(low, "c").select("a", "component_id")
+    known = sets.join(low, "c").select("id", "component_id")
     some_set = F.col("n") > 0
     return (
-        every.select("doc_id", "n", F.when(some_set, F.col("a")).alias("a"))
-        .join(known, "a", "left")
+        every.select("doc_id", "n", "id")
+        .join(known, "id", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(some_set, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 

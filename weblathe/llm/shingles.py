@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE = 5
+#: Bytes that are worked on at a time.
+BLOCK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -34,7 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        n = max(n, 1 << 20)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(n, base, np.uint64)
             steps[:1] = 1
@@ -55,24 +56,47 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints of all words in order, and where each text's words begin."""
+    """The fingerprints of all words in order, and where each text's words begin. BLOCK bytes are worked on at a time."""
     data, offs = text_bytes(texts)
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    word = ~_SPACE[data]
-    edge = np.ones(n + 1, bool)  # whether a text begins here or the byte before is white space
-    edge[1:] = ~np.append(word, False)[:-1]
-    edge[offs] = True
-    starts = np.flatnonzero(word & edge[:-1])
-    after = edge[1:].copy()
-    after[:-1] |= ~word[1:]
-    ends = np.flatnonzero(word & after) + 1
-    up, down = _power(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
-    return hashes, np.searchsorted(starts, offs)
+    starts, hashes, size = [], [], 0  # size: of the word that the block before ends in, so far
+    up, down = _power(BLOCK + 1)
+    for at in range(0, n, BLOCK):
+        part = data[at : at + BLOCK]
+        word = ~_SPACE[part]
+        edge = np.ones(len(part) + 1, bool)  # whether a text begins here or the byte before is white space
+        edge[1:] = ~np.append(word, False)[:-1]
+        edge[offs[np.searchsorted(offs, at) : np.searchsorted(offs, at + len(part), "right")] - at] = True
+        edge[len(part)] |= at + len(part) == n
+        goes_on = size > 0 and word[0] and not _begins(offs, at)
+        first = np.flatnonzero(word & edge[:-1])  # place 0 too, as edge is true there
+        after = edge[1:].copy()
+        after[:-1] |= ~word[1:]
+        after[-1] = True
+        last = np.flatnonzero(word & after) + 1
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        sums = (total[last] - total[first]) * down[first]
+        if goes_on:
+            hashes[-1][-1:] += sums[:1] * np.uint64(pow(int(_BASE), size, 1 << 64))
+            size = size + len(part) if last[0] == len(part) else 0
+            sums, first, fresh = sums[1:], first[1:], last[1:]
+        else:
+            size, fresh = 0, last
+        if len(fresh):
+            starts.append(first + at), hashes.append(sums)
+            if fresh[-1] == len(part):
+                size = int(fresh[-1] - first[-1])
+    starts = np.concatenate([np.zeros(0, np.int64), *starts])
+    return mix(np.concatenate([np.zeros(0, np.uint64), *hashes])), np.searchsorted(starts, offs)
+
+
+def _begins(offs: np.ndarray, at: int) -> bool:
+    """Whether a text begins at this byte."""
+    k = np.searchsorted(offs, at)
+    return bool(k < len(offs) and offs[k] == at)
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
