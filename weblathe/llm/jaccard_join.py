@@ -289,7 +289,7 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         lead = rows.groupBy("s").agg(F.min(first).alias("lead"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("s", F.col("lead.id").alias("lead"))
         star = rows.join(lead, "s").filter("id <> lead").select(F.least("id", "lead").alias("x"), F.greatest("id", "lead").alias("y"))
         pairs = star if pairs is None else pairs.unionByName(star)
-    near = kept(verified(kept(pairs.distinct()), sets, percent))
+    near = kept(verified(kept(pairs.distinct()), sets, percent).distinct())
     merged = kept(components(near))
     enough = _enough(percent, "x_n", "y_n")
     may = (F.col("x_c") != F.col("y_c")) & (F.col("x_id") != F.col("y_id")) & (F.col("x_r") - F.col("x_pos") >= enough) & (F.col("y_r") - F.col("y_pos") >= enough) & _near(percent)
@@ -307,7 +307,7 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         # all of the filter is the join's own condition: pairs that it refuses, and pairs within a component, are never made
         found = side("x_", rows).join(side("y_", other), (F.col("x_s") == F.col("y_s")) & on)
         found = kept(found.select(F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y")).distinct())
-        more = kept(verified(found, sets, percent))
+        more = kept(verified(found, sets, percent).distinct())
         if more.isEmpty() and salt < ROUNDS:
             continue
         near = near.unionByName(more)
