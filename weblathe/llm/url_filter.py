@@ -7,8 +7,9 @@ level 3 the rules that level 2 takes for such keys; and so on until nothing is l
 exactly if the first level that lacks it is even, so that urls are judged without a join.
 
 Level 1 is sized so that its false positives over the universe are about as many as the rules, so all levels together
-grow with the rule list and not with the corpus. They are shipped to the tasks up to MAX_BYTES; a longer list needs to be
-split by host first, and is refused. Levels are built where the keys are: each is a set of distinct bit positions.
+grow with the rule list and not with the corpus. Which keys of the universe are rules is told by the aggregation that makes them distinct.
+Levels are built where the keys are, each in ranges of its bits, and shipped to the tasks up to MAX_BYTES a level; rules that need
+more are looked up by a join of the keys instead.
 
 Null urls and urls without `://` have an empty host and path and meet no rule. Rows are judged alone; repeated rows and
 null ids stay. An empty table, or an empty rule list, works. Other columns pass through unless their names are those of
@@ -25,11 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weblathe.llm.common import kept, table
 from weblathe.llm.shingles import mix
 
 MAX_BYTES = 64 << 20
+#: Words of 64 bits that are put together in one row.
+RANGE = 1 << 13
 #: Of all levels but the first.
 RATE = 0.5
 #: The rules of the query.
@@ -76,10 +80,14 @@ class Level:
         return out
 
 
+def size_of(n: int, rate: float) -> int:
+    """Bytes of a level of n keys."""
+    return max(8, math.ceil(-max(n, 1) * math.log(rate) / math.log(2) ** 2 / 8))
+
+
 def level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
-    """A Bloom filter of the n rows (a, b) of keys; a task sends its own bits, one row."""
-    n = max(n, 1)
-    size = max(8, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 8))
+    """A Bloom filter of the n rows (a, b) of keys; a task sends its own bits, ranges of them are put together, and the driver gets a row a range."""
+    size = size_of(n, rate)
     if size > MAX_BYTES:
         raise ValueError(f"a level of {size} bytes; the limit is {MAX_BYTES}")
     hashes = max(1, round(-math.log2(rate)))
@@ -95,9 +103,17 @@ def level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             yield pa.RecordBatch.from_arrays([pa.array(word[starts]), pa.array(np.bitwise_or.reduceat(bit, starts).view(np.int64))], names=["word", "bits"])
 
-    words = keys.select("a", "b").mapInArrow(positions, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(-(-size // 8), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    def together(t: pa.Table) -> pa.Table:
+        word, bits = (t[c].to_numpy() for c in ("word", "bits"))
+        out = np.zeros(RANGE, np.uint64)
+        np.bitwise_or.at(out, word % RANGE, bits.view(np.uint64))
+        return pa.table({"part": pa.array([int(word[0]) // RANGE]), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    words = keys.select("a", "b").mapInArrow(positions, "word long, bits long")
+    parts = words.groupBy(F.shiftright("word", RANGE.bit_length() - 1)).applyInArrow(together, "part long, bits binary").collect()  # of at most MAX_BYTES
+    out = np.zeros(-(-size // 8 // RANGE) * RANGE + RANGE, np.uint64)
+    for r in parts:
+        out[r["part"] * RANGE : (r["part"] + 1) * RANGE] = np.frombuffer(r["bits"], np.uint64)
     return Level(out.view(np.uint8)[:size], hashes, salt)
 
 
@@ -117,16 +133,12 @@ def hashed(key: Column) -> list[Column]:
     return [F.xxhash64(F.lit(3), key).alias("a"), F.xxhash64(F.lit(5), key).alias("b")]
 
 
-def build(universe: DataFrame, n_universe: int, listed: DataFrame) -> Cascade:
-    """universe, listed: distinct (a, b). Only level 1 is tested over the universe; what it lets through is as small as the list."""
-    listed = kept(listed.join(universe, ["a", "b"], "left_semi"))
-    n = listed.count()
-    if not n:
+def build(listed: DataFrame, others: DataFrame, n_listed: int, n_others: int) -> Cascade:
+    """Of distinct (a, b): the listed keys of the universe, and all others. Only level 1 is tested over the others; what it lets through is as small as the list."""
+    if not n_listed:
         return Cascade([Level(np.zeros(8, np.uint8), 1)])
-    rate = min(RATE, max(1e-9, n * math.sqrt(0.5) / max(1, n_universe)))
-    levels = [level(listed, n, rate, 0)]
-    others = kept(passing(universe, levels[0]).join(listed, ["a", "b"], "left_anti"))
-    inside, outside = listed, others
+    levels = [level(listed, n_listed, first_rate(n_listed, n_others), 0)]
+    inside, outside = listed, kept(passing(others, levels[0]))
     while n := outside.count():
         if len(levels) > 60:
             raise RuntimeError("two keys have the same 128 bits of hashes")
@@ -135,6 +147,10 @@ def build(universe: DataFrame, n_universe: int, listed: DataFrame) -> Cascade:
     return Cascade(levels)
 
 
+def first_rate(n_listed: int, n_others: int) -> float:
+    return min(RATE, max(1e-9, n_listed * math.sqrt(0.5) / max(1, n_listed + n_others)))
+
+
 def passing(keys: DataFrame, level: Level) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -144,7 +160,7 @@ def passing(keys: DataFrame, level: Level) -> DataFrame:
     return keys.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def judge(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], url: str = "url", default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], url: str = "url", default: str = "allow", max_bytes: int = MAX_BYTES) -> DataFrame:
     """pages with host, path, rule and verdict. rules: (host/path, allow or block); of repeated keys block wins."""
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
@@ -153,19 +169,31 @@ def judge(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], url: str =
     rules = kept(rules.select("rule", "verdict", *hashed(F.col("rule"))))
     at = F.length(F.regexp_extract("rule", r"\A[^/]*(.*)", 1))
     lengths = [r["n"] for r in rules.select(at.alias("n")).distinct().collect()]  # lengths of paths, a short list
-    names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    out = pages.select(*names, host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    names = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict") or c.lower() == url.lower()]
+    out = pages.select(F.struct(*[F.col(c) for c in names]).alias("given"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     out = out.withColumn("keys", keys(F.col("host"), F.col("path"), lengths))
-    universe = kept(out.select(F.explode("keys").alias("key")).select(*hashed(F.col("key"))).distinct())
-    n = universe.count()
-    cascades = {v: build(universe, n, rules.filter(F.col("verdict") == v).select("a", "b")) for v in ("allow", "block")}
+    flags = {"used": F.lit(False), "allow": F.col("verdict") == "allow", "block": F.col("verdict") == "block"}
+    ours = out.select(F.explode("keys").alias("key")).select(*hashed(F.col("key")), F.lit(True).alias("used"), F.lit(False).alias("allow"), F.lit(False).alias("block"))
+    every = ours.unionByName(rules.select("a", "b", *[c.alias(k) for k, c in flags.items()])).groupBy("a", "b").agg(*[F.max(k).alias(k) for k in flags])
+    universe = kept(every.filter("used").drop("used"))
+    count = universe.agg(F.count(F.lit(1)).alias("n"), F.count_if("allow").alias("allow"), F.count_if("block").alias("block")).first()
+    if any(size_of(count[v], first_rate(count[v], count["n"] - count[v])) > max_bytes for v in ("allow", "block")):
+        judged = _joined(out, rules, default)
+    else:
+        cascades = {v: build(universe.filter(v).select("a", "b"), universe.filter(~F.col(v)).select("a", "b"), count[v], count["n"] - count[v]) for v in ("allow", "block")}
+        judged = _tested(out, cascades, default)
+    return judged.select(*[F.col("given")[c].alias(c) for c in names if c.lower() not in ("host", "path", "rule", "verdict")], "host", "path", "rule", "verdict")
+
+
+def _tested(out: DataFrame, cascades: dict[str, Cascade], default: str) -> DataFrame:
+    """Rules and verdicts by the cascades alone; Spark broadcasts them with the function."""
     hashes = F.transform("keys", lambda k: F.struct(*hashed(k)))
-    tested = out.select(*names, "host", "path", "keys", F.transform(hashes, lambda s: s["a"]).alias("a"), F.transform(hashes, lambda s: s["b"]).alias("b"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tested.select(*names, "host", "path").schema.fields) + ", rule string, verdict string"
+    tested = out.select("given", "host", "path", "keys", F.transform(hashes, lambda s: s["a"]).alias("a"), F.transform(hashes, lambda s: s["b"]).alias("b"))
+    schema = T.StructType([*tested.select("given", "host", "path").schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            lists, a, b = (x.column(len(names) + 2 + i) for i in range(3))
+            lists, a, b = (x.column(3 + i) for i in range(3))
             a, b = (v.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for v in (a, b))
             allow, block = cascades["allow"].has(a, b), cascades["block"].has(a, b)
             row = lists.value_parent_indices().to_numpy(zero_copy_only=False)
@@ -175,11 +203,19 @@ def judge(pages: DataFrame, rules: DataFrame | list[tuple[str, str]], url: str =
             take[row[first]] = first
             index = pa.array(take, mask=take < 0)
             verdict = np.where(take < 0, default, np.where(block[take] if len(block) else False, "block", "allow"))
-            yield pa.RecordBatch.from_arrays([*x.columns[: len(names) + 2], lists.flatten().take(index), pa.array(verdict.tolist(), pa.string())], names=[*names, "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([*x.columns[:3], lists.flatten().take(index), pa.array(verdict.tolist(), pa.string())], names=["given", "host", "path", "rule", "verdict"])
 
     return tested.mapInArrow(run, schema)
 
 
+def _joined(out: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    """The same by a join of all keys with the rules."""
+    numbered = kept(out.withColumn("row", F.monotonically_increasing_id()))
+    hits = numbered.select("row", F.posexplode("keys").alias("at", "rule")).join(rules.select("rule", "verdict"), "rule")
+    best = hits.groupBy("row").agg(F.min_by(F.struct("rule", "verdict"), "at").alias("best"))
+    return numbered.join(best, "row", "left").select("given", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
