@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding by suffix-array matching, for BPE models.
 
-A batch's texts are cut into words at the space mark, and the distinct words are concatenated and indexed: a suffix
-array over the first characters of each suffix, as many as the longest piece has. Binary search finds every piece's range
-of occurrences; these become edges, which are sorted by the position they end at and relaxed from left to right.
+A batch's texts are concatenated and cut into units: before every space mark, and between characters that lie side by side in no piece, as
+nothing is merged across such a border. Units that the worker has seen lately keep their ids; the other distinct ones are concatenated and
+indexed: a suffix array over the first characters of each suffix, as many as the longest piece has. Binary search finds every piece's range
+of occurrences; these become edges, which are sorted by the position they end at and relaxed from left to right. A unit of any length
+(a text of one letter, say) is indexed and relaxed window by window, so memory doesn't grow with texts beyond their own bytes.
 
 In a BPE model the best path isn't the one of the best scores: the result is what merging the best pair again and again
 leaves. That result is the only path whose neighbours are each what merging leaves of their concatenation; so an edge
@@ -27,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weblathe.llm.common import table
+from weblathe.llm.common import small_batches, table
 from weblathe.llm.jaccard_join import slices
 
 MARK = "▁"
@@ -412,24 +415,27 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+RESULTS = ("ids", "n_ids", "decoded", "round_trip")
+
+
 def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs with ids, n_ids, decoded (of the ids) and round_trip (decoded is the text). tokenizer: a file that every executor has."""
-    keep = [c for c in docs.columns if c.lower() not in ("ids", "n_ids", "decoded", "round_trip", "the_text")]
-    docs = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("the_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]), "ids array<int>, n_ids long, decoded string, round_trip boolean"])
+    small_batches(docs.sparkSession)
+    names = [c for c in docs.columns if c.lower() not in RESULTS]
+    docs = docs.select(F.struct(*[F.col(c) for c in names]).alias("given"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    schema = T.StructType([docs.schema["given"], *T.StructType.fromDDL("ids array<int>, n_ids long, decoded string, round_trip boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(tokenizer)
         for batch in batches:
-            for start, n in slices(batch.column(len(keep)), SLICE):
-                part = batch.slice(start, n)
-                texts = part.column(len(keep))
+            for start, n in slices(batch.column(1), SLICE):
+                given, texts = batch.slice(start, n).columns
                 ids, at = own.encode(texts)
                 decoded = own.decoded(ids, at)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(np.diff(at)), decoded, pc.equal(texts.cast(pa.string()), decoded)], names=[*keep, "ids", "n_ids", "decoded", "round_trip"])
+                yield pa.RecordBatch.from_arrays([given, lists, pa.array(np.diff(at)), decoded, pc.equal(texts.cast(pa.string()), decoded)], names=["given", *RESULTS])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).select(*[F.col("given")[c].alias(c) for c in names], *RESULTS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weblathe.llm.common import table
 from weblathe.llm.quality_rules import counts
@@ -69,13 +70,9 @@ def measured() -> dict[str, Column]:
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs, without text, with one column x of all features."""
-    keep = [c for c in docs.columns if c.lower() not in (text.lower(), "x")]
-    made = features(F.col("the_text"))
-    rows = docs.select(*[F.col(c).alias(f"own_{i}") for i, c in enumerate(keep)], F.col(text).alias("the_text")).withColumns(made)
-    rows = rows.select("*", "of_words.*", "of_lines.*")
-    x = F.array(*[c.cast("double") for c in measured().values()])
-    return rows.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(keep)], x.alias("x"))
+    """given (the columns of docs but text) and x, all features."""
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c.lower() != text.lower()]).alias("given"), F.col(text).alias("t")).withColumns(features(F.col("t")))
+    return rows.select("*", "of_words.*", "of_lines.*").select("given", F.array(*[c.cast("double") for c in measured().values()]).alias("x"))
 
 
 @dataclass
@@ -194,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     part = 2**31 * min(1.0, sample / max(1, n))
     picked = usable.filter(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(2**31)) < part)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # about sample rows of two numbers
-    got = with_features(rows.select("y", "text")).toPandas()
+    got = with_features(rows.select("y", "text")).select("given.y", "x").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(measured()))
     order = np.lexsort((got["y"], *x.T)) if len(x) else []  # sums don't depend on the order of partitions
     return fit(x[order] if len(x) else x, got["y"].to_numpy(float)[order] if len(x) else np.zeros(0))
@@ -202,17 +199,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
     """docs, without text, with score and predicted."""
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("score", "predicted") and c.lower() != text.lower()))
-    rows = with_features(docs, text)
-    keep = rows.columns[:-1]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double"])
+    names = [c for c in docs.columns if c.lower() not in (text.lower(), "score", "predicted")]
+    rows = with_features(docs.select(*names, F.col(text).alias(text)), text)
+    schema = T.StructType([rows.schema["given"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(len(keep)).flatten().to_numpy(zero_copy_only=False).reshape(max(1, batch.num_rows), -1)[: batch.num_rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.scores(x))], names=[*keep, "score"])
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(max(1, batch.num_rows), -1)[: batch.num_rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x))], names=["given", "score"])
 
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    return rows.mapInArrow(run, schema).select(*[F.col("given")[c].alias(c) for c in names], "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

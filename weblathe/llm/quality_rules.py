@@ -90,7 +90,7 @@ def _covered(h: Column) -> Column:
     return let(F.sort_array(F.array_compact(starts)), lambda p: F.aggregate(added(p), F.lit(0), lambda x, y: x + y))
 
 
-RESULTS = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words", "base_failed", "kept", "of_words", "of_lines"}
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words", "base_failed", "kept")
 
 
 def measures() -> dict[str, Column]:
@@ -132,15 +132,12 @@ def compiled(thresholds=THRESHOLDS, no_stop_words: Column | None = None) -> Colu
 def judge(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS, lang: str = "lang") -> DataFrame:
     """docs with the counts, base_failed and kept. The column lang is used where docs has it."""
     n, repeated = F.col("n_words"), F.col("n_repeat_words")
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in RESULTS and c.lower() != text.lower()))
-    none = unlisted(F.col(text), F.col(lang) if lang in docs.columns else None)
-    return (
-        docs.withColumns(counts(F.col(text)))
-        .select("*", "of_words.*", "of_lines.*")
-        .drop("of_words", "of_lines")
-        .withColumn("base_failed", (n < 10) | (100 * repeated > 20 * n))
-        .withColumn("kept", ~F.col("base_failed") & compiled(thresholds, none))
-    )
+    names = [c for c in docs.columns if c.lower() not in RESULTS or c.lower() == text.lower()]
+    given = F.col("given")
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("given"), *[c.alias(k) for k, c in counts(F.col(text)).items()])
+    rows = rows.select("*", "of_words.*", "of_lines.*").withColumn("base_failed", (n < 10) | (100 * repeated > 20 * n))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & compiled(thresholds, unlisted(given[text], given[lang] if lang in names else None)))
+    return rows.select(*[given[c].alias(c) for c in names if c.lower() not in RESULTS], *RESULTS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

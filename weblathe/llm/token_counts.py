@@ -23,8 +23,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weblathe.llm.common import table
+from weblathe.llm.common import small_batches, table
+from weblathe.llm.jaccard_join import slices
 
 LIMIT = 2048
 #: Characters whose lower case depends on their neighbours, or on which libraries disagree.
@@ -108,24 +110,26 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+RESULTS = ("n_bytes", "n_tokens", "over_limit")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """docs, without text, with n_bytes, n_tokens and over_limit. tokenizer: a file that every executor has at this path."""
-    keep = [c for c in docs.columns if c.lower() not in (text.lower(), "n_bytes", "n_tokens", "over_limit")]
-    docs = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("the_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]), "n_bytes long", "n_tokens long"])
+    small_batches(docs.sparkSession)
+    names = [c for c in docs.columns if c.lower() not in (text.lower(), *RESULTS)]
+    docs = docs.select(F.struct(*[F.col(c) for c in names]).alias("given"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    schema = T.StructType([docs.schema["given"], *T.StructType.fromDDL("n_bytes long, n_tokens long").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)
         for batch in batches:
-            sizes = pc.binary_length(batch.column(len(keep))).to_numpy(zero_copy_only=False).astype(np.int64)
-            groups, at = np.cumsum(sizes) // SLICE, 0
-            for n in np.unique(groups, return_counts=True)[1].tolist():
-                part = batch.slice(at, n)
-                counts = own.counts(part.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes[at : at + n]), pa.array(counts)], names=[*keep, "n_bytes", "n_tokens"])
-                at += n
-
-    return docs.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+            for start, n in slices(batch.column(1), SLICE):
+                given, texts = batch.slice(start, n).columns
+                sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([given, pa.array(sizes), pa.array(own.counts(texts.to_pylist()))], names=["given", "n_bytes", "n_tokens"])
+
+    made = docs.mapInArrow(run, schema)
+    return made.select(*[F.col("given")[c].alias(c) for c in names], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
