@@ -44,6 +44,8 @@ PERCENT = 75
 ROUNDS = 2
 #: Parities kept of each set.
 BITS = 512
+#: Digests of 16 bytes that are broadcast.
+BROADCAST = 500_000
 #: Shingles that meet in one task, about.
 CHUNK = 1_000_000
 #: Shingles that a task holds before it sends them.
@@ -198,13 +200,13 @@ def linkable(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, flush:
 
 
 def with_sets(docs: DataFrame, some: Level | None) -> DataFrame:
-    """doc_id, n, a, b, and the shingles of sets whose a passes the filter."""
+    """doc_id, key, n, a, b, and the shingles of sets whose a passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, count in slices(batch.column(1)):
+            for start, count in slices(batch.column(2)):
                 part = batch.slice(start, count)
-                values, at = shingle_sets(part.column(1))
+                values, at = shingle_sets(part.column(2))
                 a, b = fingerprints(values, at)
                 n = np.diff(at)
                 keep = n > 0
@@ -216,9 +218,9 @@ def with_sets(docs: DataFrame, some: Level | None) -> DataFrame:
                 bits = parities(values, at).reshape(-1)[np.repeat(keep, BITS // 64)]
                 ends = np.concatenate(([0], np.cumsum(np.where(keep, BITS // 64, 0)))).astype(np.int32)
                 flags = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~keep, False)), pa.array(bits))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(a), pa.array(b), sets, flags], names=["doc_id", "n", "a", "b", "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(n), pa.array(a), pa.array(b), sets, flags], names=["doc_id", "key", "n", "a", "b", "shingles", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, shingles array<long>, bits array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key binary, n long, a long, b long, shingles array<long>, bits array<long>")
 
 
 def named(sets: DataFrame) -> DataFrame:
@@ -334,29 +336,44 @@ def links_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     return kept(all_links(shared_sets(every, percent), percent)), every.filter("n > 0").select("doc_id", F.col("id").alias("a"))
 
 
-def _with_sets_of(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+def _with_sets_of(docs: DataFrame, doc_id: str, text: str, percent: int, keyed: bool = False) -> DataFrame:
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))) if keyed else F.lit(None).cast("binary")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("key"), F.col(text).alias("text"))
     able = kept(linkable(docs, percent))
     n = able.count()
     some = level(able.select("a", F.col("a").alias("b")), n, max(1e-4, 2.0 ** (-MAX_BYTES * 5.5 / max(1, n))), 1) if n else Level(np.zeros(8, np.uint8), 1)
     return named(kept(with_sets(docs, some)))
 
 
-def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, a row for each of docs."""
-    every = _with_sets_of(docs, doc_id, text, percent)
+def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int, keyed: bool = False) -> DataFrame:
+    """doc_id, key, n, the set's component c (null without shingles), and the smallest doc_id of it; a row for each of docs."""
+    every = _with_sets_of(docs, doc_id, text, percent, keyed)
     found = links(shared_sets(every, percent), percent)
     sets = every.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"))
     sets = kept(sets.join(found, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).select("id", "least", "c"))
-    low = sets.groupBy("c").agg(F.min("least").alias("component_id"))
-    known = sets.join(low, "c").select("id", "component_id")
-    some_set = F.col("n") > 0
-    return (
-        every.select("doc_id", "n", "id")
-        .join(known, "id", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(some_set, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    low = sets.groupBy("c").agg(F.min("least").alias("least"))
+    known = sets.select("id", "c").join(low, "c")
+    return every.select("doc_id", "key", "n", "id").join(known, "id", "left").select("doc_id", "key", "n", "c", "least")
+
+
+def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, a row for each of docs."""
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return _grouped(docs, doc_id, text, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay when each component keeps one: that with the smallest doc_id, null last, then of the first text by MD5.
+
+    Rows are told apart by their texts and not by their ids, so repeated and null ids are no trouble; rows of one text stay or go together.
+    Texts without words stay.
+    """
+    rows = kept(_grouped(docs, doc_id, text, percent, True).filter("n > 0").select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("row"), "c"))
+    first = rows.groupBy("c").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    gone = kept(rows.join(first, "c").filter(F.col("row.key") != F.col("first.key")).select(F.col("row.key").alias("gone")).distinct())
+    own = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST else gone, own == F.col("gone"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
