@@ -27,13 +27,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near copies; ids are unique by now, or null.
+    """The document with the smallest doc_id of each component of near copies; null ids come last, and of these the first text by digest stays.
 
-    Documents with a null id stay where no other document of their component has an id.
+    Documents are told apart by their texts, of which the stage before has left one each, and not by their ids.
     """
-    found = jaccard_join.components_of(docs)
-    stay = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(stay.withColumnRenamed("doc_id", "stays"), F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    return jaccard_join.representatives(docs.select(COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
