@@ -1,3 +1,6 @@
+import datetime
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +49,49 @@ def test_unsaved_pages_are_visited_again(spark):
 def test_endless_crawl_is_an_error(spark):
     r, links = web(spark, {"": ["a"], "a": [""]})
     with pytest.raises(CrawlError):
-        Crawl(r, links, ["+"], ["-"], max_waves=3).run(seeds(spark, [E]))
+        Crawl(r, links, ["+"], ["-"]).run(seeds(spark, [E]))
+    with pytest.raises(CrawlError):
+        Crawl(r, links, ["+"], ["-"], max_waves=1).run(seeds(spark, [E]))
+    assert Crawl(r, links, ["+depth<=5"], ["-"]).run(seeds(spark, [E])).waves == 7  # a limit of depth is an end
+
+
+def test_long_chains_have_no_limit(spark):
+    r, links = web(spark, {f"p{i}": [f"p{i + 1}"] for i in range(30)} | {"": ["p0"]})
+    assert len(saved(Crawl(r, links, ["+"]).run(seeds(spark, [E])))) == 32
+
+
+def test_response_rules_and_many_links_to_a_url(spark):
+    """A rule about responses is decided once a url; the first of many links to it is the one that is saved."""
+    r, links = web(spark, {"": ["a", "b", "big"], "a": ["big", "small"], "b": ["small", "big", ""]})
+    r = r.withColumn("headers", F.create_map(F.lit("content-length"), F.when(F.col("url").endswith("big"), "9000").otherwise("10")))
+    done = Crawl(r, links, ["+", "-size>5k"], ["+", "-size<5"]).run(seeds(spark, [E]))
+    assert saved(done) == ["", "a", "b", "small"]
+    got = {(x["url"].removeprefix(E), x["prev"]["url"].removeprefix(E)): x["status"] for x in done.log.filter("depth > 0").collect()}
+    assert got[("big", "")] == got[("big", "a")] == got[("big", "b")] == "rule-deny" and got[("small", "a")] == "success" and got[("small", "b")] == "duplicate"
+
+
+INFO = "url string, etag string, last_modified string, expires timestamp_ntz, links array<struct<url:string,inline:boolean,tag:string,do_not_follow:boolean,source:string>>"
+
+
+def test_pages_that_have_not_changed_expand_stored_links(spark):
+    """A 304 and a page that isn't asked for lead to what the previous run found in them."""
+    r, links = web(spark, {"": ["kept", "fresh"], "kept": ["new"], "fresh": ["new2"], "old": ["x"]})
+    r = r.withColumn("headers", F.create_map(F.lit("etag"), F.concat(F.lit("e"), F.length("url").cast("string"))))
+    link = lambda n: (E + n, False, "a.href", False, None)
+    day = datetime.datetime
+    info = [(E + "kept", f"e{len(E + 'kept')}", None, day(2030, 1, 1), [link("old")]), (E + "fresh", "other", None, day(2030, 1, 1), [link("older")]), (E + "old", None, None, day(2031, 1, 1), [link("stored")])]
+    df = spark.createDataFrame(info, INFO)
+    status = lambda **k: {x["url"].removeprefix(E): x["status"] for x in Crawl(r, links, ["+"], url_info=df, **k).run(seeds(spark, [E])).log.collect()}
+    assert status() == {"": "success", "kept": "not-modified", "fresh": "success", "old": "success", "new2": "success", "x": "success"}
+    skip = mirror.skipped(False, True, "2030-06-01 00:00:00", F.col("old.expires"))
+    assert status(skip=skip) == {"": "success", "kept": "not-modified", "fresh": "success", "old": "not-expired", "new2": "success", "stored": "connect-error"}
+
+
+def test_redirects_are_kept(spark):
+    r, links = web(spark, {"": ["old", "older"], "new": ["x"]}, moved={"old": "new", "older": "denied"})
+    r = r.withColumn("redirect_code", F.when(F.col("url").endswith("old"), 301))
+    done = Crawl(r, links, ["+", "-path=/denied"]).run(seeds(spark, [E]))
+    assert sorted(map(tuple, done.redirects.collect())) == [(E + "old", 301, E + "new"), (E + "older", 302, E + "denied")]
 
 
 def test_errors_forms_and_stops(spark):
@@ -90,17 +135,25 @@ def test_log_lines(spark):
 
 
 def test_filenames(spark):
-    cases = {"/foo": "h/foo.html", "/foo.php": "h/foo.html", "/foo.html": "h/foo.html", "/": "h/index.html", "//x/../y": "h/x/__/y.html"}
-    df = spark.createDataFrame([(k,) for k in cases], "p string")
-    got = df.select("p", mirror.default_filename(F.lit("h"), F.col("p"), F.lit(""), F.lit("text/html"))).collect()
-    assert {a: b for a, b in got} == cases
+    """Folders get a name, foreign endings give way to the type's, digests tell queries apart, dots don't lead out."""
+    stems = {"/moss": "/moss", "/moss.asp": "/moss", "/moss.htm": "/moss.htm", "/dir/": "/dir/index", "//dir//x/../moss": "/dir//x/__/moss", "/.moss": "/.moss"}
+    rows = [(p, q) for p in stems for q in ("", "k=1", "k=2")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    got = {(r["p"], r["q"]): r["f"] for r in df.select("p", "q", mirror.default_filename(F.lit("garden.test"), F.col("p"), F.col("q"), F.lit("text/html")).alias("f")).collect()}
+    for (p, q), f in got.items():
+        stem, _, ending = ("garden.test" + stems[p]).partition(".htm") if p.endswith(".htm") else ("garden.test" + stems[p], "", "")
+        digest = "_" + hashlib.md5(q.encode()).hexdigest()[:10] if q else ""
+        assert f == stem + digest + (".htm" if p.endswith(".htm") else ".html"), (p, q)
 
 
 def test_seeds_from_text(spark, tmp_path):
-    (tmp_path / "s.txt").write_text("http://a.b \n\n\thttp://c.d\n")
-    assert sorted(r["raw"] for r in S.from_files(spark, str(tmp_path / "s.txt")).collect()) == ["http://a.b", "http://c.d"]
-    row = spark.createDataFrame([("http://example.org{a=1,b=2}",)], "u string").select(S.user_url(F.col("u")).alias("s")).first()["s"]
-    assert (row["target"], row["post"]) == ("http://example.org", {"a": "1", "b": "2"})
+    urls = [f"http://garden{i}.test/{'x' * i}" for i in range(5)]
+    (tmp_path / "s.txt").write_text("\n \n".join(f"{' ' * i}{u}\t" for i, u in enumerate(urls)) + "\n\n")
+    assert sorted(r["raw"] for r in S.from_files(spark, str(tmp_path / "s.txt")).collect()) == urls
+    data = {f"name{i}": "v" * i for i in range(1, 4)}
+    text = urls[0] + "{" + ",".join(f"{k}={v}" for k, v in data.items()) + "}"
+    row = spark.createDataFrame([(text,)], "u string").select(S.user_url(F.col("u")).alias("s")).first()["s"]
+    assert (row["target"], row["post"]) == (urls[0], data)
     (tmp_path / "p.html").write_text("<a href=x>")
     local = S.local_files(spark, str(tmp_path / "p.html"), "http://h/").first()
     assert (local["url"], local["headers"]["content-type"], local["is_local"]) == ("http://h/", "text/html", True)

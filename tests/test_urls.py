@@ -12,13 +12,20 @@ def values(spark, rows, schema, *columns):
 
 
 def test_normalise(spark):
-    cases = {
-        "http://example.name": "http://example.name/", "HTTP://exaMPLE.NaME:80": "http://example.name/", "http://a.b/?": "http://a.b/", "http://a.b/#foo": "http://a.b/#foo",
-        "https://a.b:443/X": "https://a.b/X", "http://a.b/x/../y/./z": "http://a.b/y/z", "http://u:P@A.b:8080/": "http://u:P@a.b:8080/", "nothing": None, "http:///x": None, None: None, " http://a.b/x ": "http://a.b/x",
-        "http://a.b/..": "http://a.b/", "http://a.b/x y?q=é#f": "http://a.b/x y?q=é#f",
-    }
-    got = values(spark, [(k,) for k in cases], "u string", "u", U.normalise(F.col("u")))
-    assert dict(got) == cases
+    """Urls put together from parts: scheme and host in lower case, no default port, a path at least, no empty query, dot segments gone."""
+    cases = {}
+    for scheme, default in (("http", "80"), ("HTTPS", "443"), ("Ftp", None)):
+        for host in ("moss.test", "FERN.Test", "me:Key@Fern.test"):
+            for port in ("", "80", "443", "8123"):
+                for path, clean in (("", "/"), ("/", "/"), ("/Up/./x/../y", "/Up/y"), ("/..", "/"), ("/ä b", "/ä b")):
+                    for tail, left in (("", ""), ("?", ""), ("?K=ö", "?K=ö"), ("#F", "#F"), ("?#F", "#F")):
+                        own = host.rpartition("@")
+                        where = own[0] + own[1] + own[2].lower()
+                        shown = f":{port}" if port and port != default else ""
+                        cases[f"{scheme}://{host}{':' + port if port else ''}{path}{tail}"] = f"{scheme.lower()}://{where}{shown}{clean}{left}"
+    cases |= {"moss": None, "http:///moss": None, None: None, "\t http://moss.test/x \n": "http://moss.test/x"}
+    got = dict(values(spark, [(k,) for k in cases], "u string", "u", U.normalise(F.col("u"))))
+    assert {k: (got[k], v) for k, v in cases.items() if got[k] != v} == {}
 
 
 def test_canonical(spark):

@@ -6,8 +6,10 @@ From the first @ on, only words that start with @ are options, so that rules may
 from __future__ import annotations
 
 import argparse
+import datetime
 import json
 import os
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +19,11 @@ from weblathe.functions import text as T
 from weblathe.functions import weburl as U
 from weblathe.operators import crawl_log, extract, mirror
 from weblathe.operators.crawl import Crawl, Crawled, seeds
+from weblathe.operators.store import kept
 from weblathe.plans.rules import FOLLOW, SAVE, STOP, RuleError, RuleList
-from weblathe.sources import state
-from weblathe.sources.seeds import from_files
+from weblathe.sources import http, state
+from weblathe.sources.files import delete_files, write_files
+from weblathe.sources.seeds import encoding, from_files, local_files
 
 LISTS = ("follow", "save", "stop")
 
@@ -69,54 +73,100 @@ def with_update(options: argparse.Namespace, stored: dict) -> argparse.Namespace
     return argparse.Namespace(**(vars(options) | kept)) if options.update else options
 
 
+def decoded(content, headers):
+    """A document's text by its stated or found encoding; other than the usual ones are read as UTF-8."""
+    stated = F.lower(F.regexp_extract(F.coalesce(F.try_element_at(headers, F.lit("content-type")), F.lit("")), r"(?i)charset\s*=\s*[\"']?([\w-]+)", 1))
+    of = F.lower(encoding(content, stated))
+    text = F.when(of.isin("iso-8859-1", "latin-1", "latin1", "windows-1252"), F.decode(content, "ISO-8859-1"))
+    for name, charset in (("utf-16le", "UTF-16LE"), ("utf-16be", "UTF-16BE"), ("utf-16", "UTF-16")):
+        text = text.when(of == name, F.decode(content, charset))
+    return F.coalesce(text.otherwise(F.make_valid_utf8(content.cast("string"))), F.lit("")), of
+
+
 def links_of(responses: DataFrame) -> DataFrame:
     mime = T.mime(F.try_element_at("headers", F.lit("content-type")))
-    pages = responses.select("url", F.coalesce("final_url", "url").alias("at") if "final_url" in responses.columns else F.col("url").alias("at"), F.col("content").cast("string").alias("content"), mime.alias("mime"), F.try_element_at("headers", F.lit("link")).alias("link"))
+    at = F.coalesce("final_url", "url") if "final_url" in responses.columns else F.col("url")
+    pages = responses.select("url", at.alias("at"), decoded(F.col("content"), F.col("headers"))[0].alias("content"), mime.alias("mime"), F.try_element_at("headers", F.lit("link")).alias("link"))
     found = extract.extract_links(pages, url="at", link_header="link")
     return found.select(F.col("url").alias("from_url"), "n", "absolute", "inline", "tag", "do_not_follow", "source")
 
 
-def run(spark: SparkSession, options: argparse.Namespace) -> Crawled:
-    """Crawls a table of responses and writes the mirror's tables; rewritten documents are in .state/documents."""
-    if not options.responses:
-        raise SystemExit("a table of responses is needed: fetch one with weblathe.sources.http, then pass --responses")
-    options = with_update(options, state.options(spark, options.path) if options.update else {})
-    responses = spark.read.parquet(options.responses)
-    start = spark.createDataFrame([(u,) for u in options.urls], "raw string")
+def start_of(spark: SparkSession, options: argparse.Namespace) -> tuple[DataFrame, DataFrame | None]:
+    """Seeds (raw), and responses of local files, which are given as path{base url}."""
+    raws, local = [], None
+    for text in options.urls:
+        m = re.fullmatch(r"(?s)(.*?)\{([^}]*)\}", text)
+        if m and "://" not in m[1] and "=" not in m[2]:
+            files = local_files(spark, m[1], m[2])
+            local = files if local is None else local.unionByName(files)
+            raws.append(m[2])
+        else:
+            raws.append(m[1] if m else text)
+    start = spark.createDataFrame([(u,) for u in raws], "raw string")
     for f in options.from_file:
         start = start.unionByName(from_files(spark, f))
-    old = state.read(spark, options.path, "url_info")
-    skip = mirror.skipped(options.no_modified_check, options.trust_expires, "1970-01-01 00:00:00", F.col("old.expires"))
-    links = links_of(responses)
-    done = Crawl(responses.select("url", "status", "headers", "content", "redirects", "error"), links, options.follow, options.save, options.stop, url_info=old, skip=skip).run(seeds(spark, start))
-    saved = done.saved.join(responses.select("url", "headers", "content"), "url")
+    return start, local
+
+
+def run(spark: SparkSession, options: argparse.Namespace, now: str | None = None) -> Crawled:
+    """Crawls a table of responses, or the live web, and writes the mirror: its tables under .state, its files and their index. now: the time of the run in UTC."""
+    options = with_update(options, state.options(spark, options.path) if options.update else {})
+    now = now or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    start, local = start_of(spark, options)
+    old, stored, documents = (state.read(spark, options.path, name) for name in ("url_info", "stored", "documents"))
+    crawl = {"follow": options.follow, "save": options.save, "stop": options.stop, "url_info": old, "skip": mirror.skipped(options.no_modified_check, options.trust_expires, now, F.col("old.expires"))}
+    if options.responses:
+        responses = spark.read.parquet(options.responses)
+        if local is not None:
+            responses = responses.join(local.select("url"), "url", "left_anti").unionByName(local.drop("file", "is_local"), allowMissingColumns=True)
+        crawl = Crawl(responses, links_of(responses), **crawl)
+    else:
+        if local is not None:
+            raise SystemExit("local files need a table of responses")
+        crawl = Crawl(None, None, fetch=lambda requests: http.fetch(requests, options.user_agent), links_of=links_of, **crawl)
+    done = crawl.run(seeds(spark, start))
+    responses = crawl.responses if not options.responses else responses
+    mine = done.saved.join(local.select("url"), "url", "left_anti") if local is not None else done.saved  # local files aren't mirrored
+    saved = mine.filter("status = 'success'").join(responses.select("url", "headers", "content"), "url")
     mime = T.mime(F.try_element_at("headers", F.lit("content-type")))
     name = mirror.layout(options.layout) if options.layout else mirror.default_filename(F.col("netloc"), F.col("path"), F.col("query"), mime)
-    files = saved.select("url", "original_url", name.alias("filename"), mime.alias("mimetype"), "headers", "content")
-    usage = links.groupBy(F.col("from_url").alias("url")).agg(F.collect_list(F.struct(F.col("absolute").alias("url"), "inline", "tag", "do_not_follow", "source")).alias("links"))
+    text, charset = decoded(F.col("content"), F.col("headers"))
+    files = kept(saved.select("url", "original_url", name.alias("filename"), mime.alias("mimetype"), charset.alias("encoding"), "headers", "content", text.alias("text")))
+    links = links_of(responses)
+    of_pages = links.join(files.select(F.col("url").alias("from_url")), "from_url", "left_semi").groupBy(F.col("from_url").alias("url")).agg(F.sort_array(F.collect_list(F.struct("n", F.struct(F.col("absolute").alias("url"), "inline", "tag", "do_not_follow", "source").alias("l")))).alias("l"))
     get = lambda k: F.try_element_at("headers", F.lit(k))
-    info = files.join(usage, "url", "left").select("url", "original_url", "mimetype", get("etag").alias("etag"), F.lit("utf-8").alias("encoding"), get("last-modified").alias("last_modified"), T.http_date(get("expires")).alias("expires"), "links")
-    stored = state.read(spark, options.path, "stored")
+    info = files.join(of_pages, "url", "left").select("url", "original_url", "mimetype", get("etag").alias("etag"), "encoding", get("last-modified").alias("last_modified"), T.http_date(get("expires")).alias("expires"), F.transform("l", lambda x: x["l"]).alias("links"))
+    info = kept(mirror.upsert_info(old, info))
+    every = mirror.upsert(stored, files)
+    met = kept(mirror.encounter(mine.filter("status <> 'success'").select("url"), stored).unionByName(files.select("url", "filename")))
+    redirects = kept(done.redirects.unionByName(state.read(spark, options.path, "redirects").join(done.redirects.select("url"), "url", "left_anti")))
+    usage = info.select(F.explode("links").alias("l")).select(U.canonical(U.normalise(F.col("l.url"))).alias("url"))
+    texts = files if options.no_link_conversion else converted(files, met, redirects, usage)
+    written = F.when(F.col("mimetype").isin("text/html", "text/css"), F.encode("text", "UTF-8")).otherwise(F.col("content"))
+    fresh = kept(texts.select("url", "filename", "mimetype", written.alias("content")))
+    documents = documents.join(fresh.select("url", "filename"), ["url", "filename"], "left_anti").unionByName(fresh)
     if options.enable_delete:
-        stored = stored.join(mirror.prune(stored, files), ["url", "filename"], "left_anti")
-    state.write(mirror.upsert(stored, files), options.path, "stored")
-    state.write(mirror.upsert_info(old, info), options.path, "url_info")
+        gone = kept(mirror.prune(every, met))
+        every, documents = (x.join(gone.select("url", "filename"), ["url", "filename"], "left_anti") for x in (every, documents))
+        info = info.join(gone.filter("gone").select("url"), "url", "left_anti")
+        # a file may have got another url meanwhile
+        delete_files(gone.select("filename").distinct().join(every.select("filename"), "filename", "left_anti"), options.path).count()
+    for name, table in (("stored", every), ("url_info", info), ("redirects", redirects), ("documents", documents)):
+        state.write(table, options.path, name)
     state.write_options(spark, options.path, vars(options))
-    texts = files.withColumn("text", F.col("content").cast("string"))
-    if not options.no_link_conversion:
-        texts = converted(texts, links, spark)
-    texts.select("url", "filename", "mimetype", "text").write.mode("overwrite").parquet(f"{options.path}/.state/documents")
+    write_files(fresh, options.path).count()
+    index = mirror.index_page(state.read(spark, options.path, "stored"))
+    write_files(index.select(F.lit("index.html").alias("filename"), F.encode("html", "UTF-8").alias("content")), options.path).count()
     return done
 
 
-def converted(files: DataFrame, links: DataFrame, spark: SparkSession) -> DataFrame:
+def converted(files: DataFrame, encountered: DataFrame, redirects: DataFrame, usage: DataFrame) -> DataFrame:
     """files with their links rewritten: each file's mentions by raw url."""
     rows = files.select("url", "original_url", "mimetype", "text", F.col("filename").alias("from_file"))
     raw = extract.extract_links(rows.withColumnRenamed("url", "from_url").withColumnRenamed("original_url", "at"), url="at", content="text", mime="mimetype")
     raw = raw.withColumn("normal", U.normalise(F.col("absolute"))).withColumn("target", U.canonical(F.col("normal"))).withColumn("fragment", U.fragment(F.col("normal")))
-    usage = links.select(U.canonical(U.normalise(F.col("absolute"))).alias("url"))
-    none = spark.createDataFrame([], "url string, code int, target_url string")
-    new = mirror.link_targets(raw.select("from_url", "from_file", "n", "raw", "absolute", "target", "fragment"), files, none, usage)
+    met = encountered.groupBy("url").agg(F.min("filename").alias("filename"))
+    new = mirror.link_targets(raw.select("from_url", "from_file", "n", "raw", "absolute", "target", "fragment"), met, redirects, usage)
     maps = new.filter("new IS NOT NULL").groupBy("from_url", "raw").agg(F.min("new").alias("new")).groupBy("from_url").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("changes"))
     both = files.join(maps, F.col("url") == F.col("from_url"), "left")
     return both.withColumn("text", extract.rewrite_links(F.col("text"), F.col("mimetype"), F.col("changes"))).drop("from_url", "changes")
@@ -126,7 +176,7 @@ def main(argv: list[str] | None = None) -> None:
     options = parse(sys.argv[1:] if argv is None else argv)
     spark = SparkSession.builder.appName("weblathe").getOrCreate()
     done = run(spark, options)
-    for row in crawl_log.lines(done.log).filter("line IS NOT NULL").orderBy("depth", "order").limit(1000).toLocalIterator():
+    for row in crawl_log.lines(done.log).filter("line IS NOT NULL").orderBy("depth", "order").toLocalIterator():
         print(row["line"])
     print(json.dumps(crawl_log.counters(done.log).first().asDict()))
 

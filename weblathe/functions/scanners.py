@@ -19,7 +19,7 @@ class Mention(NamedTuple):
     tag: str | None
     do_not_follow: bool
     base: str | None  # the document's <base>, where it applies
-    quote: str  # how a replacement is written: attr, style-attr, css, or keep
+    quote: str  # how a replacement is written: attr, style-attr, css, plain (as it is), or keep (not at all)
 
 
 #: Tags and attributes that hold urls, and whether what they name is part of the page.
@@ -132,13 +132,14 @@ def replacement(quote: str, new: str) -> str:
     return '"' + new.replace('"', '\\"') + '"'
 
 
-def rewritten(text: str, is_css: bool, new: dict[str, str | None]) -> str:
-    """text with its mentions of new's keys (raw urls) replaced; text itself if nothing changes."""
+def rewritten(text: str, is_css: bool, new: dict[str, str | None], mentions=None) -> str:
+    """text with its mentions of new's keys (raw urls) replaced; text itself if nothing changes. mentions: of another kind of document."""
     out, at, done = [], 0, -1
-    for m in sorted(css_mentions(text) if is_css else html_mentions(text)):
+    find = mentions or (css_mentions if is_css else html_mentions)
+    for m in sorted(find(text)):
         if m.quote == "keep" or new.get(m.raw) is None or m.pos == done:
             continue
         place = text[m.pos : m.pos + m.len]
-        out += [text[at : m.pos], style_attribute(place, new) if m.quote == "style-attr" else replacement(m.quote, new[m.raw])]
+        out += [text[at : m.pos], style_attribute(place, new) if m.quote == "style-attr" else new[m.raw] if m.quote == "plain" else replacement(m.quote, new[m.raw])]
         at, done = m.pos + m.len, m.pos
     return "".join([*out, text[at:]])

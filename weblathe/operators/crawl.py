@@ -3,23 +3,30 @@
 The queue of a sequential spider is served in order of depth, so one wave is one depth. Every link has an order, the
 path of places that led to it; within a wave, the first link of a url that is to be saved decides: links before it and
 itself are processed, later ones are duplicates. Nothing else depends on the order, so a wave is: drop what may not
-be followed, drop known urls, apply the follow rules that need no response, join the responses, apply the rest, replace
-redirecting links by their targets, drop errors, decide by a window over the url, and expand.
+be followed, drop known urls, apply the follow rules that need no response, join what is known of the responses, apply the rest,
+replace redirecting links by their targets, drop errors, find the first saving link of each url by an aggregation, and expand.
 
-Every wave is written before the next one reads it. A graph in which no page is saved has no end; max_waves ends it with an error.
+Responses are joined once a url, not once a link, and give only what is asked of them: status, redirects, and whether each rule about a
+response passes. Bodies never go through the joins of links.
+
+Every wave writes its links' fate, the urls that it made known, and what it leads to, before the next one reads them. Known urls are compared with
+each wave's links, so a wave costs in proportion to them too. A graph in which no page is saved may have no end: a wave that saves nothing
+and meets no new url ends it with an error, unless rules about depth will end it.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblathe.functions import weburl as U
-from weblathe.operators.store import folder, kept
-from weblathe.plans.rules import FOLLOW, SAVE, STOP, RuleList
+from weblathe.operators.mirror import unchanged
+from weblathe.operators.store import folder, keep, kept
+from weblathe.plans.rules import FOLLOW, SAVE, STOP, RuleList, passes
 
 PARTS = ["url", "scheme", "netloc", "port", "path", "params", "query", "fragment", "is_https"]
 #: status of a link in the log, and what becomes of it.
@@ -33,11 +40,12 @@ class CrawlError(RuntimeError):
 @dataclass
 class Crawled:
     """log: a row per processed link: order, depth, url, status, saved, links_total, links_followed and the link's columns.
-    known(url, depth, order): urls that won't be processed again."""
+    known(url, depth, order): urls that won't be processed again. redirects(url, code, target_url): the last one of each url that had any."""
 
     log: DataFrame
     known: DataFrame
     waves: int
+    redirects: DataFrame | None = None
 
     @property
     def saved(self) -> DataFrame:
@@ -51,12 +59,15 @@ def with_parts(links: DataFrame, original: str = "original_url") -> DataFrame:
 def seeds(spark: SparkSession, urls: list[str] | DataFrame, source: str | None = "user") -> DataFrame:
     """Frontier of wave 0 of a list or a DataFrame (raw). source 'user' exempts seeds from the follow rules."""
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "n int, raw string") if isinstance(urls, list) else urls
-    if "n" not in rows.columns:  # seeds in files have no order of their own: by url
-        rows = rows.select(F.dense_rank().over(Window.orderBy("raw")).alias("n"), "raw")
+    if "n" in rows.columns:
+        rows = rows.withColumn("order", F.array("n"))
+    else:  # seeds in files have no order of their own: by url, in ranges of urls
+        rows = kept(rows.distinct().repartitionByRange("raw").sortWithinPartitions("raw").withColumn("at", F.monotonically_increasing_id()))
+        rows = rows.withColumn("order", F.array(F.shiftright("at", 33).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).cast("int")))
     here = rows.withColumn("original_url", U.normalise(F.col("raw"))).filter("original_url IS NOT NULL")
     here = with_parts(here)
     return here.select(
-        F.array("n").alias("order"), "raw", "original_url", *PARTS, F.lit(0).alias("depth"), F.lit(0).alias("domain_depth"),
+        "order", "raw", "original_url", *PARTS, F.lit(0).alias("depth"), F.lit(0).alias("domain_depth"),
         F.lit(None).cast("struct<url:string,original_url:string,netloc:string,path:string>").alias("prev"),
         F.struct("url", "netloc", "path").alias("root"), F.lit(False).alias("inline"), F.lit(None).cast("string").alias("tag"), F.lit(False).alias("do_not_follow"),
         F.lit(source).cast("string").alias("source"), F.lit(None).cast("string").alias("redirect_from"),
@@ -65,128 +76,212 @@ def seeds(spark: SparkSession, urls: list[str] | DataFrame, source: str | None =
 
 @dataclass
 class Crawl:
-    """responses(url, status, headers, content, redirects, error): the web. links(from_url, n, absolute, inline, tag,
-    do_not_follow, source): what the extractor found in them. follow, save, stop: rule lists. url_info(url, etag, expires, links ...): a
-    previous run's pages, for conditional requests; skip: which known urls aren't requested at all."""
+    """responses(url, status, headers, content, redirects, error, and redirect_code if it is known): the web. links(from_url, n, absolute, inline, tag,
+    do_not_follow, source): what the extractor found in them. follow, save, stop: rule lists. url_info(url, etag, last_modified, expires, links ...): a
+    previous run's pages. Requests for them are conditional, and pages that haven't changed expand their stored links; skip: which of them, as columns
+    of old, aren't requested at all."""
 
-    responses: DataFrame
-    links: DataFrame
+    responses: DataFrame | None
+    links: DataFrame | None
     follow: RuleList | list[str] = FOLLOW
     save: RuleList | list[str] = SAVE
     stop: RuleList | list[str] = STOP
-    max_waves: int = 50
+    max_waves: int | None = None
     max_depth: int | None = None
     url_info: DataFrame | None = None
     skip: Column | None = None
+    #: For the live web: requests(url, etag, modified) -> responses, asked for each wave's urls once; and links_of: responses -> links.
+    fetch: Callable[[DataFrame], DataFrame] | None = None
+    links_of: Callable[[DataFrame], DataFrame] | None = None
 
     def __post_init__(self):
         self.follow, self.save, self.stop = (r if isinstance(r, RuleList) else RuleList(list(r)) for r in (self.follow, self.save, self.stop))
 
     def run(self, start: DataFrame, known: DataFrame | None = None) -> Crawled:
-        """known: (url, ...) of an earlier run. Each wave writes its links' fate and what they lead to, once each."""
+        """known: (url, ...) of an earlier run."""
         spark = start.sparkSession
-        place = f"{folder(spark)}/{uuid.uuid4().hex}"
+        self._place = place = f"{folder(spark)}/{uuid.uuid4().hex}"
         before = (known.select("url") if known is not None else spark.createDataFrame([], "url string")).select("url", F.lit(-1).alias("depth"), F.array().cast("array<int>").alias("order"))
-        self._hops = not self.responses.filter(F.size("redirects") > 0).isEmpty()
-        resolved = kept(with_parts(self.links.withColumn("original_url", U.normalise(F.col("absolute"))).filter("original_url IS NOT NULL")))
+        self._prepare()
         frontier, seen, waves = start, before, 0
         while True:
-            if waves >= self.max_waves:
-                raise CrawlError(f"not done after {self.max_waves} waves; pages that aren't saved are never known")
-            wave = self._wave(frontier, seen)
-            wave.write.parquet(f"{place}/log/wave={waves}")
-            log = spark.read.schema(wave.withColumn("wave", F.lit(0)).schema).parquet(f"{place}/log")
-            own, source = log.filter("saved"), log.filter("saved AND redirect_from IS NOT NULL").withColumn("url", F.col("redirect_from"))
-            seen = before.unionByName(own.unionByName(source).select("url", "depth", "order"))
-            links = self._expand(wave_of(log, waves), seen, resolved)
-            links.write.parquet(f"{place}/links/wave={waves}")
-            every = spark.read.schema(links.withColumn("wave", F.lit(0)).schema).parquet(f"{place}/links")
-            frontier = _frontier(wave_of(every, waves).filter("queued"))
-            waves += 1
-            if (self.max_depth is not None and waves > self.max_depth) or frontier.isEmpty():
+            if self.max_waves is not None and waves >= self.max_waves:
+                raise CrawlError(f"not done after {self.max_waves} waves")
+            log = written(self._wave(frontier, seen), f"{place}/log", waves)
+            own = wave_of(log, waves).filter("may_save").groupBy("url").agg(F.min(F.struct("order", "depth", "redirect_from")).alias("m"))
+            of_source = F.when(F.col("m.redirect_from").isNotNull(), F.struct(F.col("m.redirect_from").alias("url"), F.lit(False).alias("own")))
+            urls = F.array_compact(F.array(F.struct("url", F.lit(True).alias("own")), of_source))
+            firsts = written(own.select(F.explode(urls).alias("u"), "m.depth", "m.order").select("u.url", "u.own", "depth", "order"), f"{place}/known", waves)
+            seen = before.unionByName(firsts.select("url", "depth", "order"))
+            links = written(self._expand(self._decided(wave_of(log, waves), wave_of(firsts, waves)), seen), f"{place}/links", waves)
+            frontier = _frontier(wave_of(links, waves).filter("queued"))
+            if (self.max_depth is not None and waves >= self.max_depth) or frontier.isEmpty():
                 break
-        totals = every.groupBy(F.col("p_order").alias("order")).agg(F.count(F.lit(1)).alias("links_total"), F.count_if("queued").alias("links_followed"))
-        done = log.drop("wave").join(totals, "order", "left").na.fill(0, ["links_total", "links_followed"])
-        return Crawled(done, seen.groupBy("url").agg(F.min("depth").alias("depth"), F.min("order").alias("order")), waves)
+            self._progress(log, firsts, waves)
+            waves += 1
+        totals = links.groupBy(F.col("p_order").alias("order")).agg(F.count(F.lit(1)).alias("links_total"), F.count_if("queued").alias("links_followed"))
+        done = self._decided(log, firsts).join(totals, "order", "left").na.fill(0, ["links_total", "links_followed"])
+        moved = log.filter("status = 'redirect'").groupBy("url").agg(F.max_by(F.struct(F.coalesce("redirect_code", F.lit(302)).alias("code"), "target_url"), "order").alias("r"))
+        return Crawled(done.drop("wave", "redirect_code", "target_url"), seen.groupBy("url").agg(F.min("depth").alias("depth"), F.min("order").alias("order")), waves + 1, moved.select("url", "r.code", "r.target_url"))
+
+    def _prepare(self) -> None:
+        self._asked_for = 0  # tables of responses so far
+        if self.fetch is not None:
+            self._hops = True
+        elif self.url_info is not None and {"etag", "last_modified"} <= set(self.url_info.columns):
+            self.responses = unchanged(self.url_info, self.responses)
+        if self.fetch is None:
+            self.responses = _coded(self.responses)
+            self._hops = not self.responses.filter(F.size("redirects") > 0).isEmpty()
+        links = [self.links.withColumn("stored", F.lit(False))] if self.links is not None else []
+        if self.url_info is not None and "links" in self.url_info.columns:
+            old = self.url_info.select(F.col("url").alias("from_url"), F.posexplode("links").alias("n", "l"))
+            links.append(old.select("from_url", "n", F.col("l.url").alias("absolute"), "l.inline", "l.tag", "l.do_not_follow", "l.source", F.lit(True).alias("stored")))
+        self._resolved = None
+        for x in links:
+            self._resolve(x)
+        rules = {r.source: r for x in (self.follow, self.save, self.stop) for r in x.rules if r.test.kind == "R"}
+        self._asked = {source: (f"passes_{i}", rule) for i, (source, rule) in enumerate(rules.items())}
+        self._given = {source: F.coalesce(F.col(name), F.lit(False)) for source, (name, _) in self._asked.items()}
+
+    def _resolve(self, links: DataFrame) -> None:
+        new = kept(with_parts(links.withColumn("original_url", U.normalise(F.col("absolute"))).filter("original_url IS NOT NULL")))
+        self._resolved = new if self._resolved is None else self._resolved.unionByName(new)
+
+    def _responses_of(self, urls: DataFrame) -> DataFrame:
+        """From the table, or from the web: what comes from there is written before anything else reads it, so nothing is asked for twice."""
+        if self.fetch is None:
+            return self.responses
+        if self.url_info is not None:
+            old = self.url_info.select(F.col("url").alias("old_url"), "etag", F.col("last_modified").alias("modified"), F.struct(*[c for c in self.url_info.columns if c != "links"]).alias("old"))
+            urls = urls.join(old, F.col("url") == F.col("old_url"), "left")
+            if self.skip is not None:
+                urls = urls.filter(~F.coalesce(F.col("old").isNotNull() & self.skip, F.lit(False)))
+            urls = urls.select("url", "etag", "modified")
+        keep(_coded(self.fetch(urls)), f"{self._place}/responses/part={self._asked_for}")
+        self._asked_for += 1
+        spark = urls.sparkSession
+        self.responses = spark.read.parquet(f"{self._place}/responses").drop("part")
+        new = spark.read.parquet(f"{self._place}/responses/part={self._asked_for - 1}")
+        self._resolve(self.links_of(new.filter(F.col("status") < 300)).withColumn("stored", F.lit(False)))
+        return new
+
+    def _progress(self, log: DataFrame, firsts: DataFrame, wave: int) -> None:
+        if wave == 0 or any(r.test.name in ("depth", "domain-depth") for r in self.follow.rules) or not wave_of(firsts, wave).isEmpty():
+            return
+        earlier = log.filter(F.col("wave") < wave).select("url").distinct()
+        if wave_of(log, wave).select("url").distinct().join(earlier, "url", "left_anti").isEmpty():
+            raise CrawlError("pages that aren't saved are never known, and these lead to each other without end")
+
+    def _facts(self, urls: DataFrame) -> DataFrame:
+        """Of distinct urls: what their responses, and the previous run, say that a decision needs."""
+        r = self._responses_of(urls).withColumnRenamed("url", "response_url")
+        last = U.normalise(F.try_element_at("redirects", F.lit(-1)))
+        passed = [passes(rule).alias(name) for name, rule in self._asked.values()]
+        got = urls.join(r, F.col("url") == F.col("response_url"), "left")
+        got = got.select("url", "status", "error", "redirect_code", F.coalesce(F.size("redirects") > 0, F.lit(False)).alias("hops"), last.alias("last_url"), *passed)
+        if self.url_info is not None and self.skip is not None:
+            names = [c for c in self.url_info.columns if c not in ("url", "links")]
+            old = self.url_info.select(F.col("url").alias("old_url"), F.struct(*names).alias("old"))
+            got = got.join(old, F.col("url") == F.col("old_url"), "left").withColumn("unasked", F.coalesce(F.col("old").isNotNull() & self.skip, F.lit(False))).drop("old", "old_url")
+        else:
+            got = got.withColumn("unasked", F.lit(False))
+        return got.withColumnRenamed("url", "fact_url")
 
     def _wave(self, frontier: DataFrame, known: DataFrame) -> DataFrame:
         known = known.select("url").distinct()
-        seen = known.withColumn("is_known", F.lit(True))
-        f = frontier.join(seen, "url", "left").withColumn("encountered", F.col("is_known"))
-        before = known.select(F.col("url").alias("prev_url"), F.lit(True).alias("prev_encountered"))
-        f = f.join(before, F.col("prev.url") == F.col("prev_url"), "left").drop("prev_url").withColumn("prev_encountered", F.coalesce("prev_encountered", F.lit(False)))
+        f = frontier.join(known.withColumn("is_known", F.lit(True)), "url", "left")
+        if "M" in self.follow.kinds | self.save.kinds | self.stop.kinds:
+            before = known.select(F.col("url").alias("prev_url"), F.lit(True).alias("prev_encountered"))
+            f = f.join(before, F.col("prev.url") == F.col("prev_url"), "left").drop("prev_url")
+            f = f.withColumn("prev_encountered", F.coalesce("prev_encountered", F.lit(False)))
+        else:
+            f = f.withColumn("prev_encountered", F.lit(False))
         user = F.coalesce(F.col("source") == "user", F.lit(False))
         early = F.when(F.col("do_not_follow"), "no-download").when(F.col("is_known"), "duplicate")
-        if self.follow.kinds <= {"S", "M"}:  # decided before anything is requested
+        if "R" not in self.follow.kinds:  # decided before anything is requested
             early = F.coalesce(early, F.when(~(user | self.follow.column()), "rule-deny"))
         f = f.withColumn("status_text", early)
-        r = self.responses.withColumnRenamed("url", "response_url")
-        f = f.join(r, (F.col("url") == F.col("response_url")) & F.col("status_text").isNull(), "left")
-        if not self.follow.kinds <= {"S", "M"}:
-            redirected = F.coalesce(F.size("redirects") > 0, F.lit(False))
-            f = f.withColumn("status_text", F.coalesce("status_text", F.when(~(user | self.follow.column(redirected)), "rule-deny")))
-        if self.url_info is not None:
-            old = self.url_info.select(F.col("url").alias("old_url"), F.struct([c for c in self.url_info.columns if c != "url"]).alias("old"))
-            f = f.join(old, F.col("url") == F.col("old_url"), "left").drop("old_url")
-            if self.skip is not None:
-                f = f.withColumn("status_text", F.coalesce("status_text", F.when(F.col("old").isNotNull() & self.skip, "not-expired")))
-        hops = F.coalesce(F.size("redirects") > 0, F.lit(False)) & F.col("status_text").isNull()
-        at_fault = F.col("error").eqNullSafe("redirect")
-        f = f.withColumn("status_text", F.coalesce("status_text", F.when(at_fault, "redirect-error"), F.when(hops, "redirect")))
+        facts = self._facts(f.filter("status_text IS NULL").select("url").distinct())
+        f = f.join(facts, (F.col("url") == F.col("fact_url")) & F.col("status_text").isNull(), "left")
+        if "R" in self.follow.kinds:
+            f = f.withColumn("status_text", F.coalesce("status_text", F.when(~(user | self.follow.column(F.coalesce("hops", F.lit(False)), self._given)), "rule-deny")))
+        state = F.when(F.col("unasked"), "not-expired").when(F.col("error").eqNullSafe("redirect"), "redirect-error").when(F.col("hops"), "redirect")
+        f = f.withColumn("status_text", F.coalesce("status_text", state))
         if not self._hops:
-            return self._decide(f)
-        direct, sources = f.filter("status_text IS NULL OR status_text <> 'redirect'"), f.filter("status_text = 'redirect'")
+            return self._judged(f)
+        f = kept(f)
+        sources = f.filter("status_text = 'redirect'")
         targets = self._targets(sources, known)
-        both = kept(direct.unionByName(targets, allowMissingColumns=True))
-        result = self._decide(both)
-        return result.unionByName(self._log_of(sources.withColumns(_nothing())))
+        both = f.filter("status_text IS NULL OR status_text <> 'redirect'").unionByName(targets, allowMissingColumns=True)
+        return self._judged(both).unionByName(self._judged(sources))
 
     def _targets(self, sources: DataFrame, known: DataFrame) -> DataFrame:
         """The target links of redirecting ones, which come directly after them and have to be followed in their own right."""
-        t = sources.withColumn("redirect_from", F.col("url")).withColumn("raw", F.try_element_at("redirects", F.lit(-1))).withColumn("original_url", U.normalise(F.try_element_at("redirects", F.lit(-1))))
-        t = with_parts(t.drop(*PARTS, "is_known", "encountered", "status", "headers", "content", "redirects", "error", "response_url", "status_text", "old")).filter("original_url IS NOT NULL")
+        t = sources.withColumn("redirect_from", F.col("url")).withColumns({"raw": F.col("last_url"), "original_url": F.col("last_url")})
+        t = with_parts(t.drop(*PARTS, "is_known", *self._fact_names(), "status_text")).filter("original_url IS NOT NULL")
         own = F.struct("url", "netloc", "path")  # the target of a seed is its own root
         t = t.withColumn("order", F.concat("order", F.array(F.lit(-1)))).withColumn("root", F.when(F.col("prev").isNull(), own).otherwise(F.col("root")))
-        t = t.join(known.select("url").withColumn("is_known", F.lit(True)), "url", "left").withColumn("encountered", F.col("is_known"))
-        t = t.join(self.responses.withColumnRenamed("url", "response_url"), F.col("url") == F.col("response_url"), "left")
+        t = t.join(known.select("url").withColumn("is_known", F.lit(True)), "url", "left")
+        facts = self._facts(t.filter("is_known IS NULL").select("url").distinct())
+        t = t.join(facts, F.col("url") == F.col("fact_url"), "left")
         user = F.coalesce(F.col("source") == "user", F.lit(False))
-        state = F.when(F.col("is_known"), "duplicate").when(~(user | self.follow.column()), "rule-deny").when(F.size("redirects") > 0, "redirect-error")
+        state = F.when(F.col("is_known"), "duplicate").when(~(user | self.follow.column(None, self._given)), "rule-deny").when(F.col("hops"), "redirect-error")
         return t.withColumn("status_text", state)
 
-    def _decide(self, f: DataFrame) -> DataFrame:
+    def _fact_names(self) -> list[str]:
+        return ["fact_url", "status", "error", "redirect_code", "hops", "last_url", "unasked", *(name for name, _ in self._asked.values())]
+
+    def _judged(self, f: DataFrame) -> DataFrame:
+        """The log's columns before it is known which link of a url comes first."""
         missing = F.col("status").isNull() | F.coalesce(F.col("error") == "connect", F.lit(False))
         state = F.when(missing, "connect-error").when(F.col("status") >= 400, "http-error").when(F.col("status") == 304, "not-modified").otherwise("success")
         f = f.withColumn("status_text", F.coalesce("status_text", state))
-        ok = F.col("status_text").isin("success", "not-modified", "not-expired")
-        unconditional = F.col("status_text").isin("not-modified", "not-expired")
-        f = f.withColumn("may_save", F.when(ok, unconditional | self.save.column()).otherwise(False))
-        first = F.min(F.when(F.col("may_save"), F.col("order"))).over(Window.partitionBy("url"))
-        f = f.withColumn("first_saved", first)
-        late = ok & F.col("first_saved").isNotNull() & (F.col("order") > F.col("first_saved"))
-        f = f.withColumn("status_text", F.when(late, "duplicate").otherwise(F.col("status_text")))
-        f = f.withColumn("saved", F.col("may_save") & F.col("order").eqNullSafe(F.col("first_saved")))
-        open_ = F.col("status_text").isin("success", "not-modified", "not-expired")
-        f = f.withColumn("bail", open_ & self.stop.column()).withColumn("expanded", open_ & ~F.col("bail"))
-        return self._log_of(f)
+        ok, unconditional = F.col("status_text").isin(*OPEN), F.col("status_text").isin("not-modified", "not-expired")
+        out = ["order", "depth", "domain_depth", "raw", "original_url", *PARTS, "prev", "root", "inline", "tag", "do_not_follow", "source", "redirect_from"]
+        return f.select(
+            *out, F.col("status_text").alias("status"), F.col("status").cast("int").alias("code"), "redirect_code", U.canonical(F.col("last_url")).alias("target_url"),
+            F.when(ok, unconditional | self.save.column(None, self._given)).otherwise(False).alias("may_save"), F.when(ok, self.stop.column(None, self._given)).otherwise(False).alias("stops"),
+        )
 
     @staticmethod
-    def _log_of(f: DataFrame) -> DataFrame:
-        out = ["order", "depth", "domain_depth", "raw", "original_url", *PARTS, "prev", "root", "inline", "tag", "do_not_follow", "source", "redirect_from"]
-        return f.select(*out, (F.col("status_text") if "status_text" in f.columns else F.lit(None).cast("string")).alias("status"), (F.col("status") if "status" in f.columns else F.lit(None)).cast("int").alias("code"), "saved", "bail", "expanded")
+    def _decided(log: DataFrame, firsts: DataFrame) -> DataFrame:
+        """log with the final status, saved, bail and expanded."""
+        first = firsts.filter("own").select(F.col("url").alias("f_url"), F.col("wave").alias("f_wave"), F.col("order").alias("first_saved"))
+        f = log.join(first, (F.col("url") == F.col("f_url")) & (F.col("wave") == F.col("f_wave")), "left")
+        ok = F.col("status").isin(*OPEN)
+        late = ok & F.col("first_saved").isNotNull() & (F.col("order") > F.col("first_saved"))
+        f = f.withColumn("saved", F.col("may_save") & F.col("order").eqNullSafe(F.col("first_saved"))).withColumn("bail", ok & ~late & F.col("stops")).withColumn("expanded", ok & ~late & ~F.col("stops"))
+        return f.withColumn("status", F.when(late, "duplicate").otherwise(F.col("status"))).drop("f_url", "f_wave", "first_saved", "may_save", "stops")
 
-    def _expand(self, done: DataFrame, known: DataFrame, resolved: DataFrame) -> DataFrame:
-        """The links of expanded pages; queued: those whose url wasn't known when the page was expanded."""
+    def _expand(self, done: DataFrame, known: DataFrame) -> DataFrame:
+        """The links of expanded pages, stored ones of pages that weren't loaded; queued: those whose url wasn't known when the page was expanded."""
+        stored = F.col("status").isin("not-modified", "not-expired") & F.lit(self.url_info is not None and "links" in self.url_info.columns)
         parent = done.filter("expanded").select(
             F.col("url").alias("p_url"), F.col("original_url").alias("p_original"), F.col("netloc").alias("p_netloc"), F.col("path").alias("p_path"),
-            F.col("order").alias("p_order"), F.col("depth").alias("p_depth"), F.col("domain_depth").alias("p_domain_depth"), F.col("root").alias("p_root"),
+            F.col("order").alias("p_order"), F.col("depth").alias("p_depth"), F.col("domain_depth").alias("p_domain_depth"), F.col("root").alias("p_root"), stored.alias("p_stored"),
         )
-        links = parent.join(resolved, F.col("p_url") == F.col("from_url"))
+        links = parent.join(self._resolved, (F.col("p_url") == F.col("from_url")) & (F.col("p_stored") == F.col("stored"))).drop("p_stored", "stored")
         seen = known.groupBy(F.col("url").alias("k_url")).agg(F.min(F.struct("depth", "order")).alias("k"))
         links = links.join(seen, F.col("url") == F.col("k_url"), "left")
         earlier = F.col("k_url").isNotNull() & (F.col("k") <= F.struct(F.col("p_depth").alias("depth"), F.col("p_order").alias("order")))
         return links.withColumn("queued", ~earlier).drop("k_url", "k")
 
 
+def _coded(responses: DataFrame) -> DataFrame:
+    return responses if "redirect_code" in responses.columns else responses.withColumn("redirect_code", F.lit(None).cast("int"))
+
+
+OPEN = ("success", "not-modified", "not-expired")
+
+
+def written(df: DataFrame, place: str, wave: int) -> DataFrame:
+    """df written as a wave of a table; the whole table so far."""
+    path = f"{place}/wave={wave}"
+    keep(df, path)
+    return df.sparkSession.read.schema(df.withColumn("wave", F.lit(0)).schema).parquet(place)
+
+
 def wave_of(df: DataFrame, wave: int) -> DataFrame:
     return df.filter(F.col("wave") == wave)
 
@@ -198,7 +293,3 @@ def _frontier(links: DataFrame) -> DataFrame:
         F.struct(F.col("p_url").alias("url"), F.col("p_original").alias("original_url"), F.col("p_netloc").alias("netloc"), F.col("p_path").alias("path")).alias("prev"),
         F.col("p_root").alias("root"), "inline", "tag", "do_not_follow", "source", F.lit(None).cast("string").alias("redirect_from"),
     )
-
-
-def _nothing() -> dict[str, Column]:
-    return {"saved": F.lit(False), "bail": F.lit(False), "expanded": F.lit(False)}

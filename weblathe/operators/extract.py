@@ -62,16 +62,13 @@ def extract_links(documents: DataFrame, url: str = "url", content: str = "conten
     )
 
 
-def anchors(html: Column) -> Column:
-    """The href values of <a> in simple markup, by one pattern in the JVM; for pages that need no scanner."""
-    return F.regexp_extract_all(html, F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-
-
 def rewrite_links(content: Column, mime: Column, new: Column) -> Column:
     """content with the raw urls that are keys of the map new replaced by its values."""
 
+    known = dict(_EXTRACTORS)
+
     @F.pandas_udf("string")
     def run(texts: pd.Series, mimes: pd.Series, maps: pd.Series) -> pd.Series:
-        return pd.Series([t if m not in ("text/html", "text/css") or not d else scanners.rewritten(t, m == "text/css", dict(d)) for t, m, d in zip(texts, mimes, maps)])
+        return pd.Series([t if m not in known or not d else scanners.rewritten(t, m == "text/css", dict(d), known[m]) for t, m, d in zip(texts, mimes, maps)])
 
     return run(content, mime, new)

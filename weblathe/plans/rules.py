@@ -158,11 +158,12 @@ class RuleList:
         last = max((i for i, r in enumerate(self.rules) if r.test.name == "" and not r.op), default=0)
         return [r for i, r in enumerate(self.rules) if i >= last or r.stops or r.test.name == "size"]
 
-    def column(self, redirected: Column | None = None) -> Column:
-        """The decision. redirected: where a `size` test would see a redirect, which decides for yes whatever its sign."""
+    def column(self, redirected: Column | None = None, given: dict[str, Column] | None = None) -> Column:
+        """The decision. redirected: where a `size` test would see a redirect, which decides for yes whatever its sign. given: whether
+        rules pass, by their source, where that is known already."""
         decided: Column = F.lit(None).cast("boolean")
         for r in reversed(self._useful()):
-            p, act = passes(r), F.lit(r.positive)
+            p, act = given[r.source] if given and r.source in given else passes(r), F.lit(r.positive)
             seen = redirected if redirected is not None and r.test.name == "size" else None
             if seen is not None:
                 p = p & ~seen

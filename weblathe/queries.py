@@ -220,9 +220,33 @@ def extract_anchors(spark, sf_dir):
 
 @query(f"WITH {_A} SELECT p.page_id, count(a.href) AS links_total, count(DISTINCT a.href) AS links_distinct FROM pages p LEFT JOIN a ON p.page_id = a.page_id GROUP BY p.page_id")
 def extract_counts_per_page(spark, sf_dir):
-    """By one pattern in the JVM, as the count needs no places."""
-    found = extract.anchors(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("links_total"), F.size(F.array_distinct(found)).cast("long").alias("links_distinct"))
+    found = F.transform(extract.mentions(F.col("html"), F.lit("text/html")), lambda m: m["raw"])
+    counted = table(spark, sf_dir, "pages").select("page_id", found.alias("found"))
+    return counted.select("page_id", F.size("found").cast("long").alias("links_total"), F.size(F.array_distinct("found")).cast("long").alias("links_distinct"))
+
+
+#: A page's markup, by piece; {} is the page's id. Then what its links are: url, by the page's base or its own url, inline, tag, do_not_follow.
+_MARKUP = [
+    "<!doctype html><!-- <a href=no{}> --><a href=\"x{}\">", "<base href=\"/b{}/\"><base href=/no>", "<IMG alt=\"<a href=no>\" SRC=y{}.png>", "<link rel='x stylesheet' href='s{}.css'><link href=plain{}>",
+    "<form action=f{}>", "<meta http-equiv=Refresh content=\"3; url=m{}.html\">", "<meta name=robots http-equiv=refresh content=\"0; url=no\">", "<p style=\"background:url(g{}.gif)\">",
+    "<style>q{x:url(h{}.gif)}</style>", "<script>'<a href=no>'</script>", "<a href=\"  t{}?a&amp;b \">", "<a href=\"\"><a href=q&amp;{}><a href>", "<!--[if IE 6]><img src=c{}><![endif]-->", "a < b </a href=no>", "<a HREF='1' href='2{}'>",
+]
+_FOUND = [
+    ("x{}", True, False, "a.href", False), ("y{}.png", True, True, "img.src", False), ("s{}.css", False, True, "link.href", False), ("plain{}", False, False, "link.href", False), ("f{}", False, False, "form.action", True),
+    ("m{}.html", False, False, "meta.content", False), ("g{}.gif", True, True, None, False), ("h{}.gif", True, True, None, False), ("t{}?a&b", True, False, "a.href", False), ("q&amp;{}", True, False, "a.href", False),
+    ("c{}", True, True, "img.src", False), ("1", True, False, "a.href", False), ("2{}", True, False, "a.href", False),
+]
+
+
+@query(f"""
+SELECT page_id, n::INT AS n, 'http://h.example.org' || CASE WHEN based THEN '/b' || page_id || '/' ELSE '/d/' END || replace(u, '{{}}', page_id::VARCHAR) AS absolute, inline, tag, do_not_follow
+FROM pages, (VALUES {", ".join(f"({n}, '{u}', {based}, {inline}, {'NULL' if tag is None else repr(tag)}, {no})" for n, (u, based, inline, tag, no) in enumerate(_FOUND))}) AS f(n, u, based, inline, tag, do_not_follow)
+""")
+def extract_markup(spark, sf_dir):
+    """Comments, quotes, entities, raw text, bases, styles, forms, refreshes and repeated attributes, in markup made of each page's id."""
+    made = F.concat(*[F.replace(F.lit(x), F.lit("{}"), F.col("page_id").cast("string")) for x in _MARKUP])
+    p = table(spark, sf_dir, "pages").select("page_id", F.lit("http://h.example.org/d/").alias("url"), made.alias("html"), F.lit("text/html").alias("mime"))
+    return extract.extract_links(p, content="html").select("page_id", "n", "absolute", "inline", "tag", "do_not_follow")
 
 
 @query(f"WITH {_A} SELECT a.page_id, (i - 1)::INT AS n, regexp_extract(url, '^[^:]+://[^/?#]*') || href AS absolute FROM a JOIN pages p ON a.page_id = p.page_id")
@@ -356,22 +380,42 @@ c{d + 1} AS (SELECT v.canon AS dst, list_append(p.ord, e.k::INT) AS ord, p.depth
     return "".join(out) + ", w AS (" + " UNION ALL ".join(f"SELECT * FROM w{d}" for d in range(depth + 1)) + ")" + extra
 
 
-_DEPTH = 9
+def fixpoint(follow: str = "true", stop: str = "false", broken: str = "false") -> str:
+    """SQL of a crawl to its end in which every page without an error is saved: w has a row per saved page. Conditions are over c, as above."""
+    row = "c.dst, c.ord, c.depth, c.domain_depth, c.inline, c.netloc, c.path"
+    return f"""
+WITH RECURSIVE {_U}, n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, k, (page_id * 7 + k * 13 + 1) % n AS dst FROM u, n, range(0, 3) AS r(k)),
+q AS (SELECT u.page_id, min(u2.page_id) AS canon FROM u JOIN u u2 ON u.url = u2.url GROUP BY u.page_id),
+v AS (SELECT u.page_id, canon, netloc, path FROM u JOIN q ON u.page_id = q.page_id),
+w(dst, ord, depth, domain_depth, inline, netloc, path, bail) USING KEY (dst) AS (
+SELECT {row}, ({stop}) FROM (SELECT canon AS dst, [0] AS ord, 0 AS depth, 0 AS domain_depth, false AS inline, netloc, path FROM v WHERE page_id = 0) c
+UNION
+SELECT {row}, ({stop}) FROM (SELECT v.canon AS dst, list_append(p.ord, e.k::INT) AS ord, p.depth + 1 AS depth, CASE WHEN v.netloc = p.netloc THEN p.domain_depth + 1 ELSE 0 END AS domain_depth,
+  e.k = 2 AS inline, v.netloc, v.path FROM w p JOIN e ON e.src = p.dst JOIN v ON v.page_id = e.dst WHERE NOT p.bail) c
+WHERE NOT EXISTS (SELECT 1 FROM recurring.w x WHERE x.dst = c.dst) AND ({follow}) AND NOT ({broken})
+QUALIFY row_number() OVER (PARTITION BY c.dst ORDER BY c.ord) = 1),
+o AS (SELECT p.*, v.canon AS to_dst, v.path AS to_path FROM w p JOIN e ON e.src = p.dst JOIN v ON v.page_id = e.dst WHERE NOT p.bail)"""
+
+
+@query(fixpoint() + " SELECT dst AS page_id, depth::INT AS depth FROM w")
+def crawl_depth(spark, sf_dir):
+    return _page_of(spark, sf_dir, crawled(spark, sf_dir).saved).select("page_id", "depth")
 
 
-@query(levels(_DEPTH, follow=f"c.depth <= {_DEPTH}") + " SELECT dst AS page_id, depth::INT AS depth FROM w WHERE saved")
-def crawl_depth(spark, sf_dir):
-    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=[f"+depth<={_DEPTH}"]).saved).select("page_id", "depth")
+@query(fixpoint(follow="c.depth <= 3") + " SELECT dst AS page_id, depth::INT AS depth FROM w")
+def crawl_depth_limit(spark, sf_dir):
+    """With a limit of depth as its rule."""
+    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=["+depth<=3"]).saved).select("page_id", "depth")
 
 
-@query(levels(4, follow="c.depth <= 4") + " SELECT dst AS page_id, depth::INT AS depth, domain_depth::INT AS domain_depth FROM w WHERE saved")
-def crawl_domain_depth(spark, sf_dir, first="+depth<=4"):
-    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=[first]).saved).select("page_id", "depth", F.col("domain_depth").cast("int").alias("domain_depth"))
+@query(fixpoint() + " SELECT dst AS page_id, depth::INT AS depth, domain_depth::INT AS domain_depth FROM w")
+def crawl_domain_depth(spark, sf_dir):
+    return _page_of(spark, sf_dir, crawled(spark, sf_dir).saved).select("page_id", "depth", F.col("domain_depth").cast("int").alias("domain_depth"))
 
 
-@query(levels(6, follow="c.depth <= 6 AND NOT c.netloc GLOB '*.org'") + " SELECT dst AS page_id, depth::INT AS depth FROM w WHERE saved")
-def crawl_follow_rule(spark, sf_dir, first="+depth<=6"):
-    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=[first, "-domain=*.org"]).saved).select("page_id", "depth")
+@query(fixpoint(follow="NOT c.netloc GLOB '*.org'") + " SELECT dst AS page_id, depth::INT AS depth FROM w")
+def crawl_follow_rule(spark, sf_dir):
+    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=["+", "-domain=*.org"]).saved).select("page_id", "depth")
 
 
 @query(levels(4, follow="c.depth <= 4", save="c.dst % 3 <> 1 OR c.path GLOB '/en/*'") + " SELECT dst AS page_id, depth::INT AS depth, saved, count(*) AS times FROM w GROUP BY ALL")
@@ -382,35 +426,65 @@ def crawl_save_rule(spark, sf_dir):
     return _page_of(spark, sf_dir, log).groupBy("page_id", "depth", "saved").agg(F.count(F.lit(1)).alias("times"))
 
 
-@query(levels(5, follow="c.depth <= 5", stop="c.path GLOB '/de/*'") + " SELECT dst AS page_id, depth::INT AS depth, bail FROM w WHERE saved")
-def crawl_stop_rule(spark, sf_dir, first="+depth<=5"):
-    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=[first], stop=["-", "+path=/de/*"]).saved).select("page_id", "depth", "bail")
+@query(fixpoint(stop="c.path GLOB '/de/*'") + " SELECT dst AS page_id, depth::INT AS depth, bail FROM w")
+def crawl_stop_rule(spark, sf_dir):
+    return _page_of(spark, sf_dir, crawled(spark, sf_dir, stop=["-", "+path=/de/*"]).saved).select("page_id", "depth", "bail")
 
 
-@query(levels(4, follow="c.depth <= 1 OR (c.inline AND c.p_saved)") + " SELECT dst AS page_id, depth::INT AS depth FROM w WHERE saved")
+@query(fixpoint(follow="c.depth <= 1 OR c.inline") + " SELECT dst AS page_id, depth::INT AS depth FROM w")
 def crawl_requisite(spark, sf_dir):
-    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=["-", "+depth<=1", "+requisite"], max_depth=4).saved).select("page_id", "depth")
+    """Requisites of requisites too, to the end."""
+    return _page_of(spark, sf_dir, crawled(spark, sf_dir, follow=["-", "+depth<=1", "+requisite"]).saved).select("page_id", "depth")
 
 
-@query(levels(5, follow="c.depth <= 5", status="CASE WHEN c.dst % 4 = 3 THEN 404 ELSE 200 END", extra=", z AS (SELECT dst, depth, code FROM w UNION ALL " + " UNION ALL ".join(f"SELECT dst, depth, code FROM f{d} WHERE code >= 400" for d in range(6)) + ")") + " SELECT depth::INT AS depth, CASE WHEN code < 400 THEN 'success' ELSE 'http-error' END AS status, count(*) AS links FROM z GROUP BY ALL")
-def crawl_errors(spark, sf_dir, first="+depth<=5"):
-    broken = lambda r: r.withColumn("status", F.when(F.col("page_id") % 4 == 3, 404).otherwise(F.col("status")))
-    log = crawled(spark, sf_dir, follow=[first], change=broken).log
+def broken(r):
+    return r.withColumn("status", F.when(F.col("page_id") % 4 == 3, 404).otherwise(F.col("status")))
+
+
+@query(fixpoint(broken="c.dst % 4 = 3") + """
+SELECT depth::INT AS depth, 'success' AS status, count(*) AS links FROM w GROUP BY ALL UNION ALL SELECT (depth + 1)::INT, 'http-error', count(*) FROM o WHERE to_dst % 4 = 3 GROUP BY ALL
+""")
+def crawl_errors(spark, sf_dir):
+    log = crawled(spark, sf_dir, change=broken).log
     return log.filter("status IN ('success', 'http-error')").groupBy("depth", "status").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query(levels(4, follow="c.depth <= 3", extra=", ".join(["", *(f"t{d} AS (SELECT p.dst AS page_id, p.depth, 3::BIGINT AS links_total, (SELECT count(*) FROM c{d + 1} c WHERE c.ord[:len(c.ord) - 1] = p.ord) AS links_followed FROM w{d} p WHERE saved)" for d in range(4))])) + " " + " UNION ALL ".join(f"SELECT page_id, depth::INT AS depth, links_total, links_followed FROM t{d}" for d in range(4)))
-def crawl_links_followed(spark, sf_dir, first="+depth<=3"):
-    log = crawled(spark, sf_dir, follow=[first]).saved
-    return _page_of(spark, sf_dir, log).select("page_id", "depth", "links_total", "links_followed")
+@query(fixpoint() + """
+SELECT dst AS page_id, depth::INT AS depth, count(*) AS links_total,
+  count(*) FILTER (NOT EXISTS (SELECT 1 FROM w x WHERE x.dst = o.to_dst AND (x.depth < o.depth OR (x.depth = o.depth AND x.ord <= o.ord)))) AS links_followed FROM o GROUP BY ALL
+""")
+def crawl_links_followed(spark, sf_dir):
+    return _page_of(spark, sf_dir, crawled(spark, sf_dir).saved).select("page_id", "depth", "links_total", "links_followed")
+
+
+_REDIRECTS = f"""
+WITH RECURSIVE {_U}, n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, k, (page_id * 7 + k * 13 + 1) % n AS dst FROM u, n, range(0, 3) AS r(k)),
+q AS (SELECT u.page_id, min(u2.page_id) AS canon FROM u JOIN u u2 ON u.url = u2.url GROUP BY u.page_id),
+v AS (SELECT u.page_id, canon, path FROM u JOIN q ON u.page_id = q.page_id),
+m AS (SELECT a.page_id AS src, b.page_id AS dst, b.path FROM v a JOIN v b ON b.page_id = a.page_id - 1 WHERE a.page_id % 5 = 2 AND a.canon = a.page_id AND b.canon = b.page_id),
+x AS (SELECT e.src, e.k::INT AS k, v.canon AS dst, v.path, m.dst AS to_dst, m.path AS to_path FROM e JOIN v ON v.page_id = e.dst LEFT JOIN m ON m.src = v.canon),
+w(dst, src, ord, depth) USING KEY (dst) AS (
+SELECT 0::BIGINT, NULL::BIGINT, [0], 0
+UNION
+SELECT c.dst, c.src, c.ord, c.depth FROM (SELECT coalesce(x.to_dst, x.dst) AS dst, CASE WHEN x.to_dst IS NOT NULL THEN x.dst END AS src, list_append(p.ord, x.k) || CASE WHEN x.to_dst IS NULL THEN [] ELSE [-1] END AS ord, p.depth + 1 AS depth, x.dst AS asked
+  FROM w p JOIN x ON x.src = p.dst WHERE NOT x.path GLOB '/fr/*' AND NOT coalesce(x.to_path GLOB '/fr/*', false)) c
+WHERE NOT EXISTS (SELECT 1 FROM recurring.w y WHERE y.dst IN (c.dst, c.asked) OR y.src IN (c.dst, c.asked)) QUALIFY row_number() OVER (PARTITION BY c.dst ORDER BY c.ord) = 1),
+h AS (SELECT url, min(depth) AS depth, min({{'d': depth, 'o': ord}}) AS since FROM (SELECT dst AS url, depth, ord FROM w UNION ALL SELECT src, depth, ord FROM w WHERE src IS NOT NULL) GROUP BY url),
+f AS (SELECT p.depth + 1 AS depth, list_append(p.ord, x.k) AS ord, x.* EXCLUDE (src) FROM w p JOIN x ON x.src = p.dst LEFT JOIN h ON h.url = x.dst WHERE h.url IS NULL OR NOT h.since <= {{'d': p.depth, 'o': p.ord}}),
+g AS (SELECT f.*, CASE WHEN coalesce(h.depth < f.depth, false) THEN 'duplicate' WHEN path GLOB '/fr/*' THEN 'rule-deny' WHEN to_dst IS NOT NULL THEN 'redirect' WHEN w.ord = f.ord THEN 'success' ELSE 'duplicate' END AS status
+  FROM f LEFT JOIN h ON h.url = f.dst LEFT JOIN w ON w.dst = f.dst),
+t AS (SELECT g.depth, CASE WHEN coalesce(h.depth < g.depth, false) THEN 'duplicate' WHEN to_path GLOB '/fr/*' THEN 'rule-deny' WHEN w.ord = g.ord || [-1] THEN 'success' ELSE 'duplicate' END AS status
+  FROM g LEFT JOIN h ON h.url = g.to_dst LEFT JOIN w ON w.dst = g.to_dst WHERE g.status = 'redirect')
+SELECT depth::INT AS depth, status, redirected, count(*) AS links FROM (SELECT 0 AS depth, 'success' AS status, false AS redirected UNION ALL SELECT depth, status, false FROM g UNION ALL SELECT depth, status, true FROM t) GROUP BY ALL
+"""
 
 
-@query()
+@query(_REDIRECTS)
 def crawl_redirects(spark, sf_dir):
-    """Every fifth page redirects to the next one; the target has to be followed in its own right."""
+    """Every fifth page redirects to the one before it; the target has to be followed in its own right."""
 
     def moved(r):
-        to = r.select((F.col("page_id") - 1).alias("page_id"), F.col("original_url").alias("to"))
+        to = r.select((F.col("page_id") + 1).alias("page_id"), F.col("original_url").alias("to"))
         r = r.join(to, "page_id", "left")
         return r.withColumn("redirects", F.when((F.col("page_id") % 5 == 2) & F.col("to").isNotNull(), F.array("to")).otherwise(F.col("redirects"))).drop("to")
 
@@ -418,29 +492,15 @@ def crawl_redirects(spark, sf_dir):
     return log.groupBy("depth", "status", F.col("redirect_from").isNotNull().alias("redirected")).agg(F.count(F.lit(1)).alias("links"))
 
 
-@query(levels(4, follow="c.depth <= 3") + " SELECT '⚑' AS mark, count(*) AS lines FROM w WHERE saved UNION ALL SELECT '-', count(*) FROM c4 WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.saved AND x.dst = c4.dst)")
-def log_status(spark, sf_dir, first="+depth<=3"):
-    log = crawl_log.lines(crawled(spark, sf_dir, follow=[first]).log)
+@query(fixpoint(follow="NOT c.path GLOB '/fr/*'") + " SELECT '⚑' AS mark, count(*) AS lines FROM w UNION ALL SELECT '-', count(*) FROM o WHERE to_path GLOB '/fr/*' HAVING count(*) > 0")
+def log_status(spark, sf_dir):
+    log = crawl_log.lines(crawled(spark, sf_dir, follow=["+", "-path=/fr/*"]).log)
     return log.filter("mark IS NOT NULL").groupBy("mark").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query(levels(3, follow="c.depth <= 3") + " SELECT count(*) AS saved, 0::BIGINT AS errors FROM w WHERE saved")
-def log_counters(spark, sf_dir, first="+depth<=3"):
-    return crawl_log.counters(crawled(spark, sf_dir, follow=[first]).log).select("saved", "errors")
-
-
-def _to_the_end(f):
-    """f without its limit of depth. The SQL is unrolled by depth, so these have none."""
-
-    def run(spark, sf_dir):
-        return f(spark, sf_dir, "+")
-
-    run.__name__ = f"{f.__name__}_whole"
-    return query()(run)
-
-
-for _f in (crawl_domain_depth, crawl_follow_rule, crawl_stop_rule, crawl_errors, crawl_links_followed, log_status, log_counters):
-    _to_the_end(_f)
+@query(fixpoint(broken="c.dst % 4 = 3") + " SELECT (SELECT count(*) FROM w) AS saved, (SELECT count(*) FROM o WHERE to_dst % 4 = 3) AS errors")
+def log_counters(spark, sf_dir):
+    return crawl_log.counters(crawled(spark, sf_dir, change=broken).log).select("saved", "errors")
 
 
 # Requests to an existing mirror

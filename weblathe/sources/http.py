@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-SCHEMA = "url string, final_url string, status int, headers map<string,string>, content binary, redirects array<string>, error string"
+SCHEMA = "url string, final_url string, status int, headers map<string,string>, content binary, redirects array<string>, error string, redirect_code int"
 ATTEMPTS = 7
 #: Names for user agents.
 AGENTS = {"firefox": "Mozilla/5.0 (X11; Linux x86_64; rv:128.0) Gecko/20100101 Firefox/128.0", "safari": "Mozilla/5.0 (Macintosh; Intel Mac OS X 14_5) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.5 Safari/605.1.15"}
@@ -19,26 +19,28 @@ AGENTS = {"firefox": "Mozilla/5.0 (X11; Linux x86_64; rv:128.0) Gecko/20100101 F
 class _Hops(urllib.request.HTTPRedirectHandler):
     def __init__(self):
         self.seen: list[str] = []
+        self.code: int | None = None
 
     def redirect_request(self, req, fp, code, msg, headers, newurl):
         self.seen.append(newurl)
+        self.code = self.code or code  # that of the first hop
         return super().redirect_request(req, fp, code, msg, headers, newurl)
 
 
 def fetch_one(url: str, agent: str, referer: str | None = None, etag: str | None = None, modified: str | None = None, post: dict | None = None, timeout: float = 30) -> dict:
     """The response of a url; error is 'connect' or 'redirect' where there is none."""
     headers = {k: v for k, v in (("User-Agent", agent), ("Referer", referer), ("If-None-Match", etag), ("If-Modified-Since", modified)) if v}
-    out = {"url": url, "final_url": url, "status": None, "headers": {}, "content": None, "redirects": [], "error": "connect"}
+    out = {"url": url, "final_url": url, "status": None, "headers": {}, "content": None, "redirects": [], "error": "connect", "redirect_code": None}
     for _ in range(ATTEMPTS):
         hops = _Hops()
         opener = urllib.request.build_opener(hops)
         try:
             data = urllib.parse.urlencode(post).encode() if post else None
             with opener.open(urllib.request.Request(url, data, headers), timeout=timeout) as r:
-                return out | {"final_url": r.url, "status": r.status, "headers": {k.lower(): v for k, v in r.headers.items()}, "content": r.read(), "redirects": hops.seen, "error": None}
+                return out | {"final_url": r.url, "status": r.status, "headers": {k.lower(): v for k, v in r.headers.items()}, "content": r.read(), "redirects": hops.seen, "error": None, "redirect_code": hops.code}
         except urllib.error.HTTPError as e:
             loop = e.code in (301, 302, 303, 307, 308)
-            return out | {"status": e.code, "headers": {k.lower(): v for k, v in e.headers.items()}, "content": e.read(), "redirects": hops.seen, "error": "redirect" if loop else None}
+            return out | {"status": e.code, "headers": {k.lower(): v for k, v in e.headers.items()}, "content": e.read(), "redirects": hops.seen, "error": "redirect" if loop else None, "redirect_code": hops.code}
         except OSError:
             continue
     return out
@@ -51,7 +53,7 @@ def fetch(requests: DataFrame, agent: str = "firefox", partitions: int = 64) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([fetch_one(row["url"], name, **{c: row[c] for c in columns}) for row in batch.to_dict("records")], columns=["url", "final_url", "status", "headers", "content", "redirects", "error"])
+            yield pd.DataFrame([fetch_one(row["url"], name, **{c: row[c] for c in columns}) for row in batch.to_dict("records")], columns=["url", "final_url", "status", "headers", "content", "redirects", "error", "redirect_code"])
 
     from pyspark.sql import functions as F
 

@@ -11,6 +11,8 @@ TABLES = {
     "url_info": "url string, original_url string, mimetype string, etag string, encoding string, last_modified string, expires timestamp_ntz, "
     "links array<struct<url:string,inline:boolean,tag:string,do_not_follow:boolean,source:string>>",
     "stored": "url string, filename string",
+    "redirects": "url string, code int, target_url string",
+    "documents": "url string, filename string, mimetype string, content binary",
     "info": "key string, value string",
     "cookies": "domain string, path string, name string, value string",
 }
@@ -46,6 +48,8 @@ def write(df: DataFrame, mirror: str, name: str) -> None:
     last = _latest(spark, mirror, name)
     number = int(last.rpartition("/")[2]) + 1 if last else 0
     df.write.mode("overwrite").parquet(f"{_path(mirror, name)}/{number}")
+    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{_path(mirror, name)}/{number - 2}")  # the one before the last is kept
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def options(spark: SparkSession, mirror: str) -> dict:
