@@ -4,10 +4,11 @@ Words are runs of ASCII letters and digits and of all other than ASCII character
 or a window of consecutive words over the ends of lines, without a line that has no words between them, that is a fifth longer
 than the template (SLACK); a window starts in the line that it is counted for. Of a template's windows that overlap the best is kept.
 A template fits a block when the block has at least CONTAINMENT of the template's distinct words. The join is exact:
-the words of the templates get one global order, rarest in the corpus first; a fitting block must have a word of the
-template's prefix in that order (prefix filter), at least as many distinct words as are needed (length filter), and
-enough words left at and after the first shared one (positional filter). All that survives is counted exactly.
-The templates are a fixed list, so the probe runs inside each row: nothing is exploded or shuffled but the counts of
+the words of the templates get one global order, rarest in the corpus first, and a block is the sorted places of its template words in it.
+An inverted index from places to the templates that have them in their prefix gives the candidates (prefix filter); a block needs
+as many template words as a candidate asks for (length filter), and as many from the first shared one on, as those before it aren't
+the template's (positional filter). All that survives is counted exactly.
+Templates, order and index are tables of constants, so the probe runs inside each row: nothing is exploded or shuffled but the counts of
 template words, of which there is one row a word.
 
 Null and empty texts have no words and no labels. Rows are judged alone; repeated rows, ties and null ids stay as they
@@ -17,6 +18,7 @@ are, and an empty table gives no rows. Other columns pass through unless their n
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from weblathe.llm.common import let, table
 
 _IN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _OUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: The same as _IN; characters that are listed one by one are looked up in a table.
+_LISTED = "[\\x{80}-\\x{10FFFF}0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz]"
 CONTAINMENT = 0.8
 #: How much longer than a template's words a window over several lines is: wrapped notices may have other words between their own.
 SLACK = 1.2
@@ -52,7 +56,7 @@ def _phrase(phrase: str) -> str:
 
 
 def _count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(_IN + "+")).cast("long")
+    return F.regexp_count(text, F.lit(_LISTED + "+")).cast("long")
 
 
 def _lower(text: Column) -> Column:
@@ -64,29 +68,49 @@ def _words(text: Column) -> Column:
 
 
 def word_counts(docs: DataFrame, text: str, templates=TEMPLATES) -> dict[str, int]:
-    """In how many texts each template word occurs; one row a template word comes to the driver."""
+    """In how many texts each template word occurs, to order them; one row a template word comes to the driver."""
     known = sorted({w for _, t in templates for w in t.split()})
-    found = docs.select(F.explode(F.array_intersect(_words(F.coalesce(F.col(text), F.lit(""))), F.array(*map(F.lit, known)))).alias("w"))
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), _OUT + "+")
+    found = docs.select(F.explode(F.array_intersect(words, F.array(*map(F.lit, known)))).alias("w"))
     counted = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {w: counted.get(w, 0) for w in known}
 
 
-class Template:
-    """A template's words in the global order, and what the filters need of it."""
-
-    def __init__(self, label: str, text: str, counts: dict[str, int], containment: float):
-        self.label = label
-        self.window = int(SLACK * len(text.split()))
-        self.tokens = sorted(set(text.split()), key=lambda w: (counts.get(w, 0), w))
-        self.needed = math.ceil(containment * len(self.tokens) - 1e-9)
-        self.prefix = self.tokens[: len(self.tokens) - self.needed + 1]
-
-    def overlap(self, words: Column) -> Column:
-        """How many of the template's words are among the distinct words; 0 where a filter says that too few can be."""
-        tokens = F.array(*map(F.lit, self.tokens))
-        first = F.coalesce(*[F.when(F.array_contains(words, w), i) for i, w in enumerate(self.prefix)])
-        fits = (F.size(words) >= self.needed) & first.isNotNull() & (len(self.tokens) - first >= self.needed)
-        return F.when(F.coalesce(fits, F.lit(False)), F.size(F.array_intersect(words, tokens))).otherwise(0)
+class Tables:
+    """The templates by their words' places (from 1) in the global order, and the index of their prefixes, as constant columns."""
+
+    def __init__(self, templates, counts: dict[str, int], containment: float):
+        order = sorted(counts, key=lambda w: (counts[w], w))
+        place = {w: i + 1 for i, w in enumerate(order)}
+        rows, holders = [], [[] for _ in order]
+        for k, (label, text) in enumerate(templates):
+            at = sorted({place[w] for w in text.split()})
+            needed = math.ceil(containment * len(at) - 1e-9)
+            prefix = at[: len(at) - needed + 1]
+            rows.append(F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.lit(int(SLACK * len(text.split()))).alias("window"), F.lit(needed).alias("needed"), F.array(*map(F.lit, at)).alias("at"), F.array(*map(F.lit, prefix)).alias("prefix")))
+            for i in prefix:
+                holders[i - 1].append(k + 1)
+        self.longest = max((int(SLACK * len(t.split())) for _, t in templates), default=0)
+        self.rare = [w for w, held in zip(order, holders) if held]
+        self.words, self.templates = F.array(*map(F.lit, order)), F.array(*rows)
+        self.index = F.array(*[F.array(*map(F.lit, held)).cast("array<int>") for held in holders])
+
+    def places(self, words: Column) -> Column:
+        """The sorted places of the template words among these words."""
+        return F.array_sort(F.transform(F.array_intersect(words, self.words), lambda w: F.array_position(self.words, w).cast("int")))
+
+    def candidates(self, places: Column) -> Column:
+        """The templates that have one of these places in their prefix."""
+        found = F.array_distinct(F.flatten(F.transform(places, lambda i: F.element_at(self.index, i))))
+        return F.transform(found, lambda k: F.element_at(self.templates, k))
+
+    @staticmethod
+    def overlap(m: Column, places: Column) -> Column:
+        """How many of the template's words a block has; 0 where a filter says that too few can be."""
+        first = F.array_min(F.array_intersect(places, m["prefix"]))
+        left = F.size(F.filter(places, lambda i: i >= first))
+        fits = F.coalesce((F.size(places) >= m["needed"]) & (left >= m["needed"]), F.lit(False))
+        return F.when(fits, F.size(F.array_intersect(places, m["at"]))).otherwise(0)
 
 
 def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -94,46 +118,46 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, containment:
 
     score: 1 with a base label, else the greatest containment of a template that fits, else 0.
     """
-    counts = word_counts(docs, text, templates)
-    made = [Template(label, t, counts, containment) for label, t in templates]
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in RESULTS and c.lower() != text.lower()))
-    t = F.coalesce(F.col(text), F.lit(""))
+    made = Tables(templates, word_counts(docs, text, templates), containment)
+    names = [c for c in docs.columns if c.lower() not in RESULTS or c.lower() == text.lower()]
+    docs = docs.select(F.struct(*[F.col(c) for c in names]).alias("given"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    t, low = F.col("t"), F.lower("t")  # of other than ASCII characters only more may be made alike
 
     def place(phrase: str) -> Column:
         p = _phrase(phrase)
         found = F.struct(
             F.regexp_count(t, F.lit(p)).cast("long").alias("n"),
-            _count_words(F.substring(t, F.lit(1), F.regexp_instr(t, F.lit(p)) - 1)).alias("first"),
+            _count_words(F.regexp_extract(t, r"(?s)\A(.*?)" + p, 1)).alias("first"),
             _count_words(F.regexp_extract(t, r"(?s)\A(.*)" + p, 1)).alias("last"),
         )
-        return F.when(t.rlike(p), found)
+        return F.when(reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in phrase.split()]) & t.rlike(p), found)
 
     def fits(line: Column, number: Column) -> Column:
-        each = lambda words: F.array(*[_match(m, words, number) for m in made])
-        return let(F.array_distinct(_words(line)), lambda words: F.array_compact(each(words)))
+        one = lambda m, places: let(made.overlap(m, places), lambda o: F.when(o >= m["needed"], _hit(m, o, number)))
+        return let(made.places(F.array_distinct(_words(line))), lambda places: F.array_compact(F.transform(made.candidates(places), lambda m: one(m, places))))
 
     def wrapped(lines: Column, start: Column) -> Column:
         """The templates that fit the windows from line start on, of more than one line."""
-        return F.array_compact(F.array(*[_wrapped(k, m, lines, start) for k, m in enumerate(made) if m.window > 1]))
+        near = _words(F.array_join(F.transform(F.slice(lines, start + 1, made.longest + 1), lambda x: x["x"]), "\n"))
+        return let(made.candidates(made.places(near)), lambda ms: F.array_compact(F.transform(F.filter(ms, lambda m: m["window"] > 1), lambda m: _wrapped(m, lines, start))))
 
-    def _wrapped(k: int, m: Template, lines: Column, start: Column) -> Column:
+    def _wrapped(m: Column, lines: Column, start: Column) -> Column:
         def add(a, x):
-            more = a["open"] & (a["n"] < m.window) & (x["n"] > 0)
+            more = a["open"] & (a["n"] < m["window"]) & (x["n"] > 0)
             return F.when(more, F.struct((a["n"] + x["n"]).alias("n"), (a["size"] + 1).alias("size"), F.lit(True).alias("open"))).otherwise(F.struct(a["n"].alias("n"), a["size"].alias("size"), F.lit(False).alias("open")))
 
         none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(1).alias("size"), F.lit(True).alias("open"))
-        size = F.aggregate(F.slice(lines, start + 2, m.window), none, add, lambda a: a["size"])
+        size = F.aggregate(F.slice(lines, start + 2, m["window"]), none, add, lambda a: a["size"])
 
         def hit(block: Column) -> Column:
             n = F.element_at(block, 1)["n"].cast("int")
-            tokens = F.array(*map(F.lit, m.tokens))
-            places = F.sequence(F.greatest(F.lit(1), n - m.window + 2), n)
-            most = lambda words: F.array_max(F.transform(places, lambda at: F.size(F.array_intersect(F.slice(words, at, m.window), tokens))))
-            kept_as = lambda o: F.when(o >= m.needed, F.struct(F.lit(k).alias("k"), (start + F.size(block) - 1).alias("end"), _hit(m, o, start).alias("match")))
+            spots = F.sequence(F.greatest(F.lit(1), n - m["window"] + 2), n)
+            most = lambda words: F.array_max(F.transform(spots, lambda at: made.overlap(m, made.places(F.slice(words, at, m["window"])))))
+            kept_as = lambda o: F.when(o >= m["needed"], F.struct(m["k"].alias("k"), (start + F.size(block) - 1).alias("end"), _hit(m, o, start).alias("match")))
             # The whole of the lines first: most have too few of the words.
-            found = lambda words: F.when(m.overlap(F.array_distinct(words)) >= m.needed, let(most(words), kept_as))
-            text = F.array_join(F.transform(block, lambda x: x["x"]), "\n")
-            return F.when((F.size(block) > 1) & F.exists(block, lambda x: x["hit"]), let(_words(text), found))
+            found = lambda words: F.when(made.overlap(m, made.places(words)) >= m["needed"], let(most(words), kept_as))
+            joined = F.array_join(F.transform(block, lambda x: x["x"]), "\n")
+            return F.when((F.size(block) > 1) & F.exists(block, lambda x: x["hit"]), let(_words(joined), found))
 
         return let(F.slice(lines, start + 1, size), hit)
 
@@ -147,46 +171,38 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, containment:
     def plain(found: Column) -> Column:
         return F.transform(found, lambda h: h.dropFields("end"))
 
-    def _match(m: Template, words: Column, number: Column) -> Column:
-        o = m.overlap(words)
-        return F.when(o >= m.needed, _hit(m, o, number))
-
-    def _hit(m: Template, o: Column, number: Column) -> Column:
-        return F.struct(F.lit(m.label).alias("label"), number.cast("long").alias("line"), o.cast("long").alias("overlap"), (o / len(m.tokens)).alias("score"))
+    def _hit(m: Column, o: Column, number: Column) -> Column:
+        return F.struct(m["label"].alias("label"), number.cast("long").alias("line"), o.cast("long").alias("overlap"), (o / F.size(m["at"])).alias("score"))
 
     # A text or line without any prefix word has no candidate.
-    rare = r"(?i)(?<!%s)(?:%s)(?!%s)" % (_IN, "|".join(sorted({w for m in made for w in m.prefix})), _IN)
+    rare = r"(?i)(?<!%s)(?:%s)(?!%s)" % (_IN, "|".join(sorted(made.rare)), _IN)
+    some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in made.rare], F.lit(False)) & t.rlike(rare)
     candidates = F.filter(F.transform(F.split(t, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(rare))
     nothing = F.array().cast("array<struct<label:string,line:bigint,overlap:bigint,score:double>>")
     single = F.flatten(F.transform(candidates, lambda s: fits(s["x"], s["i"])))
     lines = F.transform(F.split(t, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"), _count_words(x).alias("n"), x.rlike(rare).alias("hit")))
     # A window from a line on has at most as many lines more as the longest window has words.
-    reach = max((m.window for m in made), default=0) + 1
+    reach = made.longest + 1
     near = lambda ls: F.filter(ls, lambda s: (s["n"] > 0) & F.exists(F.slice(ls, s["i"] + 1, reach), lambda x: x["hit"]))
     several = let(lines, lambda ls: let(F.flatten(F.transform(near(ls), lambda s: wrapped(ls, s["i"]))), best))
     # Lines that fit alone need no window over them.
     covered = lambda w, alone: F.exists(alone, lambda a: (a["label"] == w["label"]) & (a["score"] >= w["score"]) & a["line"].between(w["line"], w["end"]))
-    matches = F.when(t.rlike(rare), let(single, lambda alone: F.concat(alone, let(several, lambda ws: plain(F.filter(ws, lambda w: ~covered(w, alone))))))).otherwise(nothing)
+    matches = F.when(some, let(single, lambda alone: F.concat(alone, let(several, lambda ws: plain(F.filter(ws, lambda w: ~covered(w, alone))))))).otherwise(nothing) if templates else nothing
 
-    places = {f"place_{i}": place(p) for i, p in enumerate(PHRASES)}
-    out = docs.withColumns({**places, "matches": matches, "n_words": _count_words(t)})
-    at = [F.col(c) for c in places]
+    out = docs.select("given", F.array(*[place(p) for p in PHRASES]).alias("places"), matches.alias("matches"), _count_words(t).alias("n_words"))
+    at = [F.get("places", F.lit(i)) for i in range(len(PHRASES))]
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(c.isNotNull(), F.lit(label)) for c, label in zip(at, PHRASES.values())]))))
     n_base = sum((F.coalesce(c["n"], F.lit(0)) for c in at), F.lit(0)).cast("long")
     found = F.array_sort(F.array_distinct(F.concat(base, F.transform("matches", lambda m: m["label"]))))
-    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0))
-    return (
-        out.withColumn("n_base", n_base)
-        .withColumn("first_word", F.array_min(F.array(*[c["first"] for c in at])))
-        .withColumn("last_word", F.array_max(F.array(*[c["last"] for c in at])))
-        .withColumn("base_labels", F.array_join(base, ","))
-        .withColumn("labels", F.array_join(found, ","))
-        .withColumn("score", F.when(F.col("n_base") > 0, 1.0).otherwise(best))
-        .drop(*places)
-    )
+    highest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0))
+    results = {
+        "n_words": F.col("n_words"), "n_base": n_base, "first_word": F.array_min(F.array(*[c["first"] for c in at])), "last_word": F.array_max(F.array(*[c["last"] for c in at])),
+        "base_labels": F.array_join(base, ","), "labels": F.array_join(found, ","), "score": F.when(n_base > 0, 1.0).otherwise(highest), "matches": F.col("matches"),
+    }
+    return out.select(*[F.col("given")[c].alias(c) for c in names if c.lower() not in RESULTS], *[c.alias(k) for k, c in results.items()])
 
 
-RESULTS = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches", *(f"place_{i}" for i in range(len(PHRASES)))}
+RESULTS = {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"}
 
 
 def query(spark, sf_dir: str) -> DataFrame:
