@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from weblathe.llm.common import SPACES, kept, table, without
 
 SALTS = 32
+#: Groups of more than one row whose winners (about 60 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST = 200_000
 #: Room for an id below a length: ids are flipped so that the smallest is the largest, and null is 0.
 _ROOM = 2**65
 _TOP = 2**63
@@ -43,17 +45,15 @@ def _doc_id(rank: Column) -> Column:
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
-    """A row per distinct content: text_sha256, content_no (from 0 among contents of one digest), best, group_size."""
-    norm = normalised(F.col(text))
+    """A row per distinct content: digest, content, rank of the row that stays, and n, how many rows have it."""
     rows = docs.select(
-        norm.alias("content"), F.unhex(F.sha2(norm, 256)).alias("digest"), _rank(F.col(text), F.col(doc_id)).alias("rank"),
-        F.pmod(F.xxhash64(F.lit(7), doc_id, F.spark_partition_id()), F.lit(salts)).alias("salt"),
-    )
+        normalised(F.col(text)).alias("content"), _rank(F.col(text), F.col(doc_id)).alias("rank"), F.lit(1).cast("long").alias("n"),
+        F.pmod(F.xxhash64(F.lit(7), F.spark_partition_id()), F.lit(salts)).alias("salt"),
+    ).withColumn("digest", F.unhex(F.sha2("content", 256)))
     best = [F.max("rank").alias("rank"), F.sum("n").alias("n")]
-    local = rows.withColumn("n", F.lit(1).cast("long"))
-    salted = local.groupBy("digest", "content", "salt").agg(*best)
-    whole = salted.groupBy("digest", "content").agg(*best)
-    return whole
+    # The salt is the task's: equal contents of a task become one row before the shuffle, and a hot group is one row a task, over all salts.
+    salted = rows.groupBy("digest", "content", "salt").agg(*best)
+    return salted.groupBy("digest", "content").agg(*best)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
@@ -65,30 +65,33 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: in
     winners = (
         groups(docs, doc_id, text, salts)
         .groupBy("digest")
-        .agg(F.max("rank").alias("best"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("contents"))
-    )
-    winners = kept(winners)
-    clash = F.assert_true(F.col("contents") == 1, "one digest of two different texts").isNull()
-    winners = winners.filter(clash).select("digest", "best", "group_size")
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("keep_id", "group_size", "kept", "text_sha256")))
-    norm = normalised(F.col(text))
-    repeated = winners.filter("group_size > 1").withColumnRenamed("digest", "text_digest")
-    out = docs.withColumn("text_digest", F.unhex(F.sha2(norm, 256)))
-    out = out.withColumn("own_rank", _rank(F.col(text), F.col(doc_id)))
-    out = out.join(repeated, "text_digest", "left")
-    single = F.col("group_size").isNull()
-    # Only rows that repeat an id share a rank; the others go wherever their id does.
-    tied = ~single & (F.col("own_rank") == F.col("best"))
-    out = out.withColumn("tie", F.when(tied, F.xxhash64("text_digest")).otherwise(F.xxhash64(F.lit(1), doc_id, "text_digest", "own_rank")))
-    out = out.withColumn("turn", F.row_number().over(Window.partitionBy("tie", F.when(tied, F.col("text_digest"))).orderBy(F.lit(1))))
-    out = out.withColumn("is_best", single | (tied & (F.col("turn") == 1)))
-    return (
-        out.withColumn("keep_id", F.when(single, F.col(doc_id)).otherwise(_doc_id(F.col("best"))))
-        .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
-        .withColumn("text_sha256", F.lower(F.hex("text_digest")))
-        .withColumnRenamed("is_best", "kept")
-        .drop("text_digest", "own_rank", "best", "tie", "turn")
+        .agg(F.max("rank").alias("best"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("contents"))
     )
+    winners = kept(winners.filter(F.assert_true(F.col("contents") == 1, "one digest of two different texts").isNull()).filter("size > 1").select("digest", "best", "size"))
+    names = [c for c in docs.columns if c.lower() not in RESULTS or c.lower() in (doc_id.lower(), text.lower())]
+    rows = docs.select(
+        F.struct(*[F.col(c) for c in names]).alias("given"), F.col(doc_id).alias("id"),
+        F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest"), _rank(F.col(text), F.col(doc_id)).alias("rank"),
+    )
+    rows = rows.join(F.broadcast(winners) if winners.count() <= BROADCAST else winners, "digest", "left")
+    single = F.col("size").isNull()
+    tied = F.coalesce(F.col("rank") == F.col("best"), F.lit(False))
+    if docs.groupBy(F.col(doc_id).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        out = rows.withColumn("stays", single | tied)
+    else:  # rows that repeat an id and a length share a rank: one of each task is taken first, then one of these
+        lost = rows.filter(~tied).withColumn("stays", single)
+        own = rows.filter(tied).withColumn("task", F.spark_partition_id())
+        own = own.withColumn("turn", F.row_number().over(Window.partitionBy("digest", "task").orderBy(F.lit(1))))
+        of_tasks = own.filter("turn = 1").withColumn("stays", F.row_number().over(Window.partitionBy("digest").orderBy("task")) == 1)
+        out = lost.unionByName(of_tasks.unionByName(own.filter("turn > 1").withColumn("stays", F.lit(False))).drop("task", "turn"))
+    results = {
+        "keep_id": F.when(single, F.col("id")).otherwise(_doc_id(F.col("best"))), "group_size": F.coalesce("size", F.lit(1).cast("long")),
+        "kept": F.col("stays"), "text_sha256": F.lower(F.hex("digest")),
+    }
+    return out.select(*[F.col("given")[c].alias(c) for c in names if c.lower() not in RESULTS], *[c.alias(k) for k, c in results.items()])
+
+
+RESULTS = {"keep_id", "group_size", "kept", "text_sha256"}
 
 
 def query(spark, sf_dir: str) -> DataFrame:
