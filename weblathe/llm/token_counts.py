@@ -1,7 +1,8 @@
 """Token counts from pre-token frequencies, without materialising ids.
 
-Each task counts the pieces of every distinct pre-token of its batch once, joins these counts to the documents'
-pre-token occurrences and sums them per document. The join stays within the batch: shuffling the occurrences of a
+In each slice of a task's texts, the distinct pre-tokens are a table with the pieces of each, counted once; the documents' pre-tokens are a
+table of frequencies (document, pre-token, n). Their join gives n times the pieces, which is summed per document; no document's ids
+are made. The join stays within the slice: there are nearly as many frequencies as words, and shuffling those of a
 whole corpus would move more than the texts. Counts of recent pre-tokens stay in a bounded table of the worker.
 
 A text with a special string of the tokenizer goes through the library whole, as do tokenizers whose steps this module
@@ -99,9 +100,11 @@ class Counter:
         if found:
             each = np.fromiter(map(len, found), np.int64, len(found))
             coded = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
-            of_token = self.pieces(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            ends = np.concatenate(([0], np.cumsum(of_token)))[np.cumsum(each)]
-            out[plain] = np.diff(np.concatenate(([0], ends)))
+            size = max(1, len(coded.dictionary))
+            # how often each document has each pre-token, joined to the pieces of the pre-tokens
+            pairs, often = np.unique(np.repeat(np.arange(len(found)), each) * size + coded.indices.to_numpy(), return_counts=True)
+            document, token = np.divmod(pairs, size)
+            out[plain] = np.bincount(document, often * self.pieces(coded.dictionary.to_pylist())[token], len(found))
         return out
 
 
