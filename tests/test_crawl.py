@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weblathe.operators import crawl_log, mirror
 from weblathe.operators.crawl import Crawl, CrawlError, seeds
+from weblathe.plans.rules import response_rule
 from weblathe.sources import seeds as S
 from weblathe.sources import state
 from weblathe.streaming.crawl_stream import crawl_stream
@@ -87,6 +88,18 @@ def test_pages_that_have_not_changed_expand_stored_links(spark):
     assert status(skip=skip) == {"": "success", "kept": "not-modified", "fresh": "success", "old": "not-expired", "new2": "success", "stored": "connect-error"}
 
 
+def test_columns_and_functions_as_rules(spark):
+    """Rules that aren't texts, of links and of responses, among those that are; and what is told of each wave."""
+    r, links = web(spark, {"": ["a", "b", "big"], "a": ["c"]})
+    r = r.withColumn("headers", F.create_map(F.lit("kind"), F.when(F.col("url").endswith("big"), "large").otherwise("small")))
+    told = []
+    large = response_rule(F.try_element_at("headers", F.lit("kind")) == "large", positive=False)
+    crawl = Crawl(r, links, ["-", lambda: ~F.col("path").endswith("b"), large], [F.col("depth") < 2], on_wave=lambda n, log, found: told.append((n, log.count(), found.count())))
+    done = crawl.run(seeds(spark, [E]))
+    assert saved(done) == ["", "a"] and {x["url"].removeprefix(E): x["status"] for x in done.log.collect()} == {"": "success", "a": "success", "b": "rule-deny", "big": "rule-deny", "c": "success"}
+    assert told == [(0, 1, 3), (1, 3, 1), (2, 1, 0)]
+
+
 def test_redirects_are_kept(spark):
     r, links = web(spark, {"": ["old", "older"], "new": ["x"]}, moved={"old": "new", "older": "denied"})
     r = r.withColumn("redirect_code", F.when(F.col("url").endswith("old"), 301))
@@ -171,7 +184,7 @@ def test_state(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    r, links = web(spark, {"": ["a"], "a": [], "z": ["a"]})
+    r, links = web(spark, {"": ["a"], "a": [("z", False, True)], "z": ["a"]})  # a's link to z isn't followed
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.txt").write_text(E + "\n")
     for i in range(2):
@@ -180,3 +193,5 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in/2.txt").write_text(E + "z\n")
     known = {x["url"].removeprefix(E): x["batch"] for x in spark.read.parquet(str(tmp_path / "out/known")).collect()}
     assert known == {"": 0, "a": 0, "z": 1}
+    changed = {x["url"].removeprefix(E): x["batch"] for x in spark.read.parquet(str(tmp_path / "out/changed")).collect()}
+    assert changed == {"a": 1}  # it links to z

@@ -1,3 +1,4 @@
+import datetime
 from urllib.parse import urljoin
 
 import pytest
@@ -68,5 +69,7 @@ def test_glob(spark, pattern, text, want):
 
 
 def test_http_date(spark):
-    got = values(spark, [("Tue, 01 Jan 2030 08:00:00 GMT",), ("no",), (None,)], "t string", T.http_date(F.col("t")).cast("string"))
-    assert got == [("2030-01-01 08:00:00",), (None,), (None,)]
+    """All three forms of a date, of many days."""
+    days = [datetime.datetime(1994 + 5 * i, 1 + i % 12, 1 + (7 * i) % 28, i, 2 * i, 3 * i) for i in range(12)]
+    rows = [(d.strftime(f), str(d)) for d in days for f in ("%a, %d %b %Y %H:%M:%S GMT", "%A, %d-%b-%y %H:%M:%S GMT", "%a %b %e %H:%M:%S %Y")] + [("no", None), (None, None), ("Tue, 41 Jan 2030 08:00:00 GMT", None)]
+    assert values(spark, rows, "t string, d string", T.http_date(F.col("t")).cast("string"), F.col("d")) == [(d, d) for _, d in rows]

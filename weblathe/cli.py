@@ -11,8 +11,9 @@ import json
 import os
 import re
 import sys
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblathe.functions import text as T
@@ -108,13 +109,16 @@ def start_of(spark: SparkSession, options: argparse.Namespace) -> tuple[DataFram
     return start, local
 
 
-def run(spark: SparkSession, options: argparse.Namespace, now: str | None = None) -> Crawled:
-    """Crawls a table of responses, or the live web, and writes the mirror: its tables under .state, its files and their index. now: the time of the run in UTC."""
+def run(spark: SparkSession, options: argparse.Namespace, now: str | None = None, filename: Callable[[], Column] | None = None, on_wave: Callable[[int, DataFrame, DataFrame], None] | None = None) -> Crawled:
+    """Crawls a table of responses, or the live web, and writes the mirror: its tables under .state, its files and their index.
+
+    now: the time of the run in UTC. filename: makes the Column of file names, in place of a layout. on_wave: is told of each wave.
+    """
     options = with_update(options, state.options(spark, options.path) if options.update else {})
     now = now or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     start, local = start_of(spark, options)
     old, stored, documents = (state.read(spark, options.path, name) for name in ("url_info", "stored", "documents"))
-    crawl = {"follow": options.follow, "save": options.save, "stop": options.stop, "url_info": old, "skip": mirror.skipped(options.no_modified_check, options.trust_expires, now, F.col("old.expires"))}
+    crawl = {"follow": options.follow, "save": options.save, "stop": options.stop, "url_info": old, "skip": mirror.skipped(options.no_modified_check, options.trust_expires, now, F.col("old.expires")), "on_wave": on_wave}
     if options.responses:
         responses = spark.read.parquet(options.responses)
         if local is not None:
@@ -129,7 +133,7 @@ def run(spark: SparkSession, options: argparse.Namespace, now: str | None = None
     mine = done.saved.join(local.select("url"), "url", "left_anti") if local is not None else done.saved  # local files aren't mirrored
     saved = mine.filter("status = 'success'").join(responses.select("url", "headers", "content"), "url")
     mime = T.mime(F.try_element_at("headers", F.lit("content-type")))
-    name = mirror.layout(options.layout) if options.layout else mirror.default_filename(F.col("netloc"), F.col("path"), F.col("query"), mime)
+    name = filename() if filename else mirror.layout(options.layout) if options.layout else mirror.default_filename(F.col("netloc"), F.col("path"), F.col("query"), mime)
     text, charset = decoded(F.col("content"), F.col("headers"))
     files = kept(saved.select("url", "original_url", name.alias("filename"), mime.alias("mimetype"), charset.alias("encoding"), "headers", "content", text.alias("text")))
     links = links_of(responses)

@@ -13,6 +13,10 @@ EXTENSIONS = {
     "text/html": [".html", ".htm"], "text/css": [".css"], "text/plain": [".txt"], "text/javascript": [".js"], "application/javascript": [".js"],
     "application/json": [".json"], "application/xml": [".xml"], "application/pdf": [".pdf"], "image/png": [".png"], "image/gif": [".gif"],
     "image/jpeg": [".jpg", ".jpeg", ".jpe"], "image/svg+xml": [".svg"], "image/x-icon": [".ico"], "application/zip": [".zip"],
+    "application/gzip": [".gz"], "application/msword": [".doc"], "application/octet-stream": [".so", ".o", ".obj", ".exe", ".dll", ".bin", ".a"], "application/postscript": [".ps", ".eps", ".ai"],
+    "application/vnd.ms-excel": [".xls"], "application/vnd.ms-powerpoint": [".ppt"], "application/wasm": [".wasm"], "application/x-tar": [".tar"], "application/xhtml+xml": [".xhtml"],
+    "audio/mpeg": [".mp3", ".mp2"], "audio/ogg": [".ogg"], "audio/x-wav": [".wav"], "font/ttf": [".ttf"], "font/woff": [".woff"], "font/woff2": [".woff2"], "image/avif": [".avif"], "image/bmp": [".bmp"],
+    "image/tiff": [".tiff", ".tif"], "image/vnd.microsoft.icon": [".ico"], "image/webp": [".webp"], "text/csv": [".csv"], "text/xml": [".xml"], "video/mp4": [".mp4"], "video/mpeg": [".mpeg", ".mpe", ".mpa"], "video/webm": [".webm"],
 }
 
 
@@ -58,10 +62,15 @@ def glob(value: Column, pattern: str) -> Column:
 
 
 def http_date(value: Column) -> Column:
-    """TIMESTAMP_NTZ of an HTTP date, without its zone; null if it can't be read."""
-    day = F.regexp_extract(value, r"(\d{1,2})[ -]([A-Za-z]{3})[a-z]*[ -](\d{4}) (\d{2}:\d{2}:\d{2})", 0)
-    day = F.regexp_replace(day, "-", " ")
-    return F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz")
+    """TIMESTAMP_NTZ of an HTTP date in any of its three forms, without its zone; null if it can't be read."""
+    clock = r"(\d{2}:\d{2}:\d{2})"
+    usual = F.regexp_replace(F.regexp_extract(value, r"\d{1,2}[ -][A-Za-z]{3}[a-z]*[ -]\d{4} " + clock, 0), "-", " ")
+    part = lambda p, i: F.regexp_extract(value, p, i)
+    short = r"(\d{1,2})-([A-Za-z]{3})-(\d{2}) " + clock
+    century = F.when(part(short, 3) >= "69", "19").otherwise("20")
+    plain = r"([A-Za-z]{3}) +(\d{1,2}) " + clock + r" (\d{4})"
+    each = [usual, F.concat_ws(" ", part(short, 1), part(short, 2), F.concat(century, part(short, 3)), part(short, 4)), F.concat_ws(" ", part(plain, 2), part(plain, 1), part(plain, 4), part(plain, 3))]
+    return F.coalesce(*[F.try_to_timestamp(x, F.lit("d MMM yyyy HH:mm:ss")) for x in each]).cast("timestamp_ntz")
 
 
 def mime(header: Column) -> Column:

@@ -93,6 +93,8 @@ class Crawl:
     #: For the live web: requests(url, etag, modified) -> responses, asked for each wave's urls once; and links_of: responses -> links.
     fetch: Callable[[DataFrame], DataFrame] | None = None
     links_of: Callable[[DataFrame], DataFrame] | None = None
+    #: What else is to happen after each wave: on_wave(number, log of the wave, links that it leads to).
+    on_wave: Callable[[int, DataFrame, DataFrame], None] | None = None
 
     def __post_init__(self):
         self.follow, self.save, self.stop = (r if isinstance(r, RuleList) else RuleList(list(r)) for r in (self.follow, self.save, self.stop))
@@ -114,7 +116,10 @@ class Crawl:
             firsts = written(own.select(F.explode(urls).alias("u"), "m.depth", "m.order").select("u.url", "u.own", "depth", "order"), f"{place}/known", waves)
             seen = before.unionByName(firsts.select("url", "depth", "order"))
             links = written(self._expand(self._decided(wave_of(log, waves), wave_of(firsts, waves)), seen), f"{place}/links", waves)
+            self.expanded = links
             frontier = _frontier(wave_of(links, waves).filter("queued"))
+            if self.on_wave is not None:
+                self.on_wave(waves, self._decided(wave_of(log, waves), wave_of(firsts, waves)), wave_of(links, waves))
             if (self.max_depth is not None and waves >= self.max_depth) or frontier.isEmpty():
                 break
             self._progress(log, firsts, waves)

@@ -113,6 +113,11 @@ def link_targets(links: DataFrame, encountered: DataFrame, redirects: DataFrame,
     return rows.select(*links.columns, new.alias("new"))
 
 
+def affected(new: DataFrame, links: DataFrame) -> DataFrame:
+    """(url) of the pages to convert when urls become new: these, and all pages with links(from_url, url) to one of them."""
+    return new.select("url").unionByName(links.join(new.select("url"), "url", "left_semi").select(F.col("from_url").alias("url"))).distinct()
+
+
 def prune(stored: DataFrame, encountered: DataFrame) -> DataFrame:
     """(url, filename, gone) of files to delete: of urls that this run didn't meet (gone), and old names of others."""
     met = encountered.groupBy("url").agg(F.min("filename").alias("current"))

@@ -144,9 +144,26 @@ def _text(op: str, v: Column, literal: str) -> Column:
     return equal if op == "=" else ~equal if op == "!=" else F.coalesce(ordered[op], F.lit(False))
 
 
+def rule_of(x: str | Rule | Column | Callable[[], Column]) -> Rule:
+    """A rule as text, or a Column of links (or what makes one) as a rule that passes where it is true."""
+    if isinstance(x, Rule):
+        return x
+    if x is None or isinstance(x, str):
+        return parse(x)
+    made = x if callable(x) and not isinstance(x, Column) else lambda: x
+    return Rule(True, False, Test("column", made, "bool"), "", "", f"+column {made()}")
+
+
+def response_rule(x: Column, positive: bool = True) -> Rule:
+    """A Column over a response (status, headers, content, redirects, error) as a rule."""
+    return Rule(positive, False, Test("column", lambda: x, "bool", "R"), "", "", f"{'+' if positive else '-'}column {x}")
+
+
 class RuleList:
-    def __init__(self, rules: list[str], default: bool = False):
-        self.rules = [parse(r) for r in rules]
+    """Rules in order: texts, Columns, or functions that make Columns."""
+
+    def __init__(self, rules: list, default: bool = False):
+        self.rules = [rule_of(r) for r in rules]
         self.default = default
 
     @property

@@ -1,7 +1,8 @@
 """Crawls of a stream of seeds: each micro-batch is crawled to its fixpoint, and what is known stays known.
 
 A url never expires from what is known, so there is no watermark: state is a table that each batch extends. A batch that
-is run again after a failure writes to the same place and leads to the same tables.
+is run again after a failure writes to the same place and leads to the same tables. Pages that came late change earlier ones, which
+may link to them: each batch names the earlier pages to convert again.
 """
 
 from __future__ import annotations
@@ -13,18 +14,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weblathe.operators.crawl import Crawl, seeds
+from weblathe.operators.mirror import affected
 
 
 def crawl_stream(seed_stream: DataFrame, crawl: Callable[[], Crawl], place: str, checkpoint: str) -> StreamingQuery:
-    """seed_stream: (raw). Writes place/known/batch=n (url, depth, order) and place/log/batch=n; reads both with spark.read."""
+    """seed_stream: (raw). Writes place/known/batch=n (url, depth, order), place/log/batch=n, place/usage/batch=n (from_url, url) and place/changed/batch=n
+    (url: earlier pages that link to pages of this batch)."""
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         schema = "url string, depth int, `order` array<int>, batch int"
         earlier = spark.read.schema(schema).option("basePath", f"{place}/known").parquet(f"{place}/known").filter(F.col("batch") < number) if number else None
-        done = crawl().run(seeds(spark, batch.select("raw").distinct()), earlier)
+        own = crawl()
+        done = own.run(seeds(spark, batch.select("raw").distinct()), earlier)
         fresh = done.known if earlier is None else done.known.join(earlier.select("url"), "url", "left_anti")
         fresh.select("url", "depth", "order").write.mode("overwrite").parquet(f"{place}/known/batch={number}")
+        own.expanded.select("from_url", "url").distinct().write.mode("overwrite").parquet(f"{place}/usage/batch={number}")
+        usage = spark.read.schema("from_url string, url string, batch int").option("basePath", f"{place}/usage").parquet(f"{place}/usage").filter(F.col("batch") < number)
+        changed = affected(fresh, usage).join(fresh.select("url"), "url", "left_anti")
+        changed.write.mode("overwrite").parquet(f"{place}/changed/batch={number}")
         done.log.write.mode("overwrite").parquet(f"{place}/log/batch={number}")
 
     return seed_stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
