@@ -110,21 +110,22 @@ class Crawl:
             if self.max_waves is not None and waves >= self.max_waves:
                 raise CrawlError(f"not done after {self.max_waves} waves")
             log = written(self._wave(frontier, seen), f"{place}/log", waves)
-            own = wave_of(log, waves).filter("may_save").groupBy("url").agg(F.min(F.struct("order", "depth", "redirect_from")).alias("m"))
+            own = log.filter("may_save").groupBy("url").agg(F.min(F.struct("order", "depth", "redirect_from")).alias("m"))
             of_source = F.when(F.col("m.redirect_from").isNotNull(), F.struct(F.col("m.redirect_from").alias("url"), F.lit(False).alias("own")))
             urls = F.array_compact(F.array(F.struct("url", F.lit(True).alias("own")), of_source))
             firsts = written(own.select(F.explode(urls).alias("u"), "m.depth", "m.order").select("u.url", "u.own", "depth", "order"), f"{place}/known", waves)
-            seen = before.unionByName(firsts.select("url", "depth", "order"))
-            links = written(self._expand(self._decided(wave_of(log, waves), wave_of(firsts, waves)), seen), f"{place}/links", waves)
-            self.expanded = links
-            frontier = _frontier(wave_of(links, waves).filter("queued"))
+            seen = before.unionByName(waves_of(firsts, f"{place}/known").select("url", "depth", "order"))
+            decided = self._decided(log, firsts)
+            links = written(self._expand(decided, seen), f"{place}/links", waves)
+            frontier = _frontier(links.filter("queued"))
             if self.on_wave is not None:
-                self.on_wave(waves, self._decided(wave_of(log, waves), wave_of(firsts, waves)), wave_of(links, waves))
+                self.on_wave(waves, decided, links)
             if (self.max_depth is not None and waves >= self.max_depth) or frontier.isEmpty():
                 break
             self._progress(log, firsts, waves)
             waves += 1
-        totals = links.groupBy(F.col("p_order").alias("order")).agg(F.count(F.lit(1)).alias("links_total"), F.count_if("queued").alias("links_followed"))
+        log, firsts, self.expanded = (waves_of(df, f"{place}/{name}") for df, name in ((log, "log"), (firsts, "known"), (links, "links")))
+        totals = self.expanded.groupBy(F.col("p_order").alias("order")).agg(F.count(F.lit(1)).alias("links_total"), F.count_if("queued").alias("links_followed"))
         done = self._decided(log, firsts).join(totals, "order", "left").na.fill(0, ["links_total", "links_followed"])
         moved = log.filter("status = 'redirect'").groupBy("url").agg(F.max_by(F.struct(F.coalesce("redirect_code", F.lit(302)).alias("code"), "target_url"), "order").alias("r"))
         return Crawled(done.drop("wave", "redirect_code", "target_url"), seen.groupBy("url").agg(F.min("depth").alias("depth"), F.min("order").alias("order")), waves + 1, moved.select("url", "r.code", "r.target_url"))
@@ -172,10 +173,10 @@ class Crawl:
         return new
 
     def _progress(self, log: DataFrame, firsts: DataFrame, wave: int) -> None:
-        if wave == 0 or any(r.test.name in ("depth", "domain-depth") for r in self.follow.rules) or not wave_of(firsts, wave).isEmpty():
+        if wave == 0 or any(r.test.name in ("depth", "domain-depth") for r in self.follow.rules) or not firsts.isEmpty():
             return
-        earlier = log.filter(F.col("wave") < wave).select("url").distinct()
-        if wave_of(log, wave).select("url").distinct().join(earlier, "url", "left_anti").isEmpty():
+        earlier = waves_of(log, f"{self._place}/log").filter(F.col("wave") < wave).select("url").distinct()
+        if log.select("url").distinct().join(earlier, "url", "left_anti").isEmpty():
             raise CrawlError("pages that aren't saved are never known, and these lead to each other without end")
 
     def _facts(self, urls: DataFrame) -> DataFrame:
@@ -281,14 +282,15 @@ OPEN = ("success", "not-modified", "not-expired")
 
 
 def written(df: DataFrame, place: str, wave: int) -> DataFrame:
-    """df written as a wave of a table; the whole table so far."""
+    """df, written as a wave of a table."""
     path = f"{place}/wave={wave}"
     keep(df, path)
-    return df.sparkSession.read.schema(df.withColumn("wave", F.lit(0)).schema).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(path).withColumn("wave", F.lit(wave))
 
 
-def wave_of(df: DataFrame, wave: int) -> DataFrame:
-    return df.filter(F.col("wave") == wave)
+def waves_of(one: DataFrame, place: str) -> DataFrame:
+    """All waves of a table that one is a wave of."""
+    return one.sparkSession.read.schema(one.schema).parquet(place)
 
 
 def _frontier(links: DataFrame) -> DataFrame:
