@@ -47,6 +47,12 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("agpl-3", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("cc0-1", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1", "distributed under the boost software license version 1 0"),
 )
 
 
