@@ -110,6 +110,13 @@ def server():
             self.end_headers()
             self.wfile.write(body or b"")
 
+        def do_POST(self):
+            asked.append((self.path, self.headers["User-Agent"], self.rfile.read(int(self.headers["Content-Length"])).decode()))
+            self.send_response(200)
+            self.send_header("Content-Type", "text/html")
+            self.end_headers()
+            self.wfile.write(b"<a href=/one>")
+
         def log_message(self, *args):
             pass
 
@@ -131,3 +138,10 @@ def test_live_crawl(spark, tmp_path, server):
     asked.clear()
     done = cli.run(spark, cli.parse([*options, "--update"]))
     assert {r["url"].removeprefix(at): r["status"] for r in done.log.collect()}["/one"] == "not-modified" and ("/one", "gardener/1", "tag-one") in asked
+
+
+def test_data_is_sent(spark, tmp_path, server):
+    at, asked = server
+    done = cli.run(spark, cli.parse(["-O", str(tmp_path / "m"), at + "/form{seed=moss,n=2}", "@follow", "+depth<2"]))
+    assert asked[0][0] == "/form" and asked[0][2] == "seed=moss&n=2"
+    assert {r["url"].removeprefix(at): r["status"] for r in done.log.collect()} == {"/form": "success", "/one": "success", "/": "rule-deny"}

@@ -92,9 +92,9 @@ def links_of(responses: DataFrame) -> DataFrame:
     return found.select(F.col("url").alias("from_url"), "n", "absolute", "inline", "tag", "do_not_follow", "source")
 
 
-def start_of(spark: SparkSession, options: argparse.Namespace) -> tuple[DataFrame, DataFrame | None]:
-    """Seeds (raw), and responses of local files, which are given as path{base url}."""
-    raws, local = [], None
+def start_of(spark: SparkSession, options: argparse.Namespace) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Seeds (raw), responses of local files, which are given as path{base url}, and what is to be sent to urls, given as url{name=value,...}."""
+    raws, local, posts = [], None, []
     for text in options.urls:
         m = re.fullmatch(r"(?s)(.*?)\{([^}]*)\}", text)
         if m and "://" not in m[1] and "=" not in m[2]:
@@ -103,10 +103,14 @@ def start_of(spark: SparkSession, options: argparse.Namespace) -> tuple[DataFram
             raws.append(m[2])
         else:
             raws.append(m[1] if m else text)
+            if m and "=" in m[2]:
+                posts.append((m[1], dict(x.partition("=")[::2] for x in m[2].split(","))))
     start = spark.createDataFrame([(u,) for u in raws], "raw string")
     for f in options.from_file:
         start = start.unionByName(from_files(spark, f))
-    return start, local
+    if not posts:
+        return start, local, None
+    return start, local, spark.createDataFrame(posts, "raw string, post map<string,string>").select(U.canonical(U.normalise(F.col("raw"))).alias("url"), "post")
 
 
 def run(spark: SparkSession, options: argparse.Namespace, now: str | None = None, filename: Callable[[], Column] | None = None, on_wave: Callable[[int, DataFrame, DataFrame], None] | None = None) -> Crawled:
@@ -116,7 +120,7 @@ def run(spark: SparkSession, options: argparse.Namespace, now: str | None = None
     """
     options = with_update(options, state.options(spark, options.path) if options.update else {})
     now = now or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-    start, local = start_of(spark, options)
+    start, local, posts = start_of(spark, options)
     old, stored, documents = (state.read(spark, options.path, name) for name in ("url_info", "stored", "documents"))
     crawl = {"follow": options.follow, "save": options.save, "stop": options.stop, "url_info": old, "skip": mirror.skipped(options.no_modified_check, options.trust_expires, now, F.col("old.expires")), "on_wave": on_wave}
     if options.responses:
@@ -127,7 +131,7 @@ def run(spark: SparkSession, options: argparse.Namespace, now: str | None = None
     else:
         if local is not None:
             raise SystemExit("local files need a table of responses")
-        crawl = Crawl(None, None, fetch=lambda requests: http.fetch(requests, options.user_agent), links_of=links_of, **crawl)
+        crawl = Crawl(None, None, fetch=lambda requests: http.fetch(requests, options.user_agent), links_of=links_of, posts=posts, **crawl)
     done = crawl.run(seeds(spark, start))
     responses = crawl.responses if not options.responses else responses
     mine = done.saved.join(local.select("url"), "url", "left_anti") if local is not None else done.saved  # local files aren't mirrored

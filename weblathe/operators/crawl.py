@@ -93,6 +93,8 @@ class Crawl:
     #: For the live web: requests(url, etag, modified) -> responses, asked for each wave's urls once; and links_of: responses -> links.
     fetch: Callable[[DataFrame], DataFrame] | None = None
     links_of: Callable[[DataFrame], DataFrame] | None = None
+    #: (url, post): what is sent with the requests of these urls.
+    posts: DataFrame | None = None
     #: What else is to happen after each wave: on_wave(number, log of the wave, links that it leads to).
     on_wave: Callable[[int, DataFrame, DataFrame], None] | None = None
 
@@ -164,6 +166,8 @@ class Crawl:
             if self.skip is not None:
                 urls = urls.filter(~F.coalesce(F.col("old").isNotNull() & self.skip, F.lit(False)))
             urls = urls.select("url", "etag", "modified")
+        if self.posts is not None:
+            urls = urls.join(self.posts.select("url", "post"), "url", "left")
         keep(_coded(self.fetch(urls)), f"{self._place}/responses/part={self._asked_for}")
         self._asked_for += 1
         spark = urls.sparkSession

@@ -53,7 +53,7 @@ def fetch(requests: DataFrame, agent: str = "firefox", partitions: int = 64) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([fetch_one(row["url"], name, **{c: row[c] for c in columns}) for row in batch.to_dict("records")], columns=["url", "final_url", "status", "headers", "content", "redirects", "error", "redirect_code"])
+            yield pd.DataFrame([fetch_one(row["url"], name, **{c: row[c] or None for c in columns}) for row in batch.to_dict("records")], columns=["url", "final_url", "status", "headers", "content", "redirects", "error", "redirect_code"])
 
     from pyspark.sql import functions as F
 
