@@ -1,58 +1,24 @@
-"""What the operators of this subpackage share: reading tables and keeping intermediate results."""
+"""What the operators of this subpackage share: reading tables, keeping intermediate results, and small text expressions."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weblathe.operators.store import kept
+
+__all__ = ["SPACE", "SPACES", "WORD", "kept", "let", "small_batches", "table", "without", "words"]
+
 #: ASCII white space, as the contracts of the queries have it.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
-#: A folder of files gets no side files of checksums, and a task no process to set the modes of each: Parquet has its own lengths and footers.
-PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-_own: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or what setCheckpointDir was given. Without one, a folder of this process
-    on a local master, as in tests; on a cluster that would lose rows, so it is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", "")
-    if not found and (given := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        found = given.get()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="kept-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return _own[0]
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and reread: lineage ends there, and losing an executor loses nothing.
-
-    Results are computed from these tables after an operator returns, so they stay until the application ends, and are deleted then.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    writer = df.write.options(**PLAIN) if path.startswith(("file:", "/")) else df.write
-    writer.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows a batch between the JVM and Python workers where nobody has said how many: 10,000 texts are too many to hold in both."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -14,8 +14,8 @@ prefix of a set that has fewer is all its own: it has no candidate. So
    meet in the prefixes of the second (rarest first, other ties) and third (by hash) order before they are verified.
 4. Links are first sought to one leader a prefix shingle, under two orders and then anew among the components that
    still meet, and merged into components. What is left are pairs between different components only. The join that finds them refuses, in its own condition, pairs whose 512
-   parities (each shingle flips one) show that they differ in too many shingles; every other pair is verified. So no link
-   between components is lost, and no group of copies is expanded into its pairs.
+   parities (each shingle flips one) show that they differ in too many shingles; every other pair is verified. Sets of a shingle's largest component are
+   compared with the shingle's other sets only. So no link between components is lost, and no group of copies is expanded into its pairs.
 
 Null and empty texts have no shingles and link with nothing: their component is their own doc_id. The component of a
 group of rows is its smallest doc_id that isn't null, so a null id takes part with the others; a component of null ids
@@ -297,17 +297,20 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     may = (F.col("x_c") != F.col("y_c")) & (F.col("x_id") != F.col("y_id")) & (F.col("x_r") - F.col("x_pos") >= enough) & (F.col("y_r") - F.col("y_pos") >= enough) & _near(percent)
     for salt in range(ROUNDS + 1):
         rows = prefixes(sets, "o1").join(merged, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component")
-        several = rows.groupBy("s").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("s")
-        rows = kept(rows.join(several, "s", "left_semi"))
-        side = lambda p, r: r.select(F.col("s").alias(p + "s"), *[F.col(k).alias(p + k) for k in ("c", "id", "n", "r", "bits", "pos")])
+        # a shingle's largest component is compared with the others only, so a large group of near copies costs its size and not its square
+        held = rows.groupBy("s", "c").agg(F.count(F.lit(1)).alias("k"))
+        several = held.groupBy("s").agg(F.max(F.struct("k", "c")).alias("most"), F.count(F.lit(1)).alias("components")).filter("components > 1")
+        rows = kept(rows.join(several.select("s", F.col("most.c").alias("most")), "s").withColumn("main", F.col("c") == F.col("most")).drop("most"))
+        side = lambda p, r: r.select(F.col("s").alias(p + "s"), *[F.col(k).alias(p + k) for k in ("c", "id", "n", "r", "bits", "pos", "main")])
         if salt < ROUNDS:  # a leader of each shingle's own; what has many links meets one of them
             lead = rows.groupBy("s").agg(F.min(F.xxhash64(F.lit(salt), "s", "id")).alias("least"))
-            other = rows.join(lead, "s").filter(F.xxhash64(F.lit(salt), "s", "id") == F.col("least"))
+            one, other = rows, rows.join(lead, "s").filter(F.xxhash64(F.lit(salt), "s", "id") == F.col("least"))
             on = may
         else:  # everything that is left
-            other, on = rows, may & (F.col("x_id") < F.col("y_id"))
+            one, other = rows.filter("NOT main"), rows
+            on = may & (F.col("y_main") | (F.col("x_id") < F.col("y_id")))
         # all of the filter is the join's own condition: pairs that it refuses, and pairs within a component, are never made
-        found = side("x_", rows).join(side("y_", other), (F.col("x_s") == F.col("y_s")) & on)
+        found = side("x_", one).join(side("y_", other), (F.col("x_s") == F.col("y_s")) & on)
         found = kept(found.select(F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y")).distinct())
         more = kept(verified(found, sets, percent).distinct())
         if more.isEmpty() and salt < ROUNDS:
