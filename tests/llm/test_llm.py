@@ -182,6 +182,16 @@ def test_names_in_an_article_only_shift(spark):
     assert got == {1: text, 2: text, 30: "Text Once"} | {10 + i: f"Text {i} Note {i}" for i in range(12)}
 
 
+def test_comments_and_adverts_in_an_article_go(spark):
+    """By whole classes or roles of theirs; not by ids, and not by words that only contain such a name."""
+    gone = ["comments", "reader-comments", "comment-list", "x ad-slot", "newsletter", "cookie-notice"]
+    stay = ["commentary", "adverse-effects", "address", "made", "responder"]
+    made = lambda names, kind: "".join(f"<section {kind}='{x}'><p>In {x}</p></section>" for x in names)
+    rows = [(1, "http://a/1", f"<article><p>Text</p>{made(gone, 'class')}{made(stay, 'class')}{made(['comments'], 'id')}</article>")]
+    got = site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["text"]
+    assert got == " ".join(["Text", *(f"In {x}" for x in [*stay, "comments"])])
+
+
 def test_presentation_is_of_child_tags():
     """Nodes with as many blocks but other children differ in shape."""
     tags = [site_style.parsed(f"<div class=a>x<{t}>y</{t}>z</div>")[1] for t in ("b", "i", "b")]
