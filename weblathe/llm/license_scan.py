@@ -127,7 +127,8 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, containment:
     made = Tables(templates, word_counts(docs, text, templates), containment)
     names = [c for c in docs.columns if c.lower() not in RESULTS or c.lower() == text.lower()]
     docs = docs.select(F.struct(*[F.col(c) for c in names]).alias("given"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    t, low = F.col("t"), F.lower("t")  # of other than ASCII characters only more may be made alike
+    docs = docs.select("*", F.lower("t").alias("low"))  # of other than ASCII characters only more may be made alike
+    t, low = F.col("t"), F.col("low")
 
     def place(phrase: str) -> Column:
         p = _phrase(phrase)
@@ -182,7 +183,8 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, containment:
 
     # A text or line without any prefix word has no candidate.
     rare = r"(?i)(?<!%s)(?:%s)(?!%s)" % (_IN, "|".join(sorted(made.rare)), _IN)
-    some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in made.rare], F.lit(False)) & t.rlike(rare)
+    some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in made.rare], F.lit(False))
+    some &= F.arrays_overlap(F.split(low, _OUT + "+"), F.array(*map(F.lit, made.rare)))
     candidates = F.filter(F.transform(F.split(t, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(rare))
     nothing = F.array().cast("array<struct<label:string,line:bigint,overlap:bigint,score:double>>")
     single = F.flatten(F.transform(candidates, lambda s: fits(s["x"], s["i"])))
