@@ -492,7 +492,7 @@ def crawl_redirects(spark, sf_dir):
     return log.groupBy("depth", "status", F.col("redirect_from").isNotNull().alias("redirected")).agg(F.count(F.lit(1)).alias("links"))
 
 
-@query(fixpoint(follow="NOT c.path GLOB '/fr/*'") + " SELECT '⚑' AS mark, count(*) AS lines FROM w UNION ALL SELECT '-', count(*) FROM o WHERE to_path GLOB '/fr/*' HAVING count(*) > 0")
+@query(fixpoint(follow="NOT c.path GLOB '/fr/*'") + " SELECT '⚑' AS mark, count(*) AS lines FROM w UNION ALL SELECT '-', count(*) FROM o WHERE to_path GLOB '/fr/*' AND to_dst NOT IN (SELECT dst FROM w) HAVING count(*) > 0")
 def log_status(spark, sf_dir):
     log = crawl_log.lines(crawled(spark, sf_dir, follow=["+", "-path=/fr/*"]).log)
     return log.filter("mark IS NOT NULL").groupBy("mark").agg(F.count(F.lit(1)).alias("lines"))
