@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weblathe.llm import exact_dedup, jaccard_join, license_scan, mixing, pieces, quality_model, quality_rules, site_style, token_counts, url_filter
+from weblathe.llm import exact_dedup, filter_audit, jaccard_join, license_scan, mixing, packing, pieces, quality_model, quality_rules, site_style, source_divergence, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_mixing": mixing.query,
         "op9_quality_model": quality_model.query,
         "op10_jaccard_join": jaccard_join.query,
+        "op11_packing": packing.query,
+        "op12_filter_audit": filter_audit.query,
+        "op13_source_divergence": source_divergence.query,
     }
 
 
@@ -26,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.ORACLE_SQL,
         "op5_license_scan": license_scan.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op12_filter_audit": filter_audit.ORACLE_SQL,
+        "op13_source_divergence": source_divergence.ORACLE_SQL,
     }
