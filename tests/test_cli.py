@@ -27,7 +27,7 @@ def page(content, headers=None, moved=None, status=200):
 
 
 def run(spark, tmp_path, *args, now="2030-01-01 00:00:00"):
-    done = cli.run(spark, cli.parse(["-O", str(tmp_path / "m"), "--responses", str(tmp_path / "r"), *args]), now)
+    done = cli.run(spark, cli.parse(["-O", str(tmp_path / "m"), "--no-live-update", "--responses", str(tmp_path / "r"), *args]), now)
     return {r["url"].removeprefix(G): r["status"] for r in done.log.filter("status <> 'duplicate'").collect()}
 
 
@@ -48,7 +48,7 @@ def test_runs_and_updates(spark, tmp_path):
     got = files(tmp_path)
     assert set(got) == {"garden.test/index.html", "garden.test/a.html", "garden.test/b.html", "garden.test/p.png", "index.html"}
     assert got["garden.test/index.html"] == b'<a href="./a.html">A</a><a href="./a.html">M</a><a href="http://garden.test/out">O</a><img src="./p.png">'
-    assert got["garden.test/a.html"] == b'<a href="./b.html#x">B</a>' and got["garden.test/b.html"] == "caf\u00e9".encode() and got["garden.test/p.png"] == b"\x89PNG\xff"
+    assert got["garden.test/a.html"] == b'<a href="./b.html#x">B</a>' and got["garden.test/b.html"] == "caf\u00e9".encode("latin-1") and got["garden.test/p.png"] == b"\x89PNG\xff"
     assert got["index.html"].count(b"<a href") == 4
     m = str(tmp_path / "m")
     assert [tuple(r) for r in state.read(spark, m, "redirects").collect()] == [(G + "moved", 301, G + "a")]
@@ -62,6 +62,7 @@ def test_runs_and_updates(spark, tmp_path):
     assert set(got) == {"garden.test/index.html", "garden.test/a.html", "garden.test/c.html", "garden.test/p.png", "index.html"} and b"b.html" not in got["index.html"]
     assert got["garden.test/a.html"] == b'<a href="./c.html">C</a>' and got["garden.test/index.html"].startswith(b'<a href="./a.html">')
     assert {r["filename"] for r in state.read(spark, m, "documents").collect()} == set(got) - {"index.html"}
+    assert {r["url"].removeprefix(G) for r in state.read(spark, m, "url_info").collect()} == {"", "a", "c", "p.png"}
 
 
 def test_expiry_is_compared_with_the_time_of_the_run(spark, tmp_path):
@@ -129,7 +130,7 @@ def server():
 def test_live_crawl(spark, tmp_path, server):
     """Each page is asked for once a run, by the agent's name; an update asks conditionally."""
     at, asked = server
-    options = ["-O", str(tmp_path / "m"), "--user-agent", "gardener/1", at]
+    options = ["-O", str(tmp_path / "m"), "--no-live-update", "--user-agent", "gardener/1", at]
     done = cli.run(spark, cli.parse([*options, "@follow", "+"]))
     status = {r["url"].removeprefix(at): r["status"] for r in done.log.filter("status <> 'duplicate'").collect()}
     assert status == {"/": "success", "/one": "success", "/moved": "redirect", "/two": "success", "/none": "http-error", "/loop": "redirect-error"}
@@ -142,6 +143,6 @@ def test_live_crawl(spark, tmp_path, server):
 
 def test_data_is_sent(spark, tmp_path, server):
     at, asked = server
-    done = cli.run(spark, cli.parse(["-O", str(tmp_path / "m"), at + "/form{seed=moss,n=2}", "@follow", "+depth<2"]))
+    done = cli.run(spark, cli.parse(["-O", str(tmp_path / "m"), "--no-live-update", at + "/form{seed=moss,n=2}", "@follow", "+depth<2"]))
     assert asked[0][0] == "/form" and asked[0][2] == "seed=moss&n=2"
     assert {r["url"].removeprefix(at): r["status"] for r in done.log.collect()} == {"/form": "success", "/one": "success", "/": "rule-deny"}

@@ -16,17 +16,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblathe.functions import text as T
 from weblathe.functions import weburl as U
 from weblathe.operators import crawl_log, extract, mirror
 from weblathe.operators.crawl import Crawl, Crawled, seeds
+from weblathe.operators.live import LiveMirror, received
 from weblathe.operators.store import kept
 from weblathe.plans.rules import FOLLOW, SAVE, STOP, RuleError, RuleList
 from weblathe.sources import http, state
-from weblathe.sources.files import delete_files, write_files
-from weblathe.sources.seeds import encoding, from_files, local_files
+from weblathe.sources.cookies import MODES, Jar
+from weblathe.sources.files import compose, write_parts
+from weblathe.sources.seeds import from_files, local_files
 
 LISTS = ("follow", "save", "stop")
+#: The file of a run's log lines.
+LOG = ".state/log.txt"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-modified-check", action="store_true")
     p.add_argument("--trust-expires", action="store_true")
     p.add_argument("--user-agent", default="firefox")
-    p.add_argument("--cookies", choices=["persist", "accept", "refuse", "block"], default="persist")
+    p.add_argument("--cookies", choices=MODES, default="persist")
     return p
 
 
@@ -74,24 +77,6 @@ def with_update(options: argparse.Namespace, stored: dict) -> argparse.Namespace
     return argparse.Namespace(**(vars(options) | kept)) if options.update else options
 
 
-def decoded(content, headers):
-    """A document's text by its stated or found encoding; other than the usual ones are read as UTF-8."""
-    stated = F.lower(F.regexp_extract(F.coalesce(F.try_element_at(headers, F.lit("content-type")), F.lit("")), r"(?i)charset\s*=\s*[\"']?([\w-]+)", 1))
-    of = F.lower(encoding(content, stated))
-    text = F.when(of.isin("iso-8859-1", "latin-1", "latin1", "windows-1252"), F.decode(content, "ISO-8859-1"))
-    for name, charset in (("utf-16le", "UTF-16LE"), ("utf-16be", "UTF-16BE"), ("utf-16", "UTF-16")):
-        text = text.when(of == name, F.decode(content, charset))
-    return F.coalesce(text.otherwise(F.make_valid_utf8(content.cast("string"))), F.lit("")), of
-
-
-def links_of(responses: DataFrame) -> DataFrame:
-    mime = T.mime(F.try_element_at("headers", F.lit("content-type")))
-    at = F.coalesce("final_url", "url") if "final_url" in responses.columns else F.col("url")
-    pages = responses.select("url", at.alias("at"), decoded(F.col("content"), F.col("headers"))[0].alias("content"), mime.alias("mime"), F.try_element_at("headers", F.lit("link")).alias("link"))
-    found = extract.extract_links(pages, url="at", link_header="link")
-    return found.select(F.col("url").alias("from_url"), "n", "absolute", "inline", "tag", "do_not_follow", "source")
-
-
 def start_of(spark: SparkSession, options: argparse.Namespace) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Seeds (raw), responses of local files, which are given as path{base url}, and what is to be sent to urls, given as url{name=value,...}."""
     raws, local, posts = [], None, []
@@ -116,76 +101,64 @@ def start_of(spark: SparkSession, options: argparse.Namespace) -> tuple[DataFram
 def run(spark: SparkSession, options: argparse.Namespace, now: str | None = None, filename: Callable[[], Column] | None = None, on_wave: Callable[[int, DataFrame, DataFrame], None] | None = None) -> Crawled:
     """Crawls a table of responses, or the live web, and writes the mirror: its tables under .state, its files and their index.
 
+    After each wave the mirror is as if the crawl had ended there, unless no_live_update says to convert links at the end only.
     now: the time of the run in UTC. filename: makes the Column of file names, in place of a layout. on_wave: is told of each wave.
     """
     options = with_update(options, state.options(spark, options.path) if options.update else {})
     now = now or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     start, local, posts = start_of(spark, options)
-    old, stored, documents = (state.read(spark, options.path, name) for name in ("url_info", "stored", "documents"))
-    crawl = {"follow": options.follow, "save": options.save, "stop": options.stop, "url_info": old, "skip": mirror.skipped(options.no_modified_check, options.trust_expires, now, F.col("old.expires")), "on_wave": on_wave}
+    old = kept(state.read(spark, options.path, "url_info"))
+    part = state.next_part(spark, options.path)
+    out = LiveMirror(spark, options.path, part, not options.no_link_conversion, options.backups)
+    name = (lambda mime: filename()) if filename else (lambda mime: mirror.layout(options.layout)) if options.layout else None
+
+    def publish(number: int, log: DataFrame, redirects: DataFrame, update: bool) -> None:
+        mine = log.filter("saved")
+        if local is not None:  # local files aren't mirrored
+            mine = mine.join(local.select("url"), "url", "left_anti")
+        files = received(mine.filter("status = 'success'"), crawl.responses, name, now)
+        out.publish(number, files, mine.filter("status <> 'success'").select("url"), redirects, update)
+
+    def wave(number: int, log: DataFrame, links: DataFrame) -> None:
+        moved = log.filter("status = 'redirect'").groupBy("url").agg(F.max_by(F.struct(F.coalesce("redirect_code", F.lit(302)).alias("code"), "target_url"), "order").alias("r"))
+        publish(part + number, log, moved.select("url", "r.*"), True)
+        out.write_index()
+        if on_wave is not None:
+            on_wave(number, log, links)
+
+    asked = {"follow": options.follow, "save": options.save, "stop": options.stop, "url_info": old, "skip": mirror.skipped(options.no_modified_check, options.trust_expires, now, F.col("old.expires"))}
+    asked["on_wave"] = on_wave if options.no_live_update else wave
+    jar = None
     if options.responses:
         responses = spark.read.parquet(options.responses)
         if local is not None:
             responses = responses.join(local.select("url"), "url", "left_anti").unionByName(local.drop("file", "is_local"), allowMissingColumns=True)
-        crawl = Crawl(responses, links_of(responses), **crawl)
+        crawl = Crawl(responses, extract.links_of(responses), **asked)
     else:
-        if local is not None:
-            raise SystemExit("local files need a table of responses")
-        crawl = Crawl(None, None, fetch=lambda requests: http.fetch(requests, options.user_agent), links_of=links_of, posts=posts, **crawl)
+        jar = Jar(spark, options.path, options.cookies)
+        crawl = Crawl(None, None, fetch=lambda requests: http.fetch(requests, options.user_agent, local=local), links_of=extract.links_of, posts=posts, jar=jar, **asked)
     done = crawl.run(seeds(spark, start))
-    responses = crawl.responses if not options.responses else responses
-    mine = done.saved.join(local.select("url"), "url", "left_anti") if local is not None else done.saved  # local files aren't mirrored
-    saved = mine.filter("status = 'success'").join(responses.select("url", "headers", "content"), "url")
-    mime = T.mime(F.try_element_at("headers", F.lit("content-type")))
-    name = filename() if filename else mirror.layout(options.layout) if options.layout else mirror.default_filename(F.col("netloc"), F.col("path"), F.col("query"), mime)
-    text, charset = decoded(F.col("content"), F.col("headers"))
-    files = kept(saved.select("url", "original_url", name.alias("filename"), mime.alias("mimetype"), charset.alias("encoding"), "headers", "content", text.alias("text")))
-    links = links_of(responses)
-    of_pages = links.join(files.select(F.col("url").alias("from_url")), "from_url", "left_semi").groupBy(F.col("from_url").alias("url")).agg(F.sort_array(F.collect_list(F.struct("n", F.struct(F.col("absolute").alias("url"), "inline", "tag", "do_not_follow", "source").alias("l")))).alias("l"))
-    get = lambda k: F.try_element_at("headers", F.lit(k))
-    info = files.join(of_pages, "url", "left").select("url", "original_url", "mimetype", get("etag").alias("etag"), "encoding", get("last-modified").alias("last_modified"), T.http_date(get("expires")).alias("expires"), F.transform("l", lambda x: x["l"]).alias("links"))
-    info = kept(mirror.upsert_info(old, info))
-    every = mirror.upsert(stored, files)
-    met = kept(mirror.encounter(mine.filter("status <> 'success'").select("url"), stored).unionByName(files.select("url", "filename")))
-    redirects = kept(done.redirects.unionByName(state.read(spark, options.path, "redirects").join(done.redirects.select("url"), "url", "left_anti")))
-    usage = info.select(F.explode("links").alias("l")).select(U.canonical(U.normalise(F.col("l.url"))).alias("url"))
-    texts = files if options.no_link_conversion else converted(files, met, redirects, usage)
-    written = F.when(F.col("mimetype").isin("text/html", "text/css"), F.encode("text", "UTF-8")).otherwise(F.col("content"))
-    fresh = kept(texts.select("url", "filename", "mimetype", written.alias("content")))
-    documents = documents.join(fresh.select("url", "filename"), ["url", "filename"], "left_anti").unionByName(fresh)
+    if options.no_live_update:
+        publish(part, done.log, done.redirects, False)
+        out.refresh()
     if options.enable_delete:
-        gone = kept(mirror.prune(every, met))
-        every, documents = (x.join(gone.select("url", "filename"), ["url", "filename"], "left_anti") for x in (every, documents))
-        info = info.join(gone.filter("gone").select("url"), "url", "left_anti")
-        # a file may have got another url meanwhile
-        delete_files(gone.select("filename").distinct().join(every.select("filename"), "filename", "left_anti"), options.path).count()
-    for name, table in (("stored", every), ("url_info", info), ("redirects", redirects), ("documents", documents)):
-        state.write(table, options.path, name)
+        out.prune(part + done.waves)
+    if jar is not None:
+        jar.save()
     state.write_options(spark, options.path, vars(options))
-    write_files(fresh, options.path).count()
-    index = mirror.index_page(state.read(spark, options.path, "stored"))
-    write_files(index.select(F.lit("index.html").alias("filename"), F.encode("html", "UTF-8").alias("content")), options.path).count()
+    if options.no_live_update or options.enable_delete:
+        out.write_index()
     return done
 
 
-def converted(files: DataFrame, encountered: DataFrame, redirects: DataFrame, usage: DataFrame) -> DataFrame:
-    """files with their links rewritten: each file's mentions by raw url."""
-    rows = files.select("url", "original_url", "mimetype", "text", F.col("filename").alias("from_file"))
-    raw = extract.extract_links(rows.withColumnRenamed("url", "from_url").withColumnRenamed("original_url", "at"), url="at", content="text", mime="mimetype")
-    raw = raw.withColumn("normal", U.normalise(F.col("absolute"))).withColumn("target", U.canonical(F.col("normal"))).withColumn("fragment", U.fragment(F.col("normal")))
-    met = encountered.groupBy("url").agg(F.min("filename").alias("filename"))
-    new = mirror.link_targets(raw.select("from_url", "from_file", "n", "raw", "absolute", "target", "fragment"), met, redirects, usage)
-    maps = new.filter("new IS NOT NULL").groupBy("from_url", "raw").agg(F.min("new").alias("new")).groupBy("from_url").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("changes"))
-    both = files.join(maps, F.col("url") == F.col("from_url"), "left")
-    return both.withColumn("text", extract.rewrite_links(F.col("text"), F.col("mimetype"), F.col("changes"))).drop("from_url", "changes")
-
-
 def main(argv: list[str] | None = None) -> None:
     options = parse(sys.argv[1:] if argv is None else argv)
     spark = SparkSession.builder.appName("weblathe").getOrCreate()
     done = run(spark, options)
-    for row in crawl_log.lines(done.log).filter("line IS NOT NULL").orderBy("depth", "order").toLocalIterator():
-        print(row["line"])
+    said = crawl_log.lines(done.log).filter("line IS NOT NULL").orderBy("depth", "order").select(F.concat("line", F.lit("\n")).alias("text"))
+    write = said.withColumn("range", F.spark_partition_id())
+    compose(write_parts(write.select("range", "text"), options.path, ".state/lines"), options.path, ".state/lines", LOG)
+    print(f"{options.path}/{LOG}")
     print(json.dumps(crawl_log.counters(done.log).first().asDict()))
 
 

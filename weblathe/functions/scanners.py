@@ -37,6 +37,7 @@ _CSS = re.compile(
 )
 _MARKUP = re.compile(r"<!--(?!\[if IE ).*?(?:-->|\Z)|<!(?:--\[if IE )?[^>]*(?:>|\Z)|<(?P<tag>[a-zA-Z][^\s/>]*)", re.S)
 _ATTRIBUTE = re.compile(r"""[\s/]*(?:(?P<end>>)|(?P<name>[^\s=>/][^\s=>/]*)(?P<eq>\s*=\s*(?:"(?P<dq>[^"]*)(?:"|\Z)|'(?P<sq>[^']*)(?:'|\Z)|(?P<uq>[^\s>"'][^\s>]*))?)?|(?P<odd>=))""", re.S)
+#: Fixed value: the url of a refreshing page.
 _REFRESH = re.compile(r".*?url=(.*)", re.I)
 
 
@@ -132,14 +133,24 @@ def replacement(quote: str, new: str) -> str:
     return '"' + new.replace('"', '\\"') + '"'
 
 
-def rewritten(text: str, is_css: bool, new: dict[str, str | None], mentions=None) -> str:
-    """text with its mentions of new's keys (raw urls) replaced; text itself if nothing changes. mentions: of another kind of document."""
-    out, at, done = [], 0, -1
+def changes(text: str, is_css: bool, new: dict[str, str | None], mentions=None) -> list[tuple[int, int, str, bool]]:
+    """What rewriting replaces: start, end, the new text, and whether it stands in a style sheet; in order. mentions: of another kind of document."""
+    out, done = [], -1
     find = mentions or (css_mentions if is_css else html_mentions)
     for m in sorted(find(text)):
         if m.quote == "keep" or new.get(m.raw) is None or m.pos == done:
             continue
         place = text[m.pos : m.pos + m.len]
-        out += [text[at : m.pos], style_attribute(place, new) if m.quote == "style-attr" else new[m.raw] if m.quote == "plain" else replacement(m.quote, new[m.raw])]
-        at, done = m.pos + m.len, m.pos
+        made = style_attribute(place, new) if m.quote == "style-attr" else new[m.raw] if m.quote == "plain" else replacement(m.quote, new[m.raw])
+        out.append((m.pos, m.pos + m.len, made, m.quote == "css"))
+        done = m.pos
+    return out
+
+
+def rewritten(text: str, is_css: bool, new: dict[str, str | None], mentions=None) -> str:
+    """text with its mentions of new's keys (raw urls) replaced; text itself if nothing changes."""
+    out, at = [], 0
+    for start, end, made, _ in changes(text, is_css, new, mentions):
+        out += [text[at:start], made]
+        at = end
     return "".join([*out, text[at:]])

@@ -95,6 +95,8 @@ class Crawl:
     links_of: Callable[[DataFrame], DataFrame] | None = None
     #: (url, post): what is sent with the requests of these urls.
     posts: DataFrame | None = None
+    #: What gives requests their cookies and takes those of responses, wave by wave: has sent(requests) and take(responses).
+    jar: object | None = None
     #: What else is to happen after each wave: on_wave(number, log of the wave, links that it leads to).
     on_wave: Callable[[int, DataFrame, DataFrame], None] | None = None
 
@@ -168,11 +170,15 @@ class Crawl:
             urls = urls.select("url", "etag", "modified")
         if self.posts is not None:
             urls = urls.join(self.posts.select("url", "post"), "url", "left")
+        if self.jar is not None:
+            urls = self.jar.sent(urls)
         keep(_coded(self.fetch(urls)), f"{self._place}/responses/part={self._asked_for}")
         self._asked_for += 1
         spark = urls.sparkSession
         self.responses = spark.read.parquet(f"{self._place}/responses").drop("part")
         new = spark.read.parquet(f"{self._place}/responses/part={self._asked_for - 1}")
+        if self.jar is not None:
+            self.jar.take(new)
         self._resolve(self.links_of(new.filter(F.col("status") < 300)).withColumn("stored", F.lit(False)))
         return new
 

@@ -89,20 +89,23 @@ def last_redirects(redirects: DataFrame) -> DataFrame:
     return redirects.groupBy("url").agg(F.max_by(F.struct("code", "target_url"), "order").alias("r")).select("url", "r.code", "r.target_url")
 
 
-def link_targets(links: DataFrame, encountered: DataFrame, redirects: DataFrame, usage: DataFrame) -> DataFrame:
+def link_targets(links: DataFrame, encountered: DataFrame, redirects: DataFrame, usage: DataFrame | None) -> DataFrame:
     """links(from_url, from_file, n, absolute, original, target, fragment) with new: what the link becomes, null if it stays.
 
     A local file, directly or through a redirect, by its relative path and fragment; the target of a permanent
-    redirect; an absolute url, if any page's known links have it; else nothing.
+    redirect; an absolute url, if any page's known links have it (usage; without it, all do); else nothing.
     """
     direct = encountered.select(F.col("url").alias("d_url"), F.col("filename").alias("d_file"))
     red = redirects.select(F.col("url").alias("r_url"), "code", "target_url")
     via = encountered.select(F.col("url").alias("v_url"), F.col("filename").alias("v_file"))
-    used = usage.select(F.col("url").alias("u_url")).distinct()
     rows = (
         links.join(direct, F.col("target") == F.col("d_url"), "left").join(red, F.col("target") == F.col("r_url"), "left")
-        .join(via, F.col("target_url") == F.col("v_url"), "left").join(used, F.col("target") == F.col("u_url"), "left")
+        .join(via, F.col("target_url") == F.col("v_url"), "left")
     )
+    if usage is None:
+        rows = rows.withColumn("u_url", F.col("target"))
+    else:
+        rows = rows.join(usage.select(F.col("url").alias("u_url")).distinct(), F.col("target") == F.col("u_url"), "left")
     file = F.coalesce("d_file", "v_file")
     tail = F.when(F.col("fragment") != "", F.concat(F.lit("#"), F.col("fragment"))).otherwise("")
     new = (

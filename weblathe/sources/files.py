@@ -68,3 +68,49 @@ def delete_files(names: DataFrame, mirror: str) -> DataFrame:
             yield pd.DataFrame({"filename": batch["filename"], "gone": gone})
 
     return names.select(F.col("filename")).mapInPandas(run, "filename string, gone boolean")
+
+
+def write_parts(lines: DataFrame, mirror: str, folder: str) -> DataFrame:
+    """(range, bytes) of lines(range, text), which lie in partitions by range and in order: each partition is written as a file of folder, a batch at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, root = _at(mirror)
+        out, size, number = None, 0, None
+        for batch in batches:
+            if out is None and len(batch):
+                number = int(batch["range"].iloc[0])
+                place.create_dir(f"{root.rstrip('/')}/{folder}", recursive=True)
+                out = place.open_output_stream(f"{root.rstrip('/')}/{folder}/{number}")
+            data = "".join(batch["text"]).encode()
+            size += len(data)
+            if data:
+                out.write(data)
+        if out is not None:
+            out.close()
+            yield pd.DataFrame({"range": [number], "bytes": [size]})
+
+    return lines.mapInPandas(run, "range int, bytes long")
+
+
+def compose(parts: DataFrame, mirror: str, folder: str, name: str) -> int:
+    """Puts the files of parts(range) one after another, in order of range, into a file of the mirror; a piece of them is in memory at a time. The parts go. Returns the bytes."""
+
+    numbers = sorted(r["range"] for r in parts.collect())  # a row a range
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, root = _at(mirror)
+        root, size = root.rstrip("/"), 0
+        for _ in batches:
+            with place.open_output_stream(f"{root}/{name}") as out:
+                for number in numbers:
+                    with place.open_input_stream(f"{root}/{folder}/{number}") as part:
+                        while piece := part.read(1 << 20):
+                            out.write(piece)
+                            size += len(piece)
+            yield pd.DataFrame({"bytes": [size]})
+
+    found = parts.sparkSession.range(1, numPartitions=1).mapInPandas(run, "bytes long").collect()
+    place, root = _at(mirror)
+    if place.get_file_info(f"{root.rstrip('/')}/{folder}").type == fs.FileType.Directory:
+        place.delete_dir(f"{root.rstrip('/')}/{folder}")
+    return found[0]["bytes"]

@@ -9,8 +9,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SCHEMA = "url string, final_url string, status int, headers map<string,string>, content binary, redirects array<string>, error string, redirect_code int"
+from weblathe.sources.cookies import COOKIE, Carried
+
+SCHEMA = f"url string, final_url string, status int, headers map<string,string>, content binary, redirects array<string>, error string, redirect_code int, set_cookies array<{COOKIE}>"
+NAMES = ["url", "final_url", "status", "headers", "content", "redirects", "error", "redirect_code", "set_cookies"]
 ATTEMPTS = 7
 #: Names for user agents.
 AGENTS = {"firefox": "Mozilla/5.0 (X11; Linux x86_64; rv:128.0) Gecko/20100101 Firefox/128.0", "safari": "Mozilla/5.0 (Macintosh; Intel Mac OS X 14_5) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.5 Safari/605.1.15"}
@@ -27,34 +31,44 @@ class _Hops(urllib.request.HTTPRedirectHandler):
         return super().redirect_request(req, fp, code, msg, headers, newurl)
 
 
-def fetch_one(url: str, agent: str, referer: str | None = None, etag: str | None = None, modified: str | None = None, post: dict | None = None, timeout: float = 30) -> dict:
-    """The response of a url; error is 'connect' or 'redirect' where there is none."""
+def fetch_one(url: str, agent: str, referer: str | None = None, etag: str | None = None, modified: str | None = None, post: dict | None = None, cookies: list[dict] | None = None, timeout: float = 30) -> dict:
+    """The response of a url; error is 'connect' or 'redirect' where there is none. cookies: what is sent; set_cookies: what servers set."""
     headers = {k: v for k, v in (("User-Agent", agent), ("Referer", referer), ("If-None-Match", etag), ("If-Modified-Since", modified)) if v}
-    out = {"url": url, "final_url": url, "status": None, "headers": {}, "content": None, "redirects": [], "error": "connect", "redirect_code": None}
+    out = {"url": url, "final_url": url, "status": None, "headers": {}, "content": None, "redirects": [], "error": "connect", "redirect_code": None, "set_cookies": []}
     for _ in range(ATTEMPTS):
-        hops = _Hops()
-        opener = urllib.request.build_opener(hops)
+        hops, carried = _Hops(), Carried(cookies)
+        opener = urllib.request.build_opener(hops, carried)
         try:
             data = urllib.parse.urlencode(post).encode() if post else None
             with opener.open(urllib.request.Request(url, data, headers), timeout=timeout) as r:
-                return out | {"final_url": r.url, "status": r.status, "headers": {k.lower(): v for k, v in r.headers.items()}, "content": r.read(), "redirects": hops.seen, "error": None, "redirect_code": hops.code}
+                return out | {"final_url": r.url, "status": r.status, "headers": {k.lower(): v for k, v in r.headers.items()}, "content": r.read(), "redirects": hops.seen, "error": None, "redirect_code": hops.code, "set_cookies": carried.set_cookies()}
         except urllib.error.HTTPError as e:
             loop = e.code in (301, 302, 303, 307, 308)
-            return out | {"status": e.code, "headers": {k.lower(): v for k, v in e.headers.items()}, "content": e.read(), "redirects": hops.seen, "error": "redirect" if loop else None, "redirect_code": hops.code}
+            return out | {"status": e.code, "headers": {k.lower(): v for k, v in e.headers.items()}, "content": e.read(), "redirects": hops.seen, "error": "redirect" if loop else None, "redirect_code": hops.code, "set_cookies": carried.set_cookies()}
         except OSError:
             continue
     return out
 
 
-def fetch(requests: DataFrame, agent: str = "firefox", partitions: int = 64) -> DataFrame:
-    """Responses of requests (url, and any of referer, etag, modified, post), a host's urls in one partition."""
+def fetch(requests: DataFrame, agent: str = "firefox", partitions: int = 64, local: DataFrame | None = None) -> DataFrame:
+    """Responses of requests (url, and any of referer, etag, modified, post, cookies), a host's urls in one partition. local: responses of files, which aren't asked for."""
+    if local is not None:
+        files = local.join(requests.select("url"), "url", "left_semi")
+        asked = fetch(requests.join(local.select("url"), "url", "left_anti"), agent, partitions)
+        return asked.unionByName(files.drop("file", "is_local"), allowMissingColumns=True)
     name = AGENTS.get(agent, agent)
-    columns = [c for c in ("referer", "etag", "modified", "post") if c in requests.columns]
+    columns = [c for c in ("referer", "etag", "modified", "post", "cookies") if c in requests.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([fetch_one(row["url"], name, **{c: row[c] or None for c in columns}) for row in batch.to_dict("records")], columns=["url", "final_url", "status", "headers", "content", "redirects", "error", "redirect_code"])
-
-    from pyspark.sql import functions as F
+            rows = batch.to_dict("records")
+            yield pd.DataFrame([fetch_one(row["url"], name, **{c: _given(row[c]) for c in columns}) for row in rows], columns=NAMES)
 
     return requests.repartition(partitions, F.regexp_extract("url", r"//([^/?#]*)", 1)).mapInPandas(run, SCHEMA)
+
+
+def _given(value):
+    """A value of a batch; None for what is missing or empty."""
+    if value is None or isinstance(value, float):
+        return None
+    return list(value) or None if hasattr(value, "__len__") and not isinstance(value, (str, dict)) else value or None

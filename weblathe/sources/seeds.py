@@ -40,8 +40,9 @@ def local_files(spark: SparkSession, path: str, base_url: str) -> DataFrame:
 
 
 def encoding(content: Column, stated: Column) -> Column:
-    """The stated charset, else a byte order mark, else <meta charset> in the first 1024 bytes, else utf-8."""
+    """The stated charset, else a byte order mark, else <meta charset> in the first 1024 bytes or the @charset that a style sheet begins with, else utf-8."""
     start = F.substring(content, 1, 3)
-    meta = F.lower(F.regexp_extract(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), r"(?i)<meta[^>]*charset\s*=\s*[\"']?([\w-]+)", 1))
+    meta = F.lower(F.regexp_extract(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), r"(?i)<meta[^>]*charset\s*=\s*[\"']?([\w:.-]+)", 1))
     bom = F.when(F.hex(start) == "EFBBBF", "utf-8").when(F.hex(F.substring(content, 1, 2)) == "FFFE", "utf-16le").when(F.hex(F.substring(content, 1, 2)) == "FEFF", "utf-16be")
-    return let(meta, lambda m: F.coalesce(F.nullif(stated, F.lit("")), bom, F.nullif(m, F.lit("")), F.lit("utf-8")))
+    sheet = F.regexp_extract(F.decode(F.substring(content, 1, 100), "ISO-8859-1"), r'\A@charset "([\w:.-]+)";', 1)
+    return let(meta, lambda m: F.coalesce(F.nullif(stated, F.lit("")), bom, F.nullif(m, F.lit("")), F.nullif(sheet, F.lit("")), F.lit("utf-8")))
