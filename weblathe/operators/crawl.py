@@ -153,6 +153,14 @@ class Crawl:
         rules = {r.source: r for x in (self.follow, self.save, self.stop) for r in x.rules if r.test.kind == "R"}
         self._asked = {source: (f"passes_{i}", rule) for i, (source, rule) in enumerate(rules.items())}
         self._given = {source: F.coalesce(F.col(name), F.lit(False)) for source, (name, _) in self._asked.items()}
+        # Columns that every wave uses are made once: making them takes longer than a small wave's jobs.
+        user = F.coalesce(F.col("source") == "user", F.lit(False))
+        self._denied = ~(user | (self.follow.column(F.coalesce("hops", F.lit(False)), self._given) if "R" in self.follow.kinds else self.follow.column()))
+        self._target_denied = ~(user | self.follow.column(None, self._given)) if self._hops else None
+        self._saves, self._stops = self.save.column(None, self._given), self.stop.column(None, self._given)
+        self._passed = [passes(rule).alias(name) for name, rule in self._asked.values()]
+        self._last = U.normalise(F.try_element_at("redirects", F.lit(-1))) if self._hops else F.lit(None).cast("string")
+        self._target = U.canonical(F.col("last_url")) if self._hops else F.lit(None).cast("string")
 
     def _resolve(self, links: DataFrame) -> None:
         new = kept(with_parts(links.withColumn("original_url", U.normalise(F.col("absolute"))).filter("original_url IS NOT NULL")))
@@ -192,10 +200,8 @@ class Crawl:
     def _facts(self, urls: DataFrame) -> DataFrame:
         """Of distinct urls: what their responses, and the previous run, say that a decision needs."""
         r = self._responses_of(urls).withColumnRenamed("url", "response_url")
-        last = U.normalise(F.try_element_at("redirects", F.lit(-1)))
-        passed = [passes(rule).alias(name) for name, rule in self._asked.values()]
         got = urls.join(r, F.col("url") == F.col("response_url"), "left")
-        got = got.select("url", "status", "error", "redirect_code", F.coalesce(F.size("redirects") > 0, F.lit(False)).alias("hops"), last.alias("last_url"), *passed)
+        got = got.select("url", "status", "error", "redirect_code", F.coalesce(F.size("redirects") > 0, F.lit(False)).alias("hops"), self._last.alias("last_url"), *self._passed)
         if self.url_info is not None and self.skip is not None:
             names = [c for c in self.url_info.columns if c not in ("url", "links")]
             old = self.url_info.select(F.col("url").alias("old_url"), F.struct(*names).alias("old"))
@@ -213,15 +219,14 @@ class Crawl:
             f = f.withColumn("prev_encountered", F.coalesce("prev_encountered", F.lit(False)))
         else:
             f = f.withColumn("prev_encountered", F.lit(False))
-        user = F.coalesce(F.col("source") == "user", F.lit(False))
         early = F.when(F.col("do_not_follow"), "no-download").when(F.col("is_known"), "duplicate")
         if "R" not in self.follow.kinds:  # decided before anything is requested
-            early = F.coalesce(early, F.when(~(user | self.follow.column()), "rule-deny"))
+            early = F.coalesce(early, F.when(self._denied, "rule-deny"))
         f = f.withColumn("status_text", early)
         facts = self._facts(f.filter("status_text IS NULL").select("url").distinct())
         f = f.join(facts, (F.col("url") == F.col("fact_url")) & F.col("status_text").isNull(), "left")
         if "R" in self.follow.kinds:
-            f = f.withColumn("status_text", F.coalesce("status_text", F.when(~(user | self.follow.column(F.coalesce("hops", F.lit(False)), self._given)), "rule-deny")))
+            f = f.withColumn("status_text", F.coalesce("status_text", F.when(self._denied, "rule-deny")))
         state = F.when(F.col("unasked"), "not-expired").when(F.col("error").eqNullSafe("redirect"), "redirect-error").when(F.col("hops"), "redirect")
         f = f.withColumn("status_text", F.coalesce("status_text", state))
         if not self._hops:
@@ -241,8 +246,7 @@ class Crawl:
         t = t.join(known.select("url").withColumn("is_known", F.lit(True)), "url", "left")
         facts = self._facts(t.filter("is_known IS NULL").select("url").distinct())
         t = t.join(facts, F.col("url") == F.col("fact_url"), "left")
-        user = F.coalesce(F.col("source") == "user", F.lit(False))
-        state = F.when(F.col("is_known"), "duplicate").when(~(user | self.follow.column(None, self._given)), "rule-deny").when(F.col("hops"), "redirect-error")
+        state = F.when(F.col("is_known"), "duplicate").when(self._target_denied, "rule-deny").when(F.col("hops"), "redirect-error")
         return t.withColumn("status_text", state)
 
     def _fact_names(self) -> list[str]:
@@ -256,8 +260,8 @@ class Crawl:
         ok, unconditional = F.col("status_text").isin(*OPEN), F.col("status_text").isin("not-modified", "not-expired")
         out = ["order", "depth", "domain_depth", "raw", "original_url", *PARTS, "prev", "root", "inline", "tag", "do_not_follow", "source", "redirect_from"]
         return f.select(
-            *out, F.col("status_text").alias("status"), F.col("status").cast("int").alias("code"), "redirect_code", U.canonical(F.col("last_url")).alias("target_url"),
-            F.when(ok, unconditional | self.save.column(None, self._given)).otherwise(False).alias("may_save"), F.when(ok, self.stop.column(None, self._given)).otherwise(False).alias("stops"),
+            *out, F.col("status_text").alias("status"), F.col("status").cast("int").alias("code"), "redirect_code", self._target.alias("target_url"),
+            F.when(ok, unconditional | self._saves).otherwise(False).alias("may_save"), F.when(ok, self._stops).otherwise(False).alias("stops"),
         )
 
     @staticmethod

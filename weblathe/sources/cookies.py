@@ -64,12 +64,9 @@ class Carried(urllib.request.BaseHandler):
 
     def __init__(self, cookies: list[dict]):
         self.jar = http.cookiejar.CookieJar()
-        self.given = {}
         for c in cookies or []:
-            one = _cookie(c)
-            self.given[one.domain, one.path, one.name] = one.value, one.expires
-            self.jar.set_cookie(one)
-        self.gone: list[dict] = []
+            self.jar.set_cookie(_cookie(c))
+        self.set_cookies: list[dict] = []  # what the servers have set or taken back, in order
 
     def http_request(self, request):
         self.jar.add_cookie_header(request)
@@ -77,22 +74,16 @@ class Carried(urllib.request.BaseHandler):
 
     def http_response(self, request, response):
         before = {(c.domain, c.path, c.name): c for c in self.jar}
-        self.jar.extract_cookies(response, request)
+        made = [c for c in self.jar.make_cookies(response, request) if self.jar._policy.set_ok(c, request)]
         left = {(c.domain, c.path, c.name) for c in self.jar}
-        self.gone += [_row(c) | {"expires": 0} for k, c in before.items() if k not in left]  # a server takes a cookie back by letting it expire
+        self.set_cookies += [_row(c) | {"expires": 0} for k, c in before.items() if k not in left]  # a server takes a cookie back by letting it expire
+        for c in made:
+            self.jar.set_cookie(c)
+            self.set_cookies.append(_row(c))
         return response
 
     https_request, https_response = http_request, http_response
 
-    def set_cookies(self) -> list[dict]:
-        """What the servers have set or taken back, in an order of their own."""
-        new = [_row(c) for c in self.jar if self.given.get((c.domain, c.path, c.name)) != (c.value, c.expires)]
-        return sorted(self.gone, key=_order) + sorted(new, key=_order)
-
-
-def _order(row: dict) -> tuple:
-    return row["domain"], row["path"], row["name"]
-
 
 def _cookie(c: dict) -> http.cookiejar.Cookie:
     domain = c["domain"] if c["host_only"] else "." + c["domain"]

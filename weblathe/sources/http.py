@@ -41,10 +41,10 @@ def fetch_one(url: str, agent: str, referer: str | None = None, etag: str | None
         try:
             data = urllib.parse.urlencode(post).encode() if post else None
             with opener.open(urllib.request.Request(url, data, headers), timeout=timeout) as r:
-                return out | {"final_url": r.url, "status": r.status, "headers": {k.lower(): v for k, v in r.headers.items()}, "content": r.read(), "redirects": hops.seen, "error": None, "redirect_code": hops.code, "set_cookies": carried.set_cookies()}
+                return out | {"final_url": r.url, "status": r.status, "headers": {k.lower(): v for k, v in r.headers.items()}, "content": r.read(), "redirects": hops.seen, "error": None, "redirect_code": hops.code, "set_cookies": carried.set_cookies}
         except urllib.error.HTTPError as e:
             loop = e.code in (301, 302, 303, 307, 308)
-            return out | {"status": e.code, "headers": {k.lower(): v for k, v in e.headers.items()}, "content": e.read(), "redirects": hops.seen, "error": "redirect" if loop else None, "redirect_code": hops.code, "set_cookies": carried.set_cookies()}
+            return out | {"status": e.code, "headers": {k.lower(): v for k, v in e.headers.items()}, "content": e.read(), "redirects": hops.seen, "error": "redirect" if loop else None, "redirect_code": hops.code, "set_cookies": carried.set_cookies}
         except OSError:
             continue
     return out
