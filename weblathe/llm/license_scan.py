@@ -160,20 +160,23 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, containment:
             n = F.element_at(block, 1)["n"].cast("int")
             spots = F.sequence(F.greatest(F.lit(1), n - m["window"] + 2), n)
             most = lambda words: F.array_max(F.transform(spots, lambda at: made.overlap(m, made.places(F.slice(words, at, m["window"])))))
-            kept_as = lambda o: F.when(o >= m["needed"], F.struct(m["k"].alias("k"), (start + F.size(block) - 1).alias("end"), _hit(m, o, start).alias("match")))
+            text = lambda lines: F.array_join(F.transform(lines, lambda x: x["x"]), "\n")
+            # The window ends where it has all these words, so that it leaves the lines of the next notice alone.
+            enough = lambda o: F.array_min(F.filter(F.sequence(F.lit(1), F.size(block)), lambda s: made.overlap(m, made.places(_words(text(F.slice(block, 1, s))))) >= o))
+            kept_as = lambda o: F.when(o >= m["needed"], F.struct(m["k"].alias("k"), (start + F.coalesce(enough(o), F.size(block)) - 1).alias("end"), _hit(m, o, start).alias("match")))
             # The whole of the lines first: most have too few of the words.
             found = lambda words: F.when(made.overlap(m, made.places(words)) >= m["needed"], let(most(words), kept_as))
-            joined = F.array_join(F.transform(block, lambda x: x["x"]), "\n")
-            return F.when((F.size(block) > 1) & F.exists(block, lambda x: x["hit"]), let(_words(joined), found))
+            return F.when((F.size(block) > 1) & F.exists(block, lambda x: x["hit"]), let(_words(text(block)), found))
 
         return let(F.slice(lines, start + 1, size), hit)
 
     def best(found: Column) -> Column:
-        """Of overlapping windows of a template the one with most words, then of fewest lines, then the first."""
-        rank = lambda h: F.struct(-h["match"]["overlap"], h["end"] - h["match"]["line"], h["match"]["line"])
-        beats = lambda g, h: (g["k"] == h["k"]) & (g["match"]["line"] <= h["end"]) & (h["match"]["line"] <= g["end"]) & (rank(g) < rank(h))
-        left = F.filter(found, lambda h: ~F.exists(found, lambda g: beats(g, h)))
-        return F.transform(left, lambda h: h["match"].withField("end", h["end"]))
+        """Windows of a template that don't overlap: the one with most words, then of fewest lines, then the first, is chosen again and again among those that are left."""
+        ranked = lambda h: F.struct((-h["match"]["overlap"]).alias("o"), (h["end"] - h["match"]["line"]).alias("l"), h["match"]["line"].alias("at"), h["k"].alias("k"), h["end"].alias("end"), h["match"].alias("match"))
+        order = F.array_sort(F.transform(found, ranked))
+        clear = lambda chosen, h: ~F.exists(chosen, lambda g: (g["k"] == h["k"]) & (g["at"] <= h["end"]) & (h["at"] <= g["end"]))
+        chosen = let(order, lambda o: F.aggregate(o, F.slice(o, 1, 0), lambda kept, h: F.when(clear(kept, h), F.concat(kept, F.array(h))).otherwise(kept)))
+        return F.transform(chosen, lambda h: h["match"].withField("end", h["end"]))
 
     def plain(found: Column) -> Column:
         return F.transform(found, lambda h: h.dropFields("end"))
