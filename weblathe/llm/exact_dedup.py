@@ -81,7 +81,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: in
     else:  # rows that repeat an id and a length share a rank: one of each task is taken first, then one of these
         lost = rows.filter(~tied).withColumn("stays", single)
         own = rows.filter(tied).withColumn("task", F.spark_partition_id())
-        own = own.withColumn("turn", F.row_number().over(Window.partitionBy("digest", "task").orderBy(F.lit(1))))
+        # Which row has which turn isn't fixed, so it is written before both branches read it.
+        own = kept(own.withColumn("turn", F.row_number().over(Window.partitionBy("digest", "task").orderBy(F.lit(1)))))
         of_tasks = own.filter("turn = 1").withColumn("stays", F.row_number().over(Window.partitionBy("digest").orderBy("task")) == 1)
         out = lost.unionByName(of_tasks.unionByName(own.filter("turn > 1").withColumn("stays", F.lit(False))).drop("task", "turn"))
     results = {
