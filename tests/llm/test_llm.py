@@ -31,7 +31,7 @@ def odd(spark):
 
 
 #: Columns named like helpers that operators use inside.
-HELPERS = "keys a b given t html host_ page digest rank id stays tied best tie turn own_rank text_digest task lost soft whole node no cut cuts key hash scale dual size_ each more turn x y places matches_ of_words of_lines the_text row at n c least words classes part wanted".split()
+HELPERS = "keys a b given t html host_ page digest rank id stays tied best tie turn own_rank text_digest task lost soft whole node no cut cuts key hash scale dual size_ each more turn x y places matches_ of_words of_lines the_text row at n c least words classes part wanted gone gone_".split()
 PAGES = [
     (1, "http://a.example.com/en/x", "<p>One</p><nav>x</nav>"), (1, "http://a.example.com/en/x", "<p>One</p><nav>x</nav>"), (2, None, None), (None, "http://example.net/es/", ""), (3, "no url", "<"), (4, "http://" + "l." * 3000 + "com/" + "p" * 5000, "<div>" * 500 + "w " * 30000),
 ]
@@ -291,6 +291,28 @@ def test_wrapped_licenses(spark):
     assert got[1]["matches"][0]["line"] == 2 and got[1]["score"] == 1.0
 
 
+def test_many_wrapped_notices(spark):
+    """Each of many wrapped notices is a match, though windows of neighbours overlap."""
+    notice = "This software is provided 'as-is', without any express or\nimplied warranty. In no event will the authors be held liable for any\ndamages arising from the use of this software."
+    texts = [(n, "\n".join([notice] * n)) for n in (1, 2, 7, 30)]
+    got = {r["doc_id"]: r["matches"] for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for n, _ in texts:
+        assert len(got[n]) == n and sorted(m["line"] // 3 for m in got[n]) == list(range(n)), n
+
+
+def test_dedup_ties_by_shuffle(spark, monkeypatch):
+    """Rows that repeat id and length, with other columns that differ, when winners are joined by a shuffle: one of each group stays, and every row is there once."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST", 0)
+    rows = [(i % 4, "text " + "xy"[i % 2] + " " * (i % 3), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(7)
+    got = exact_dedup.dedup(df).collect()
+    assert sorted(r["place"] for r in got) == list(range(200))
+    for c in "xy":
+        stays = [r for r in got if r["text"].strip()[-1] == c and r["kept"]]
+        best = min((r for r in rows if r[1].strip()[-1] == c), key=lambda r: (-len(r[1]), r[0]))
+        assert [(len(r["text"]), r["doc_id"]) for r in stays] == [(len(best[1]), best[0])]
+
+
 def _targets(words, budget=1.5, most=2):
     """By source in order: shares by weight 5, 2, 1, and again; what is above most times its words is shared anew."""
     weight, rest, stopped = [(5, 2, 1)[i % 3] for i in range(len(words))], budget * sum(words), {}

@@ -374,9 +374,10 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = kept(_grouped(docs, doc_id, text, percent, True).filter("n > 0").select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key").alias("row"), "c"))
     first = rows.groupBy("c").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    gone = kept(rows.join(first, "c").filter(F.col("row.key") != F.col("first.key")).select(F.col("row.key").alias("gone")).distinct())
+    name = "gone" + "_" * max(map(len, docs.columns), default=0)  # longer than any of docs' own
+    gone = kept(rows.join(first, "c").filter(F.col("row.key") != F.col("first.key")).select(F.col("row.key").alias(name)).distinct())
     own = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST else gone, own == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST else gone, own == F.col(name), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

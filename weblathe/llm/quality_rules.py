@@ -154,14 +154,15 @@ g AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i+4], ' ')
 m AS (SELECT r, count(DISTINCT i + k) AS n FROM g, range(0, 5) AS o(k) WHERE n > 1 GROUP BY r),
 c AS (SELECT s.r, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
-  len(list_filter(w, lambda x: x IN ({', '.join(f"'{x}'" for x in STOP_WORDS)}))) AS n_stop, coalesce(m.n, 0) AS n_repeat_words
+  len(list_filter(w, lambda x: lower(x) IN ({', '.join(f"'{x}'" for x in STOP_WORDS)}))) AS n_stop,
+  2 * len(regexp_extract_all(t, '\\p{{Latin}}')) < len(regexp_extract_all(t, '\\p{{L}}')) AS unlisted, coalesce(m.n, 0) AS n_repeat_words
   FROM s LEFT JOIN m ON s.r = m.r)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
   AND word_chars / greatest(n_words, 1) >= 2.0 AND word_chars / greatest(n_words, 1) <= 20.0
   AND n_symbols / greatest(n_words, 1) <= 0.2
-  AND (n_stop / greatest(n_words, 1) >= 0.01 OR n_words < 60)
+  AND (n_stop / greatest(n_words, 1) >= 0.01 OR n_words < 60 OR unlisted)
   AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
 FROM c
 """
