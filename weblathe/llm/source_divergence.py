@@ -27,7 +27,7 @@ from weblathe.llm.shingles import text_bytes
 LEAST, ADDED, RANKS = 30, 5, 50
 SCALE = 1_000_000_000
 #: Bytes of text that are counted at a time, and distinct vectors of a portion.
-SLICE, PORTION = 8_000_000, 20_000
+SLICE, PORTION = 8_000_000, 2_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TERM = np.zeros(256, bool)
