@@ -1,12 +1,15 @@
 import datetime
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from weblathe.operators import crawl as crawl_module
 from weblathe.operators import crawl_log, mirror
 from weblathe.operators.crawl import Crawl, CrawlError, seeds
 from weblathe.plans.rules import response_rule
+from weblathe.sources import http as web_source
 from weblathe.sources import seeds as S
 from weblathe.sources import state
 from weblathe.streaming.crawl_stream import crawl_stream
@@ -136,6 +139,57 @@ def test_known_urls_of_an_earlier_run(spark):
     assert [x["status"] for x in again.log.collect()] == ["duplicate"]
 
 
+def test_orders_are_ranked_anew(spark, monkeypatch):
+    """The same links are processed, saved and counted, in the same order, whether orders are products or ranks."""
+    r = random.Random(7)
+    graph = {f"p{i}": [f"p{r.randrange(40)}" for _ in range(r.randint(0, 4))] for i in range(40)} | {"": ["p0", "p1", "p2"]}
+    pages, links = web(spark, graph)
+    got = []
+    for most in (1 << 62, 1):
+        monkeypatch.setattr(crawl_module, "MOST", most)
+        log = Crawl(pages, links, ["+"]).run(seeds(spark, [E])).log
+        rows = log.orderBy("depth", "order").select("depth", "order", "url", "prev.url", "status", "saved", "links_total", "links_followed").collect()
+        got.append([tuple(x)[:1] + tuple(x)[2:] for x in rows])
+        assert all(isinstance(x["order"], int) for x in rows)
+    assert got[0] == got[1] and max(x[0] for x in got[0]) > 2
+    ranks = crawl_module.ranked(spark.createDataFrame([(x * x,) for x in range(500)] * 2, "order long").repartition(5)).collect()
+    assert sorted((x["order"], x["rank"]) for x in ranks) == [(x * x, x) for x in range(500)]
+
+
+def test_posting_lists(spark):
+    """A url that every page links to lies in lists of bounded size that go on from each other; all users are there once, in order."""
+    rows = [("hot", f"p{i:04}") for i in range(1003)] * 2 + [(f"u{i}", f"p{i % 7}") for i in range(200)] + [("two", "a"), ("two", "b")]
+    got = mirror.usage_pages(spark.createDataFrame(rows, "url string, used_by string").repartition(6), 100).collect()
+    want = {}
+    for u, p in sorted(set(rows)):
+        want.setdefault(u, []).append(p)
+    for u, users in want.items():
+        lists = sorted((x for x in got if x["url"] == u), key=lambda x: x["page"])
+        assert [p for x in lists for p in x["used_by"]] == users and all(len(x["used_by"]) <= 100 for x in lists)
+        assert [x["next"] for x in lists] == [*range(1, len(lists)), None]
+
+
+def test_a_large_host_is_shared_out(spark):
+    """A host of many urls is dealt to several tasks, which together keep its rate; small hosts stay whole."""
+    rows = [(f"http://large.test/{i}",) for i in range(2000)] + [(f"http://small{i % 5}.test/{i}",) for i in range(50)]
+    got = web_source.shared_out(spark.createDataFrame(rows, "url string"), 300).groupBy("host", "share", "shares").count().collect()
+    large = [x for x in got if x["host"] == "large.test"]
+    assert len(large) == 7 and {x["shares"] for x in large} == {7} and max(x["count"] for x in large) < 400
+    assert sorted((x["host"], x["share"], x["shares"], x["count"]) for x in got if x["host"] != "large.test") == [(f"small{i}.test", 0, 1, 10) for i in range(5)]
+    now, waited = [0.0], []
+
+    def sleep(seconds):
+        waited.append(seconds)
+        now[0] += seconds
+
+    pace = web_source.Pace(14.0, lambda: now[0], sleep)
+    for _ in range(10):
+        pace.wait("large.test", 7)
+        pace.wait("small.test", 1)
+    assert abs(now[0] - 9 * 0.5) < 1e-9  # one of seven shares of 14 a second is 2 a second
+    web_source.Pace(None, lambda: 0.0, lambda s: 1 / 0).wait("large.test", 7)
+
+
 def test_no_seeds(spark):
     r, links = web(spark, {"": ["a"]})
     assert Crawl(r, links, ["+"]).run(seeds(spark, [])).log.count() == 0
@@ -143,7 +197,7 @@ def test_no_seeds(spark):
 
 def test_log_lines(spark):
     r, links = web(spark, {"": ["gone", "a"]}, status={"gone": 404})
-    got = crawl_log.lines(Crawl(r, links, ["+"]).run(seeds(spark, [E])).log).orderBy("order").select("line").collect()
+    got = crawl_log.lines(Crawl(r, links, ["+"]).run(seeds(spark, [E])).log).orderBy("depth", "order").select("line").collect()
     assert [x[0] for x in got] == ["⚑ http://example.org/ +2/2", "404 Not Found http://example.org/gone", "⚑ http://example.org/a"]
 
 

@@ -1,7 +1,7 @@
 """A crawl as a fixpoint of joins.
 
-The queue of a sequential spider is served in order of depth, so one wave is one depth. Every link has an order, the
-path of places that led to it; within a wave, the first link of a url that is to be saved decides: links before it and
+The queue of a sequential spider is served in order of depth, so one wave is one depth. Every link has an order, a number
+that tells its place among those of its wave: by its page's order, then by its place in the page. Within a wave, the first link of a url that is to be saved decides: links before it and
 itself are processed, later ones are duplicates. Nothing else depends on the order, so a wave is: drop what may not
 be followed, drop known urls, apply the follow rules that need no response, join what is known of the responses, apply the rest,
 replace redirecting links by their targets, drop errors, find the first saving link of each url by an aggregation, and expand.
@@ -28,6 +28,8 @@ from weblathe.operators.mirror import unchanged
 from weblathe.operators.store import folder, keep, kept
 from weblathe.plans.rules import FOLLOW, SAVE, STOP, RuleList, passes
 
+#: Orders are below this; a wave whose links would pass it ranks the pages of the wave before anew.
+MOST = 1 << 62
 PARTS = ["url", "scheme", "netloc", "port", "path", "params", "query", "fragment", "is_https"]
 #: status of a link in the log, and what becomes of it.
 STATUSES = ("no-download", "duplicate", "rule-deny", "connect-error", "redirect-error", "redirect", "http-error", "not-modified", "success", "not-expired")
@@ -40,7 +42,7 @@ class CrawlError(RuntimeError):
 @dataclass
 class Crawled:
     """log: a row per processed link: order, depth, url, status, saved, links_total, links_followed and the link's columns.
-    known(url, depth, order): urls that won't be processed again. redirects(url, code, target_url): the last one of each url that had any."""
+    order counts within a depth. known(url, depth, order): urls that won't be processed again. redirects(url, code, target_url): the last one of each url that had any."""
 
     log: DataFrame
     known: DataFrame
@@ -60,10 +62,10 @@ def seeds(spark: SparkSession, urls: list[str] | DataFrame, source: str | None =
     """Frontier of wave 0 of a list or a DataFrame (raw). source 'user' exempts seeds from the follow rules."""
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "n int, raw string") if isinstance(urls, list) else urls
     if "n" in rows.columns:
-        rows = rows.withColumn("order", F.array("n"))
+        rows = rows.withColumn("order", 2 * F.col("n").cast("long"))
     else:  # seeds in files have no order of their own: by url, in ranges of urls
         rows = kept(rows.distinct().repartitionByRange("raw").sortWithinPartitions("raw").withColumn("at", F.monotonically_increasing_id()))
-        rows = rows.withColumn("order", F.array(F.shiftright("at", 33).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).cast("int")))
+        rows = rows.withColumn("order", 2 * F.col("at"))
     here = rows.withColumn("original_url", U.normalise(F.col("raw"))).filter("original_url IS NOT NULL")
     here = with_parts(here)
     return here.select(
@@ -107,7 +109,7 @@ class Crawl:
         """known: (url, ...) of an earlier run."""
         spark = start.sparkSession
         self._place = place = f"{folder(spark)}/{uuid.uuid4().hex}"
-        before = (known.select("url") if known is not None else spark.createDataFrame([], "url string")).select("url", F.lit(-1).alias("depth"), F.array().cast("array<int>").alias("order"))
+        before = (known.select("url") if known is not None else spark.createDataFrame([], "url string")).select("url", F.lit(-1).alias("depth"), F.lit(-1).cast("long").alias("order"))
         self._prepare()
         frontier, seen, waves = start, before, 0
         while True:
@@ -121,18 +123,20 @@ class Crawl:
             seen = before.unionByName(waves_of(firsts, f"{place}/known").select("url", "depth", "order"))
             decided = self._decided(log, firsts)
             links = written(self._expand(decided, seen), f"{place}/links", waves)
-            frontier = _frontier(links.filter("queued"))
             if self.on_wave is not None:
                 self.on_wave(waves, decided, links)
-            if (self.max_depth is not None and waves >= self.max_depth) or frontier.isEmpty():
+            size = links.filter("queued").agg(F.max("p_order").alias("pages"), F.max("n").alias("places")).first()
+            if (self.max_depth is not None and waves >= self.max_depth) or size["pages"] is None:
                 break
+            frontier = _frontier(links.filter("queued"), size["pages"], size["places"])
             self._progress(log, firsts, waves)
             waves += 1
         log, firsts, self.expanded = (waves_of(df, f"{place}/{name}") for df, name in ((log, "log"), (firsts, "known"), (links, "links")))
-        totals = self.expanded.groupBy(F.col("p_order").alias("order")).agg(F.count(F.lit(1)).alias("links_total"), F.count_if("queued").alias("links_followed"))
-        done = self._decided(log, firsts).join(totals, "order", "left").na.fill(0, ["links_total", "links_followed"])
-        moved = log.filter("status = 'redirect'").groupBy("url").agg(F.max_by(F.struct(F.coalesce("redirect_code", F.lit(302)).alias("code"), "target_url"), "order").alias("r"))
-        return Crawled(done.drop("wave", "redirect_code", "target_url"), seen.groupBy("url").agg(F.min("depth").alias("depth"), F.min("order").alias("order")), waves + 1, moved.select("url", "r.code", "r.target_url"))
+        totals = self.expanded.groupBy(F.col("p_depth").alias("depth"), F.col("p_order").alias("order")).agg(F.count(F.lit(1)).alias("links_total"), F.count_if("queued").alias("links_followed"))
+        done = self._decided(log, firsts).join(totals, ["depth", "order"], "left").na.fill(0, ["links_total", "links_followed"])
+        moved = log.filter("status = 'redirect'").groupBy("url").agg(F.max_by(F.struct(F.coalesce("redirect_code", F.lit(302)).alias("code"), "target_url"), F.struct("depth", "order")).alias("r"))
+        first = seen.groupBy("url").agg(F.min(F.struct("depth", "order")).alias("k")).select("url", "k.depth", "k.order")
+        return Crawled(done.drop("wave", "redirect_code", "target_url"), first, waves + 1, moved.select("url", "r.code", "r.target_url"))
 
     def _prepare(self) -> None:
         self._asked_for = 0  # tables of responses so far
@@ -242,7 +246,7 @@ class Crawl:
         t = sources.withColumn("redirect_from", F.col("url")).withColumns({"raw": F.col("last_url"), "original_url": F.col("last_url")})
         t = with_parts(t.drop(*PARTS, "is_known", *self._fact_names(), "status_text")).filter("original_url IS NOT NULL")
         own = F.struct("url", "netloc", "path")  # the target of a seed is its own root
-        t = t.withColumn("order", F.concat("order", F.array(F.lit(-1)))).withColumn("root", F.when(F.col("prev").isNull(), own).otherwise(F.col("root")))
+        t = t.withColumn("order", F.col("order") + 1).withColumn("root", F.when(F.col("prev").isNull(), own).otherwise(F.col("root")))
         t = t.join(known.select("url").withColumn("is_known", F.lit(True)), "url", "left")
         facts = self._facts(t.filter("is_known IS NULL").select("url").distinct())
         t = t.join(facts, F.col("url") == F.col("fact_url"), "left")
@@ -307,9 +311,25 @@ def waves_of(one: DataFrame, place: str) -> DataFrame:
     return one.sparkSession.read.schema(one.schema).parquet(place)
 
 
-def _frontier(links: DataFrame) -> DataFrame:
+def ranked(orders: DataFrame) -> DataFrame:
+    """order and rank, from 0 without gaps, of orders(order). Ranges of orders are counted, and the driver sees one row a range."""
+    parts = kept(orders.distinct().repartitionByRange("order").sortWithinPartitions("order").select("order", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("turn")))
+    ends, shifts = 0, []
+    for r in parts.groupBy("part").agg(F.min("turn").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        shifts.append((r["part"], ends - r["first"]))
+        ends += r["n"]
+    shift = orders.sparkSession.createDataFrame(shifts, "part int, shift long")
+    return parts.join(shift, "part").select("order", (F.col("turn") + F.col("shift")).alias("rank"))
+
+
+def _frontier(links: DataFrame, pages: int, places: int) -> DataFrame:
+    """The queued links as links of the next wave. pages: the largest order of their pages; places: the largest place. Odd orders are for the targets of redirects."""
+    width = 2 * (places + 1)
+    if (pages + 1) * width >= MOST:
+        ranks = ranked(links.select(F.col("p_order").alias("order")))
+        links = links.join(ranks.select(F.col("order").alias("p_order"), "rank"), "p_order").withColumn("p_order", F.col("rank")).drop("rank")
     return links.select(
-        F.concat("p_order", F.array(F.col("n").cast("int"))).alias("order"), F.col("absolute").alias("raw"), "original_url", *PARTS,
+        (F.col("p_order") * width + 2 * F.col("n")).cast("long").alias("order"), F.col("absolute").alias("raw"), "original_url", *PARTS,
         (F.col("p_depth") + 1).alias("depth"), F.when(F.col("netloc") == F.col("p_netloc"), F.col("p_domain_depth") + 1).otherwise(0).alias("domain_depth"),
         F.struct(F.col("p_url").alias("url"), F.col("p_original").alias("original_url"), F.col("p_netloc").alias("netloc"), F.col("p_path").alias("path")).alias("prev"),
         F.col("p_root").alias("root"), "inline", "tag", "do_not_follow", "source", F.lit(None).cast("string").alias("redirect_from"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblathe.functions import text as T
@@ -64,6 +64,21 @@ def url_usage(links: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return rows.select(F.col("target").alias("url"), F.col("from_url").alias("used_by")).filter("url IS NOT NULL").distinct()
 
 
+def usage_pages(usage: DataFrame, rows: int = 10_000) -> DataFrame:
+    """(url, page, used_by, next): each url's users in order, as posting lists of at most so many, and the number of the list that goes on, if any.
+
+    Users are put in order by ranges of (url, user), so that those of a url that every page links to lie in many tasks; a url's places go on from range to range.
+    """
+    parts = usage.select("url", "used_by").distinct().repartitionByRange("url", "used_by").sortWithinPartitions("url", "used_by")
+    parts = kept(parts.select("url", "used_by", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("turn")))
+    runs = parts.groupBy("url", "part").agg(F.min("turn").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("url", "part", "first", before.alias("before"), F.sum("n").over(Window.partitionBy("url")).alias("all"))
+    placed = parts.join(runs, ["url", "part"]).withColumn("page", F.floor((F.col("turn") - F.col("first") + F.col("before")) / rows).cast("long"))
+    lists = placed.groupBy("url", "page", "all").agg(F.sort_array(F.collect_list("used_by")).alias("used_by"))
+    return lists.select("url", "page", "used_by", F.when((F.col("page") + 1) * rows < F.col("all"), F.col("page") + 1).alias("next"))
+
+
 def usage_sets(usage: DataFrame) -> DataFrame:
     return usage.groupBy("url").agg(F.sort_array(F.collect_set("used_by")).alias("used_by"))
 

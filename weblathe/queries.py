@@ -151,6 +151,19 @@ def rule_stop_actions(spark, sf_dir):
     return _rules(spark, sf_dir, ["-", "++path=/th*", "+depth>0", "--path=*e"])
 
 
+@query(f"""
+WITH {_L}, d AS (SELECT *, len(string_split(path, '/')) AS a, len(string_split(p_path, '/')) AS b FROM l),
+x AS (SELECT *, CASE WHEN netloc = p_netloc AND list_slice(string_split(path, '/'), 1, least(a, b)) = list_slice(string_split(p_path, '/'), 1, least(a, b)) THEN a - b END AS pd FROM d)
+SELECT page_id, n::INT AS n, netloc = p_netloc AS same, coalesce(pd > 0, false) AS below_root, true AS tagged, false AS other_tag FROM x
+""")
+def rule_provenance(spark, sf_dir):
+    """Tests of where a link was found: in its page's domain, below its root, by which tag."""
+    rule = lambda r: RuleList([r]).column()
+    return page_links(spark, sf_dir).select(
+        "page_id", "n", rule("+same-domain").alias("same"), rule("+path-distance-to-original>0").alias("below_root"), rule("+tag=a.*").alias("tagged"), rule("+tag=img.src").alias("other_tag"),
+    )
+
+
 @query(f"WITH {_U} SELECT page_id, (netloc GLOB '*.example.org' AND NOT netloc GLOB 'm.*') AS passed FROM u")
 def rule_glob_domain(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", RuleList(["-", "+domain=*.example.org", "-domain=m.*"]).column().alias("passed"))
@@ -519,16 +532,17 @@ def refetch_not_modified(spark, sf_dir):
     return mirror.unchanged(old, responses(spark, sf_dir)).select("page_id", "status")
 
 
-@query("SELECT page_id, make_timestamp(2030, 1, page_id % 28 + 1, 8, 0, 0) AS expires, page_id % 28 + 1 > 14 AS skipped FROM pages WHERE page_id % 2 = 0")
-def refetch_expires(spark, sf_dir, part="page_id % 2 = 0"):
+@query("SELECT page_id, make_timestamp(2030, 1, page_id % 28 + 1, 8, 0, 0) AS expires, page_id % 28 + 1 > 14 AS skipped FROM pages")
+def refetch_expires(spark, sf_dir):
+    """The expiry of all pages."""
     skip = mirror.skipped(False, True, "2030-01-14 12:00:00", F.col("expires"))
-    return _info(spark, sf_dir, part).select("page_id", F.col("expires").cast("timestamp_ntz").alias("expires"), skip.alias("skipped"))
+    return _info(spark, sf_dir, "true").select("page_id", F.col("expires").cast("timestamp_ntz").alias("expires"), skip.alias("skipped"))
 
 
-@query("SELECT page_id, make_timestamp(2030, 1, page_id % 28 + 1, 8, 0, 0) AS expires, page_id % 28 + 1 > 14 AS skipped FROM pages")
+@query(ORACLES["refetch_expires"])
 def refetch_expires_whole(spark, sf_dir):
-    """The expiry of all pages."""
-    return refetch_expires(spark, sf_dir, "true")
+    """As refetch_expires."""
+    return refetch_expires(spark, sf_dir)
 
 
 # Mirror tables
@@ -588,6 +602,40 @@ def mirror_links(spark, sf_dir) -> DataFrame:
     return mirror.link_targets(links, stored, none, links.select(F.col("target").alias("url")))
 
 
+@query(f"""
+WITH {_FILES}, n AS (SELECT count(*) AS n FROM pages), g AS (SELECT url, min(filename) AS filename FROM z WHERE page_id % 3 = 1 GROUP BY url),
+m AS (SELECT url, min(page_id) AS p FROM u GROUP BY url HAVING min(page_id) % 3 = 2),
+r AS (SELECT m.url, CASE WHEN p % 2 = 0 THEN 301 ELSE 302 END AS code, o.url AS target FROM m, n, u o WHERE o.page_id = (p * 11 + 5) % n),
+e AS (SELECT page_id, k, (page_id * 7 + k * 13 + 1) % n AS dst FROM u, n, range(0, 3) AS r(k)),
+t AS (SELECT e.page_id, e.k, string_split(s.filename, '/')[:-2] AS d, string_split(coalesce(g.filename, v.filename), '/') AS f, o.o, o.fragment, r.code, r.target
+  FROM e JOIN z s ON s.page_id = e.page_id JOIN u o ON o.page_id = e.dst LEFT JOIN g ON g.url = o.url LEFT JOIN r ON r.url = o.url LEFT JOIN g v ON v.url = r.target),
+k AS (SELECT *, list_max(list_filter(range(0, least(len(d), len(f) - 1) + 1), lambda i: d[1:i] = f[1:i])) AS same FROM t)
+SELECT page_id, k::INT AS n, CASE WHEN f IS NOT NULL THEN './' || repeat('../', (len(d) - same)::INT) || array_to_string(f[same + 1:], '/') || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END
+  WHEN code = 301 THEN target ELSE o END AS new FROM k
+""")
+def mirror_link_redirects(spark, sf_dir):
+    """Links to pages that are mirrored, and through redirects to such, and by permanent and temporary redirects to others."""
+    f = files(spark, sf_dir)
+    n = f.count()
+    edges = f.select("page_id", F.col("url").alias("from_url"), F.col("filename").alias("from_file"), F.posexplode(F.array(*[F.lit(k) for k in range(3)])).alias("n", "k"))
+    edges = edges.withColumn("dst", (F.col("page_id") * 7 + F.col("k") * 13 + 1) % n)
+    links = edges.join(f.select(F.col("page_id").alias("dst"), F.col("original_url").alias("absolute"), F.col("url").alias("target"), "fragment"), "dst")
+    stored = f.filter("page_id % 3 = 1").groupBy("url").agg(F.min("filename").alias("filename"))
+    moved = f.groupBy("url").agg(F.min("page_id").alias("p")).filter("p % 3 = 2").withColumn("dst", (F.col("p") * 11 + 5) % n)
+    moved = moved.join(f.select(F.col("page_id").alias("dst"), F.col("url").alias("target_url")), "dst").select("url", F.when(F.col("p") % 2 == 0, 301).otherwise(302).alias("code"), "target_url")
+    return mirror.link_targets(links, stored, moved, links.select(F.col("target").alias("url"))).select("page_id", F.col("n").cast("int").alias("n"), "new")
+
+
+@query(f"""
+WITH {_L}, p AS (SELECT DISTINCT url, p_url FROM l), q AS (SELECT url, p_url, (row_number() OVER (PARTITION BY url ORDER BY p_url) - 1) // 2 AS page, count(*) OVER (PARTITION BY url) AS n FROM p)
+SELECT url, page, array_to_string(list(p_url ORDER BY p_url), ' ') AS used_by, CASE WHEN (page + 1) * 2 < max(n) THEN page + 1 END AS next FROM q GROUP BY url, page
+""")
+def mirror_usage_pages(spark, sf_dir):
+    """Which pages hold a link to a url, in posting lists of at most two."""
+    links = page_links(spark, sf_dir).select(F.col("url").alias("target"), F.col("prev.url").alias("from_url"))
+    return mirror.usage_pages(mirror.url_usage(links), 2).select("url", "page", F.array_join("used_by", " ").alias("used_by"), "next")
+
+
 @query(f"""
 WITH {_FILES}, s AS (SELECT page_id, url, filename FROM z UNION ALL SELECT page_id, url, 'old/' || filename FROM z WHERE page_id % 4 = 0), m AS (SELECT url, min(filename) AS f FROM z WHERE page_id % 3 <> 0 GROUP BY url)
 SELECT DISTINCT s.url, s.filename, m.f IS NULL AS gone FROM s LEFT JOIN m ON s.url = m.url WHERE m.f IS NULL OR m.f <> s.filename

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +18,12 @@ SCHEMA = f"url string, final_url string, status int, headers map<string,string>,
 NAMES = ["url", "final_url", "status", "headers", "content", "redirects", "error", "redirect_code", "set_cookies"]
 ATTEMPTS = 7
 #: Names for user agents.
-AGENTS = {"firefox": "Mozilla/5.0 (X11; Linux x86_64; rv:128.0) Gecko/20100101 Firefox/128.0", "safari": "Mozilla/5.0 (Macintosh; Intel Mac OS X 14_5) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.5 Safari/605.1.15"}
+AGENTS = {
+    "firefox": "Mozilla/5.0 (X11; Linux x86_64; rv:128.0) Gecko/20100101 Firefox/128.0",
+    "safari": "Mozilla/5.0 (Macintosh; Intel Mac OS X 14_5) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.5 Safari/605.1.15",
+    "chrome": "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/126.0.0.0 Safari/537.36",
+    "ie": "Mozilla/5.0 (Windows NT 10.0; WOW64; Trident/7.0; rv:11.0) like Gecko",
+}
 
 
 class _Hops(urllib.request.HTTPRedirectHandler):
@@ -50,21 +56,50 @@ def fetch_one(url: str, agent: str, referer: str | None = None, etag: str | None
     return out
 
 
-def fetch(requests: DataFrame, agent: str = "firefox", partitions: int = 64, local: DataFrame | None = None) -> DataFrame:
-    """Responses of requests (url, and any of referer, etag, modified, post, cookies), a host's urls in one partition. local: responses of files, which aren't asked for."""
+def shared_out(requests: DataFrame, per_task: int) -> DataFrame:
+    """requests with host, share and shares: a host's urls are dealt to as many shares as it takes for each to have about per_task."""
+    rows = requests.withColumn("host", F.lower(F.regexp_extract("url", r"//([^/?#]*)", 1)))
+    many = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("shares")).filter("shares > 1")
+    rows = rows.join(many, "host", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    return rows.withColumn("share", F.pmod(F.xxhash64("url"), F.col("shares")).cast("int"))
+
+
+class Pace:
+    """Keeps a share of a host's requests apart, so that all shares together stay below its rate."""
+
+    def __init__(self, rate: float | None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rate, self.clock, self.sleep, self.due = rate, clock, sleep, {}
+
+    def wait(self, host: str, shares: int) -> None:
+        if not self.rate:
+            return
+        now = self.clock()
+        if self.due.get(host, now) > now:
+            self.sleep(self.due[host] - now)
+            now = self.due[host]
+        self.due[host] = now + shares / self.rate
+
+
+def fetch(requests: DataFrame, agent: str = "firefox", partitions: int = 64, local: DataFrame | None = None, per_task: int = 500, rate: float | None = None) -> DataFrame:
+    """Responses of requests (url, and any of referer, etag, modified, post, cookies). A host's urls are in one task, or in several if they are more than per_task, which
+    share out the host's rate (requests a second; None for as fast as it answers). local: responses of files, which aren't asked for."""
     if local is not None:
         files = local.join(requests.select("url"), "url", "left_semi")
-        asked = fetch(requests.join(local.select("url"), "url", "left_anti"), agent, partitions)
+        asked = fetch(requests.join(local.select("url"), "url", "left_anti"), agent, partitions, None, per_task, rate)
         return asked.unionByName(files.drop("file", "is_local"), allowMissingColumns=True)
     name = AGENTS.get(agent, agent)
     columns = [c for c in ("referer", "etag", "modified", "post", "cookies") if c in requests.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = Pace(rate)
         for batch in batches:
-            rows = batch.to_dict("records")
-            yield pd.DataFrame([fetch_one(row["url"], name, **{c: _given(row[c]) for c in columns}) for row in rows], columns=NAMES)
+            out = []
+            for row in batch.to_dict("records"):
+                pace.wait(row["host"], row["shares"])
+                out.append(fetch_one(row["url"], name, **{c: _given(row[c]) for c in columns}))
+            yield pd.DataFrame(out, columns=NAMES)
 
-    return requests.repartition(partitions, F.regexp_extract("url", r"//([^/?#]*)", 1)).mapInPandas(run, SCHEMA)
+    return shared_out(requests, per_task).repartition(partitions, "host", "share").mapInPandas(run, SCHEMA)
 
 
 def _given(value):

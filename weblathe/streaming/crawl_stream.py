@@ -26,7 +26,7 @@ def crawl_stream(seed_stream: DataFrame, crawl: Callable[[], Crawl], place: str,
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        schema = "url string, depth int, `order` array<int>, batch int"
+        schema = "url string, depth int, `order` bigint, batch int"
         earlier = spark.read.schema(schema).option("basePath", f"{place}/known").parquet(f"{place}/known").filter(F.col("batch") < number) if number else None
         if earlier is not None and "again" in batch.columns:
             renewed = batch.filter("again").select(U.canonical(U.normalise(F.col("raw"))).alias("url")).distinct()
