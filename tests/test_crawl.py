@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weblathe.operators import crawl as crawl_module
 from weblathe.operators import crawl_log, mirror
 from weblathe.operators.crawl import Crawl, CrawlError, seeds
+from weblathe.operators.known import Known
 from weblathe.plans.rules import response_rule
 from weblathe.sources import http as web_source
 from weblathe.sources import seeds as S
@@ -156,6 +157,31 @@ def test_orders_are_ranked_anew(spark, monkeypatch):
     assert sorted((x["order"], x["rank"]) for x in ranks) == [(x * x, x) for x in range(500)]
 
 
+def test_known_urls_in_buckets(spark, tmp_path):
+    """The same crawl, with what an earlier one knew; a wave's links meet the table without its being shuffled, however many waves have written to it."""
+    r = random.Random(9)
+    pages, links = web(spark, {f"p{i}": [f"p{r.randrange(30)}" for _ in range(3)] for i in range(30)} | {"": ["p0", "p1"]})
+    earlier = spark.createDataFrame([(E + "p3", 0, 0)], "url string, depth int, `order` bigint")
+    got = []
+    for buckets in (None, 5):
+        done = Crawl(pages, links, ["+"], buckets=buckets).run(seeds(spark, [E]), earlier)
+        got.append([sorted(map(repr, map(tuple, x.collect()))) for x in (done.log.select("depth", "order", "url", "status", "saved", "links_total", "links_followed"), done.known)])
+    assert got[0] == got[1] and any("p3" in x for x in got[1][1])
+    table = Known(spark, str(tmp_path), earlier, 5)
+    for wave in range(3):
+        table.add(spark.createDataFrame([(f"u{wave}-{i}", True, wave, i) for i in range(50)], "url string, own boolean, depth int, `order` bigint"), wave)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wave = spark.createDataFrame([(f"u{i % 3}-{i}",) for i in range(60)], "url string")
+        met = wave.join(table.rows().select("url").distinct().withColumn("is_known", F.lit(True)), "url", "left")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # that of the wave's links
+        assert met.filter("is_known").count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_posting_lists(spark):
     """A url that every page links to lies in lists of bounded size that go on from each other; all users are there once, in order."""
     rows = [("hot", f"p{i:04}") for i in range(1003)] * 2 + [(f"u{i}", f"p{i % 7}") for i in range(200)] + [("two", "a"), ("two", "b")]

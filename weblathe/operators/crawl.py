@@ -10,7 +10,7 @@ Responses are joined once a url, not once a link, and give only what is asked of
 response passes. Bodies never go through the joins of links.
 
 Every wave writes its links' fate, the urls that it made known, and what it leads to, before the next one reads them. Known urls are compared with
-each wave's links, so a wave costs in proportion to them too. A graph in which no page is saved may have no end: a wave that saves nothing
+each wave's links; in buckets, they stay where they are and only the links move. A graph in which no page is saved may have no end: a wave that saves nothing
 and meets no new url ends it with an error, unless rules about depth will end it.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblathe.functions import weburl as U
+from weblathe.operators.known import Known
 from weblathe.operators.mirror import unchanged
 from weblathe.operators.store import folder, keep, kept
 from weblathe.plans.rules import FOLLOW, SAVE, STOP, RuleList, passes
@@ -97,6 +98,8 @@ class Crawl:
     links_of: Callable[[DataFrame], DataFrame] | None = None
     #: (url, post): what is sent with the requests of these urls.
     posts: DataFrame | None = None
+    #: Buckets of the table of known urls; worth it where many waves meet a table too large to be broadcast.
+    buckets: int | None = None
     #: What gives requests their cookies and takes those of responses, wave by wave: has sent(requests) and take(responses).
     jar: object | None = None
     #: What else is to happen after each wave: on_wave(number, log of the wave, links that it leads to).
@@ -111,7 +114,8 @@ class Crawl:
         self._place = place = f"{folder(spark)}/{uuid.uuid4().hex}"
         before = (known.select("url") if known is not None else spark.createDataFrame([], "url string")).select("url", F.lit(-1).alias("depth"), F.lit(-1).cast("long").alias("order"))
         self._prepare()
-        frontier, seen, waves = start, before, 0
+        table = Known(spark, place, before, self.buckets)
+        frontier, seen, waves = start, table.rows() if self.buckets else before, 0
         while True:
             if self.max_waves is not None and waves >= self.max_waves:
                 raise CrawlError(f"not done after {self.max_waves} waves")
@@ -119,8 +123,8 @@ class Crawl:
             own = log.filter("may_save").groupBy("url").agg(F.min(F.struct("order", "depth", "redirect_from")).alias("m"))
             of_source = F.when(F.col("m.redirect_from").isNotNull(), F.struct(F.col("m.redirect_from").alias("url"), F.lit(False).alias("own")))
             urls = F.array_compact(F.array(F.struct("url", F.lit(True).alias("own")), of_source))
-            firsts = written(own.select(F.explode(urls).alias("u"), "m.depth", "m.order").select("u.url", "u.own", "depth", "order"), f"{place}/known", waves)
-            seen = before.unionByName(waves_of(firsts, f"{place}/known").select("url", "depth", "order"))
+            firsts = table.add(own.select(F.explode(urls).alias("u"), "m.depth", "m.order").select("u.url", "u.own", "depth", "order"), waves)
+            seen = table.rows()
             decided = self._decided(log, firsts)
             links = written(self._expand(decided, seen), f"{place}/links", waves)
             if self.on_wave is not None:
@@ -131,7 +135,8 @@ class Crawl:
             frontier = _frontier(links.filter("queued"), size["pages"], size["places"])
             self._progress(log, firsts, waves)
             waves += 1
-        log, firsts, self.expanded = (waves_of(df, f"{place}/{name}") for df, name in ((log, "log"), (firsts, "known"), (links, "links")))
+        log, self.expanded = (waves_of(df, f"{place}/{name}") for df, name in ((log, "log"), (links, "links")))
+        firsts = table.waves()
         totals = self.expanded.groupBy(F.col("p_depth").alias("depth"), F.col("p_order").alias("order")).agg(F.count(F.lit(1)).alias("links_total"), F.count_if("queued").alias("links_followed"))
         done = self._decided(log, firsts).join(totals, ["depth", "order"], "left").na.fill(0, ["links_total", "links_followed"])
         moved = log.filter("status = 'redirect'").groupBy("url").agg(F.max_by(F.struct(F.coalesce("redirect_code", F.lit(302)).alias("code"), "target_url"), F.struct("depth", "order")).alias("r"))
