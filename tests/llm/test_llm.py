@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +141,21 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert got[3] == "Text number 3 More of 21" and got[90] == got[91] == "" and got[92] == "a b < c d e"
 
 
+def test_formulas_stay():
+    assert [b[3] for b in site_style.parsed("<article><p>Let <math><mi>x</mi></math> be<p>so</article>")[3]] == ["Let x be", "so"]
+
+
+def test_pages_of_unclosed_tags(spark):
+    """Time and branches grow with the page, not with its square; all text stays."""
+    began = time.time()
+    _, _, above, blocks = site_style.parsed("".join(f"<div>x{i}" for i in range(20_000)))
+    assert time.time() - began < 2 and max(map(len, above.values())) <= site_style.DEEPEST + 1
+    assert [b[3] for b in blocks] == [f"x{i}" for i in range(20_000)]
+    rows = [(i, f"http://h/{i}", f"<p>{i}" + "".join(f"<div>x{k}" for k in range(3000))) for i in range(3)]
+    got = site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {" ".join([str(i), *(f"x{k}" for k in range(3000))]) for i in range(3)}
+
+
 def test_shared_lines_and_branches_go(spark):
     """Without marked articles and telling names: a line among paragraphs that pages share goes, as does a branch of shared blocks; variety in what is around doesn't matter."""
     page = lambda i: f"<div class=x><p>Start {i}</p>{''.join(f'<p>Line {i} {k}</p>' for k in range(i % 4))}<p>Shared closing line</p></div><div class=q><div><p>Call us</p></div><ul><li>One<li>Two</ul></div>"

@@ -13,6 +13,8 @@ comments) have no importance to begin with, as have elements outside the article
 only take PRIOR from the importance, but for classes of reader comments, adverts, newsletters and consent, and nothing without such a name goes. A name is a
 whole class, id or role; names of headings don't count.
 
+Elements nested deeper than DEEPEST levels belong to their ancestor's node at that level, so that pages of unclosed tags take linear time and a branch has a bounded length; their text stays.
+
 The tree is a table of (host, node), which grows with the hosts' templates: pages send the fingerprints of their nodes
 and blocks, these are counted by aggregation, and each page gets back what it loses: by a broadcast of all that is lost up to BROADCAST rows,
 beyond by a join on the page's fingerprint. No host's pages are gathered in one task. Pages are parsed twice, which takes less than
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,12 +47,13 @@ PRESENTATION = 0.1
 PRIOR = 0.3
 #: Pages that a node needs before the entropy of its contents says anything.
 PAGES = 8
+#: Levels of the tree: elements nested deeper belong to their ancestor's node at this level.
+DEEPEST = 256
 #: Rows (host, lost node or block) that are broadcast.
 BROADCAST = 100_000
 
 #: Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style textarea title noscript template iframe svg math select xmp noembed noframes".split()
 BLOCK = set("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary header footer nav aside form fieldset hr br center hgroup search dialog".split())
 ENDS_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 #: Which open elements a start tag closes, up to which ancestor.
@@ -70,7 +74,7 @@ STRICT_NAME = re.compile(
     r"(?:[_-]+(?:list|area|section|thread|form|wrapper|wrap|container|box|block|banner|slot|unit|signup|[0-9]+))*"
 )
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg|math|select|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg|select|xmp|noembed|noframes)\b[^>]*>.*?(?:</\1\s*[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -83,30 +87,35 @@ def parsed(page: str) -> tuple[bool, dict[int, list[str]], dict[int, tuple[int,
     Where a page has an article or main element, blocks outside it are noise.
     """
     out: list[tuple[int, bool, bool, bool, str]] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, node, noise, inside the article, named as noise there
+    # tag, node, noise (its own or above it), inside the article, named as noise there, place of the nearest block
+    stack: list[tuple[str, int, bool, bool, bool, int]] = [("", 0, False, False, False, 0)]
     tags: dict[int, list[str]] = {}
+    parents: dict[int, int] = {}
     above: dict[int, tuple[int, ...]] = {}
     words: list[str] = []
     known: dict = {}
+    opened: Counter = Counter()
 
     def flush():
         if words:
             if text := " ".join("".join(words).split()):
-                node, noise, inside, named = block()
-                out.append((node, noise, inside, named, text))
+                _, node, _, inside, named, _ = stack[stack[-1][5]]
+                if node not in above:
+                    chain = [node]
+                    while chain[-1]:
+                        chain.append(parents[chain[-1]])
+                    above[node] = tuple(chain)
+                out.append((node, stack[-1][2], inside, named, text))
             words.clear()
 
-    def block():
-        for i, (tag, node, noise, inside, named) in zip(range(len(stack), 0, -1), reversed(stack)):
-            if tag in BLOCK or not tag:
-                if node not in above:
-                    above[node] = tuple(x[1] for x in reversed(stack[:i]))
-                return node, noise or any(x[2] for x in stack), inside, named
-        raise AssertionError
+    def close(i):
+        for x in stack[i:]:
+            opened[x[0]] -= 1
+        del stack[i:]
 
     def put(text):
         if text:
-            if stack[-1][2] and not any(x[0] in BLOCK for x in stack[1:]):
+            if stack[-1][2] and not stack[-1][5]:
                 flush()
             words.append(html.unescape(text))
 
@@ -118,33 +127,30 @@ def parsed(page: str) -> tuple[bool, dict[int, list[str]], dict[int, tuple[int,
         if not tag:
             continue
         if m[2]:
-            if tag in ("p", "br") and not any(x[0] == tag for x in stack):
-                flush()
+            if not opened[tag]:
+                if tag in ("p", "br"):
+                    flush()
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if any(x[0] in BLOCK or x[2] for x in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
+            i = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag)
+            if stack[-1][2] or stack[-1][5] >= i:
+                flush()
+            close(i)
             continue
         if tag in BLOCK:
             flush()
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
+        if tag in ENDS_P and opened["p"]:
+            close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"))
         if tag in CLOSES:
             closes, up_to = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in up_to:
-                    break
-                if stack[i][0] in closes:
-                    del stack[i:]
-                    break
+            if any(opened[x] for x in closes):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in up_to:
+                        break
+                    if stack[i][0] in closes:
+                        close(i)
+                        break
         attrs = m[4]
-        _, parent, noise, inside, named = stack[-1]
+        _, parent, noise, inside, named, nearest = stack[-1]
         tags.setdefault(parent, []).append(tag)
         if tag in VOID:
             continue
@@ -158,10 +164,15 @@ def parsed(page: str) -> tuple[bool, dict[int, list[str]], dict[int, tuple[int,
             article = tag in ("article", "main") or names.get("role", "").lower() == "main"
             known[key] = (xxhash.xxh3_64_intdigest(label, parent), own, article and not own, telling and inside)
         node, own, article, telling = known[key]
-        tags.setdefault(node, []).append("")
+        if len(stack) > DEEPEST:
+            node = parent
+        else:
+            tags.setdefault(node, []).append("")
+            parents[node] = parent
         if own and not noise:
             flush()
-        stack.append((tag, node, noise or own, inside or (article and not noise), named or telling))
+        opened[tag] += 1
+        stack.append((tag, node, noise or own, inside or (article and not noise), named or telling, len(stack) if tag in BLOCK else nearest))
     put(page[at:])
     flush()
     marked = any(inside and not noise for _, noise, inside, _, _ in out)
