@@ -28,6 +28,8 @@ from weblathe.sources.files import compose, write_parts
 from weblathe.sources.seeds import from_files, local_files
 
 LISTS = ("follow", "save", "stop")
+#: Parts of a mirror's logs after which a run makes one of them.
+PARTS = 100
 #: The file of a run's log lines.
 LOG = ".state/log.txt"
 
@@ -108,6 +110,8 @@ def run(spark: SparkSession, options: argparse.Namespace, now: str | None = None
     now = now or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     start, local, posts = start_of(spark, options)
     old = kept(state.read(spark, options.path, "url_info"))
+    if state.next_part(spark, options.path) - state.first_part(spark, options.path) > PARTS:
+        state.compact(spark, options.path)
     part = state.next_part(spark, options.path)
     out = LiveMirror(spark, options.path, part, not options.no_link_conversion, options.backups)
     name = (lambda mime: filename()) if filename else (lambda mime: mirror.layout(options.layout)) if options.layout else None

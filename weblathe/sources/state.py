@@ -86,13 +86,11 @@ def log(spark: SparkSession, mirror: str, name: str) -> DataFrame:
 
 def next_part(spark: SparkSession, mirror: str) -> int:
     """The number after those of all logs' parts."""
-    numbers = [-1]
-    for name in LOGS:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path_of(mirror, name))
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(p):
-            numbers += [int(x.getPath().getName().partition("=")[2]) for x in fs.listStatus(p) if x.getPath().getName().startswith("part=")]
-    return max(numbers) + 1
+    return max((n for name in LOGS for n in _parts(spark, mirror, name)), default=-1) + 1
+
+
+def first_part(spark: SparkSession, mirror: str) -> int:
+    return min((n for name in LOGS for n in _parts(spark, mirror, name)), default=0)
 
 
 def _stored(spark: SparkSession, mirror: str) -> DataFrame:
@@ -120,6 +118,31 @@ def _documents(spark: SparkSession, mirror: str) -> DataFrame:
     return every.join(last, ["url", "filename", "part"], "left_semi").join(_stored(spark, mirror), ["url", "filename"], "left_semi").drop("part", "bucket")
 
 
+def _parts(spark: SparkSession, mirror: str, name: str) -> list[int]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path_of(mirror, name))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return [int(x.partition("=")[2]) for x in found if x.startswith("part=")]
+
+
+def compact(spark: SparkSession, mirror: str) -> None:
+    """Between runs: makes one part of each log, of what holds now. The new part is complete before the old ones go, and until they have gone the rows that are there twice
+    say the same, so a failure at any point loses nothing."""
+    part = next_part(spark, mirror)
+    now = {name: log(spark, mirror, name).drop("part").distinct() for name in ("usage", "backups")} | {"redirects": _redirects(spark, mirror), "documents": _documents(spark, mirror).withColumn("bucket", bucket(F.col("url")))}
+    for name, rows in now.items():
+        append(rows, mirror, name, part)
+    for name in ("encountered", *now, "deleted"):  # what was deleted goes last: nothing of it is left in documents then
+        for old in _parts(spark, mirror, name):
+            if old < part:
+                _remove(spark, f"{path_of(mirror, name)}/part={old}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 VIEWS = {"stored": _stored, "url_info": _url_info, "redirects": _redirects, "documents": _documents}
 
 
