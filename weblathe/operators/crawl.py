@@ -31,6 +31,8 @@ from weblathe.plans.rules import FOLLOW, SAVE, STOP, RuleList, passes
 
 #: Orders are below this; a wave whose links would pass it ranks the pages of the wave before anew.
 MOST = 1 << 62
+#: Tests of responses that headers are enough for.
+HEADERS_ONLY = {"size", "content-type"}
 PARTS = ["url", "scheme", "netloc", "port", "path", "params", "query", "fragment", "is_https"]
 #: status of a link in the log, and what becomes of it.
 STATUSES = ("no-download", "duplicate", "rule-deny", "connect-error", "redirect-error", "redirect", "http-error", "not-modified", "success", "not-expired")
@@ -98,6 +100,8 @@ class Crawl:
     links_of: Callable[[DataFrame], DataFrame] | None = None
     #: (url, post): what is sent with the requests of these urls.
     posts: DataFrame | None = None
+    #: map<string,string> over links: headers that the request for a url has, as the first link to it says.
+    request_headers: Column | None = None
     #: Buckets of the table of known urls; worth it where many waves meet a table too large to be broadcast.
     buckets: int | None = None
     #: What gives requests their cookies and takes those of responses, wave by wave: has sent(requests) and take(responses).
@@ -145,6 +149,8 @@ class Crawl:
 
     def _prepare(self) -> None:
         self._asked_for = 0  # tables of responses so far
+        about = {r.test.name for r in self.follow.rules if r.test.kind == "R"}
+        self._heads = self.fetch is not None and bool(about) and about <= HEADERS_ONLY
         if self.fetch is not None:
             self._hops = True
         elif self.url_info is not None and {"etag", "last_modified"} <= set(self.url_info.columns):
@@ -175,27 +181,39 @@ class Crawl:
         new = kept(with_parts(links.withColumn("original_url", U.normalise(F.col("absolute"))).filter("original_url IS NOT NULL")))
         self._resolved = new if self._resolved is None else self._resolved.unionByName(new)
 
-    def _responses_of(self, urls: DataFrame) -> DataFrame:
-        """From the table, or from the web: what comes from there is written before anything else reads it, so nothing is asked for twice."""
+    def _to_ask(self, links: DataFrame) -> DataFrame:
+        """The distinct urls of links; on the live web, each with the page that its first link is on, and that link's headers."""
+        if self.fetch is None:
+            return links.select("url").distinct()
+        own = [F.col("prev.original_url").alias("referer")] + ([self.request_headers.alias("extra")] if self.request_headers is not None else [])
+        return links.groupBy("url").agg(F.min_by(F.struct(*own), "order").alias("r")).select("url", "r.*")
+
+    def _responses_of(self, urls: DataFrame, head: bool = False) -> DataFrame:
+        """From the table, or from the web: what comes from there is written before anything else reads it, so nothing is asked for twice. head: headers only."""
         if self.fetch is None:
             return self.responses
+        asked = urls.columns
         if self.url_info is not None:
             old = self.url_info.select(F.col("url").alias("old_url"), "etag", F.col("last_modified").alias("modified"), F.struct(*[c for c in self.url_info.columns if c != "links"]).alias("old"))
             urls = urls.join(old, F.col("url") == F.col("old_url"), "left")
             if self.skip is not None:
                 urls = urls.filter(~F.coalesce(F.col("old").isNotNull() & self.skip, F.lit(False)))
-            urls = urls.select("url", "etag", "modified")
-        if self.posts is not None:
+            urls = urls.select(*asked, "etag", "modified")
+        if head:
+            urls = urls.withColumn("method", F.lit("HEAD"))
+        elif self.posts is not None:
             urls = urls.join(self.posts.select("url", "post"), "url", "left")
         if self.jar is not None:
             urls = self.jar.sent(urls)
-        keep(_coded(self.fetch(urls)), f"{self._place}/responses/part={self._asked_for}")
+        spark, part = urls.sparkSession, f"{self._place}/{'heads' if head else 'responses'}/part={self._asked_for}"
+        keep(_coded(self.fetch(urls)), part)
         self._asked_for += 1
-        spark = urls.sparkSession
-        self.responses = spark.read.parquet(f"{self._place}/responses").drop("part")
-        new = spark.read.parquet(f"{self._place}/responses/part={self._asked_for - 1}")
+        new = spark.read.parquet(part)
         if self.jar is not None:
             self.jar.take(new)
+        if head:
+            return new
+        self.responses = spark.read.parquet(f"{self._place}/responses").drop("part")
         self._resolve(self.links_of(new.filter(F.col("status") < 300)).withColumn("stored", F.lit(False)))
         return new
 
@@ -206,10 +224,10 @@ class Crawl:
         if log.select("url").distinct().join(earlier, "url", "left_anti").isEmpty():
             raise CrawlError("pages that aren't saved are never known, and these lead to each other without end")
 
-    def _facts(self, urls: DataFrame) -> DataFrame:
+    def _facts(self, urls: DataFrame, head: bool = False) -> DataFrame:
         """Of distinct urls: what their responses, and the previous run, say that a decision needs."""
-        r = self._responses_of(urls).withColumnRenamed("url", "response_url")
-        got = urls.join(r, F.col("url") == F.col("response_url"), "left")
+        r = self._responses_of(urls, head).withColumnRenamed("url", "response_url")
+        got = urls.select("url").join(r, F.col("url") == F.col("response_url"), "left")
         got = got.select("url", "status", "error", "redirect_code", F.coalesce(F.size("redirects") > 0, F.lit(False)).alias("hops"), self._last.alias("last_url"), *self._passed)
         if self.url_info is not None and self.skip is not None:
             names = [c for c in self.url_info.columns if c not in ("url", "links")]
@@ -232,7 +250,15 @@ class Crawl:
         if "R" not in self.follow.kinds:  # decided before anything is requested
             early = F.coalesce(early, F.when(self._denied, "rule-deny"))
         f = f.withColumn("status_text", early)
-        facts = self._facts(f.filter("status_text IS NULL").select("url").distinct())
+        pending = f.filter("status_text IS NULL")
+        if self._heads:  # only what the headers let through is asked for in full; an error stands, and what the user gave needs no leave
+            heads = self._facts(self._to_ask(pending.filter("source IS DISTINCT FROM 'user'")), True)
+            told = pending.join(heads, F.col("url") == F.col("fact_url"), "left")
+            failed = (F.col("status") >= 400) | F.col("error").isNotNull() | F.col("unasked")
+            full = self._facts(self._to_ask(told.filter(~self._denied & ~F.coalesce(failed, F.lit(False)))))
+            facts = kept(full.unionByName(heads.join(full.select("fact_url"), "fact_url", "left_anti")))
+        else:
+            facts = self._facts(self._to_ask(pending))
         f = f.join(facts, (F.col("url") == F.col("fact_url")) & F.col("status_text").isNull(), "left")
         if "R" in self.follow.kinds:
             f = f.withColumn("status_text", F.coalesce("status_text", F.when(self._denied, "rule-deny")))
@@ -253,7 +279,7 @@ class Crawl:
         own = F.struct("url", "netloc", "path")  # the target of a seed is its own root
         t = t.withColumn("order", F.col("order") + 1).withColumn("root", F.when(F.col("prev").isNull(), own).otherwise(F.col("root")))
         t = t.join(known.select("url").withColumn("is_known", F.lit(True)), "url", "left")
-        facts = self._facts(t.filter("is_known IS NULL").select("url").distinct())
+        facts = self._facts(self._to_ask(t.filter("is_known IS NULL")))
         t = t.join(facts, F.col("url") == F.col("fact_url"), "left")
         state = F.when(F.col("is_known"), "duplicate").when(self._target_denied, "rule-deny").when(F.col("hops"), "redirect-error")
         return t.withColumn("status_text", state)

@@ -6,12 +6,14 @@ dst = (page_id * 7 + k * 13 + 1) % N for k in 0..2.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblathe.functions import text as T
 from weblathe.functions import weburl as U
-from weblathe.operators import crawl_log, extract, mirror
+from weblathe.operators import crawl_log, events, extract, mirror
 from weblathe.operators.crawl import Crawl, Crawled, seeds, with_parts
 from weblathe.operators.store import kept
 from weblathe.plans.rules import RuleList
@@ -393,11 +395,14 @@ c{d + 1} AS (SELECT v.canon AS dst, list_append(p.ord, e.k::INT) AS ord, p.depth
     return "".join(out) + ", w AS (" + " UNION ALL ".join(f"SELECT * FROM w{d}" for d in range(depth + 1)) + ")" + extra
 
 
-def fixpoint(follow: str = "true", stop: str = "false", broken: str = "false") -> str:
+_EDGES = "SELECT page_id AS src, k, (page_id * 7 + k * 13 + 1) % n AS dst FROM u, n, range(0, 3) AS r(k)"
+
+
+def fixpoint(follow: str = "true", stop: str = "false", broken: str = "false", edges: str = _EDGES) -> str:
     """SQL of a crawl to its end in which every page without an error is saved: w has a row per saved page. Conditions are over c, as above."""
     row = "c.dst, c.ord, c.depth, c.domain_depth, c.inline, c.netloc, c.path"
     return f"""
-WITH RECURSIVE {_U}, n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, k, (page_id * 7 + k * 13 + 1) % n AS dst FROM u, n, range(0, 3) AS r(k)),
+WITH RECURSIVE {_U}, n AS (SELECT count(*) AS n FROM pages), e AS ({edges}),
 q AS (SELECT u.page_id, min(u2.page_id) AS canon FROM u JOIN u u2 ON u.url = u2.url GROUP BY u.page_id),
 v AS (SELECT u.page_id, canon, netloc, path FROM u JOIN q ON u.page_id = q.page_id),
 w(dst, ord, depth, domain_depth, inline, netloc, path, bail) USING KEY (dst) AS (
@@ -516,6 +521,48 @@ def log_counters(spark, sf_dir):
     return crawl_log.counters(crawled(spark, sf_dir, change=broken).log).select("saved", "errors")
 
 
+@query(fixpoint(follow="NOT c.path GLOB '/fr/*'") + """,
+p AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM w x WHERE x.dst = o.to_dst AND (x.depth < o.depth OR (x.depth = o.depth AND x.ord <= o.ord)))),
+l AS (SELECT 0 AS depth, 1 AS links, 0 AS denied UNION ALL SELECT depth + 1, count(*), count(*) FILTER (to_path GLOB '/fr/*') FROM p GROUP BY depth),
+s AS (SELECT depth, count(*) AS saved FROM w GROUP BY depth), f AS (SELECT depth, count(*) AS followed FROM p GROUP BY depth), t AS (SELECT depth, count(*) AS total FROM o GROUP BY depth),
+a AS (SELECT l.*, coalesce(saved, 0) AS saved, total, followed FROM l LEFT JOIN s ON s.depth = l.depth LEFT JOIN t ON t.depth = l.depth LEFT JOIN f ON f.depth = l.depth),
+r AS (SELECT depth, unnest([
+  {'event': 'added_to_queue', 'state': NULL, 'events': links, 'followed': NULL, 'total': NULL}, {'event': 'taken_by_processor', 'state': NULL, 'events': links, 'followed': NULL, 'total': NULL},
+  {'event': 'follow_state_changed', 'state': 'success', 'events': saved, 'followed': NULL, 'total': NULL}, {'event': 'follow_state_changed', 'state': 'rule-deny', 'events': denied, 'followed': NULL, 'total': NULL},
+  {'event': 'follow_state_changed', 'state': 'duplicate', 'events': links - saved - denied, 'followed': NULL, 'total': NULL}, {'event': 'save_state_changed', 'state': 'saved', 'events': saved, 'followed': NULL, 'total': NULL},
+  {'event': 'bail_state_changed', 'state': NULL, 'events': saved, 'followed': coalesce(followed, 0), 'total': coalesce(total, 0)}, {'event': 'completed', 'state': NULL, 'events': links, 'followed': NULL, 'total': NULL}]) AS e FROM a)
+SELECT depth::INT AS depth, e.event AS event, e.state AS state, e.events::BIGINT AS events, e.followed::BIGINT AS followed, e.total::BIGINT AS total FROM r WHERE e.events > 0
+""")
+def crawl_events(spark, sf_dir):
+    """What an observer is told of links, by the depth of the link."""
+    r, links = web(spark, sf_dir)
+    start = seeds(spark, r.filter("page_id = 0").select(F.col("original_url").alias("raw"), F.lit(0).alias("n")))
+    told: list[DataFrame] = []
+    Crawl(r.drop("page_id", "original_url"), links, follow=["+", "-path=/fr/*"], on_wave=lambda n, log, found: told.append(events.events_of(log, found))).run(start)
+    d = "details."
+    state = F.coalesce(F.col(d + "skipped"), F.col(d + "failed"), F.when(F.col(d + "success"), "success"), F.when(F.col(d + "saved"), "saved"))
+    rows = reduce(DataFrame.unionByName, told).groupBy("link.depth", "event", state.alias("state"))
+    return rows.agg(F.count(F.lit(1)).alias("events"), F.sum(d + "links_followed").alias("followed"), F.sum(d + "links_total").alias("total"))
+
+
+_STORED = "SELECT page_id AS src, k, CASE WHEN page_id % 3 = 0 THEN (page_id * 5 + k * 3 + 2) % n ELSE (page_id * 7 + k * 13 + 1) % n END AS dst FROM u, n, range(0, 3) AS r(k) WHERE page_id % 3 <> 0 OR k < 2"
+
+
+@query(fixpoint(edges=_STORED) + " SELECT dst AS page_id, depth::INT AS depth, CASE WHEN dst % 3 = 0 THEN 'not-modified' ELSE 'success' END AS status FROM w")
+def crawl_stored_links(spark, sf_dir):
+    """Every third page is as an earlier run knew it: its links are those that were stored then."""
+    r, links = web(spark, sf_dir)
+    n = table(spark, sf_dir, "pages").count()
+    old = r.filter("page_id % 3 = 0").select("page_id", "url", F.try_element_at("headers", F.lit("etag")).alias("etag"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    to = pages(spark, sf_dir).select(F.col("page_id").alias("dst"), F.col("original_url").alias("absolute"))
+    link = F.struct(F.col("absolute").alias("url"), F.lit(False).alias("inline"), F.lit("a.href").alias("tag"), F.lit(False).alias("do_not_follow"), F.lit(None).cast("string").alias("source"))
+    found = old.withColumn("dst", (F.col("page_id") * 5 + F.col("k") * 3 + 2) % n).join(to, "dst").groupBy("url", "etag").agg(F.sort_array(F.collect_list(F.struct("k", link.alias("link")))).alias("found"))
+    info = kept(found.select("url", "etag", F.lit(None).cast("string").alias("last_modified"), F.transform("found", lambda x: x["link"]).alias("links")))
+    start = seeds(spark, r.filter("page_id = 0").select(F.col("original_url").alias("raw"), F.lit(0).alias("n")))
+    done = Crawl(r.drop("page_id", "original_url"), links, follow=["+"], url_info=info).run(start)
+    return _page_of(spark, sf_dir, done.saved).select("page_id", "depth", "status")
+
+
 # Requests to an existing mirror
 
 

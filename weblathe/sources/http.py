@@ -37,16 +37,17 @@ class _Hops(urllib.request.HTTPRedirectHandler):
         return super().redirect_request(req, fp, code, msg, headers, newurl)
 
 
-def fetch_one(url: str, agent: str, referer: str | None = None, etag: str | None = None, modified: str | None = None, post: dict | None = None, cookies: list[dict] | None = None, timeout: float = 30) -> dict:
-    """The response of a url; error is 'connect' or 'redirect' where there is none. cookies: what is sent; set_cookies: what servers set."""
+def fetch_one(url: str, agent: str, referer: str | None = None, etag: str | None = None, modified: str | None = None, post: dict | None = None, cookies: list[dict] | None = None, extra: dict | None = None, method: str | None = None, timeout: float = 30) -> dict:
+    """The response of a url; error is 'connect' or 'redirect' where there is none. extra: more headers. cookies: what is sent; set_cookies: what servers set."""
     headers = {k: v for k, v in (("User-Agent", agent), ("Referer", referer), ("If-None-Match", etag), ("If-Modified-Since", modified)) if v}
+    headers = {k.title(): v for k, v in headers.items()} | {k.title(): v for k, v in (extra or {}).items()}
     out = {"url": url, "final_url": url, "status": None, "headers": {}, "content": None, "redirects": [], "error": "connect", "redirect_code": None, "set_cookies": []}
     for _ in range(ATTEMPTS):
         hops, carried = _Hops(), Carried(cookies)
         opener = urllib.request.build_opener(hops, carried)
         try:
             data = urllib.parse.urlencode(post).encode() if post else None
-            with opener.open(urllib.request.Request(url, data, headers), timeout=timeout) as r:
+            with opener.open(urllib.request.Request(url, data, headers, method=method), timeout=timeout) as r:
                 return out | {"final_url": r.url, "status": r.status, "headers": {k.lower(): v for k, v in r.headers.items()}, "content": r.read(), "redirects": hops.seen, "error": None, "redirect_code": hops.code, "set_cookies": carried.set_cookies}
         except urllib.error.HTTPError as e:
             loop = e.code in (301, 302, 303, 307, 308)
@@ -81,14 +82,14 @@ class Pace:
 
 
 def fetch(requests: DataFrame, agent: str = "firefox", partitions: int = 64, local: DataFrame | None = None, per_task: int = 500, rate: float | None = None) -> DataFrame:
-    """Responses of requests (url, and any of referer, etag, modified, post, cookies). A host's urls are in one task, or in several if they are more than per_task, which
+    """Responses of requests (url, and any of referer, etag, modified, post, cookies, extra, method). A host's urls are in one task, or in several if they are more than per_task, which
     share out the host's rate (requests a second; None for as fast as it answers). local: responses of files, which aren't asked for."""
     if local is not None:
         files = local.join(requests.select("url"), "url", "left_semi")
         asked = fetch(requests.join(local.select("url"), "url", "left_anti"), agent, partitions, None, per_task, rate)
         return asked.unionByName(files.drop("file", "is_local"), allowMissingColumns=True)
     name = AGENTS.get(agent, agent)
-    columns = [c for c in ("referer", "etag", "modified", "post", "cookies") if c in requests.columns]
+    columns = [c for c in ("referer", "etag", "modified", "post", "cookies", "extra", "method") if c in requests.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pace = Pace(rate)
