@@ -20,7 +20,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weblathe.functions import weburl as U
@@ -116,7 +116,7 @@ class Crawl:
         """known: (url, ...) of an earlier run."""
         spark = start.sparkSession
         self._place = place = f"{folder(spark)}/{uuid.uuid4().hex}"
-        before = (known.select("url") if known is not None else spark.createDataFrame([], "url string")).select("url", F.lit(-1).alias("depth"), F.lit(-1).cast("long").alias("order"))
+        before = (known.select("url").distinct() if known is not None else spark.createDataFrame([], "url string")).select("url", F.lit(-1).alias("depth"), F.lit(-1).cast("long").alias("order"))
         self._prepare()
         table = Known(spark, place, before, self.buckets)
         frontier, seen, waves = start, table.rows() if self.buckets else before, 0
@@ -130,10 +130,12 @@ class Crawl:
             firsts = table.add(own.select(F.explode(urls).alias("u"), "m.depth", "m.order").select("u.url", "u.own", "depth", "order"), waves)
             seen = table.rows()
             decided = self._decided(log, firsts)
-            links = written(self._expand(decided, seen), f"{place}/links", waves)
+            queue = Observation()
+            links = self._expand(decided, seen).observe(queue, F.max(F.when(F.col("queued"), F.col("p_order"))).alias("pages"), F.max(F.when(F.col("queued"), F.col("n"))).alias("places"))
+            links = written(links, f"{place}/links", waves)
             if self.on_wave is not None:
                 self.on_wave(waves, decided, links)
-            size = links.filter("queued").agg(F.max("p_order").alias("pages"), F.max("n").alias("places")).first()
+            size = queue.get or links.filter("queued").agg(F.max("p_order").alias("pages"), F.max("n").alias("places")).first()
             if (self.max_depth is not None and waves >= self.max_depth) or size["pages"] is None:
                 break
             frontier = _frontier(links.filter("queued"), size["pages"], size["places"])
@@ -226,8 +228,11 @@ class Crawl:
 
     def _facts(self, urls: DataFrame, head: bool = False) -> DataFrame:
         """Of distinct urls: what their responses, and the previous run, say that a decision needs."""
-        r = self._responses_of(urls, head).withColumnRenamed("url", "response_url")
-        got = urls.select("url").join(r, F.col("url") == F.col("response_url"), "left")
+        if self.fetch is None and not self._asked and self.skip is None:  # nothing is computed of a response, so links may meet the table as it is
+            got = self.responses
+        else:
+            r = self._responses_of(urls, head).withColumnRenamed("url", "response_url")
+            got = urls.select("url").join(r, F.col("url") == F.col("response_url"), "left")
         got = got.select("url", "status", "error", "redirect_code", F.coalesce(F.size("redirects") > 0, F.lit(False)).alias("hops"), self._last.alias("last_url"), *self._passed)
         if self.url_info is not None and self.skip is not None:
             names = [c for c in self.url_info.columns if c not in ("url", "links")]
@@ -238,7 +243,7 @@ class Crawl:
         return got.withColumnRenamed("url", "fact_url")
 
     def _wave(self, frontier: DataFrame, known: DataFrame) -> DataFrame:
-        known = known.select("url").distinct()
+        known = known.select("url").distinct() if self._hops else known.select("url")  # a url is there twice only if redirects lead to it too
         f = frontier.join(known.withColumn("is_known", F.lit(True)), "url", "left")
         if "M" in self.follow.kinds | self.save.kinds | self.stop.kinds:
             before = known.select(F.col("url").alias("prev_url"), F.lit(True).alias("prev_encountered"))
@@ -317,7 +322,8 @@ class Crawl:
             F.col("order").alias("p_order"), F.col("depth").alias("p_depth"), F.col("domain_depth").alias("p_domain_depth"), F.col("root").alias("p_root"), stored.alias("p_stored"),
         )
         links = parent.join(self._resolved, (F.col("p_url") == F.col("from_url")) & (F.col("p_stored") == F.col("stored"))).drop("p_stored", "stored")
-        seen = known.groupBy(F.col("url").alias("k_url")).agg(F.min(F.struct("depth", "order")).alias("k"))
+        at = F.struct("depth", "order")
+        seen = known.groupBy(F.col("url").alias("k_url")).agg(F.min(at).alias("k")) if self._hops else known.select(F.col("url").alias("k_url"), at.alias("k"))
         links = links.join(seen, F.col("url") == F.col("k_url"), "left")
         earlier = F.col("k_url").isNotNull() & (F.col("k") <= F.struct(F.col("p_depth").alias("depth"), F.col("p_order").alias("order")))
         return links.withColumn("queued", ~earlier).drop("k_url", "k")
