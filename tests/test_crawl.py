@@ -255,9 +255,8 @@ def test_seeds_from_text(spark, tmp_path):
 def test_state(spark, tmp_path):
     m = str(tmp_path)
     assert not state.is_mirror(spark, m)
-    for names in (["a"], ["b"]):
-        new = spark.createDataFrame([("u", n) for n in names], "url string, filename string")
-        state.write(mirror.upsert(state.read(spark, m, "stored"), new), m, "stored")
+    for part, name in enumerate("ab"):  # a url that is stored under one name, later under another
+        state.append(spark.createDataFrame([("u", name, 0)], "url string, filename string, bucket int").select(*[F.col(f.name) if f.name in ("url", "filename", "bucket") else F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema_of("documents")]), m, "documents", part)
     assert state.is_mirror(spark, m) and sorted(r["filename"] for r in state.read(spark, m, "stored").collect()) == ["a", "b"]
     state.write_options(spark, m, {"follow": ["+"]})
     assert state.options(spark, m) == {"follow": ["+"]}
