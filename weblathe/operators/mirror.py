@@ -152,11 +152,11 @@ def index_page(stored: DataFrame, buckets: int = 16) -> DataFrame:
     return joined.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "html"))), lambda x: x["html"]), "").alias("html"))
 
 
-def unchanged(info: DataFrame, responses: DataFrame) -> DataFrame:
-    """info's urls with what a conditional request gets: 304 if the stored etag or date is still the response's."""
-    old = info.select("url", F.col("etag").alias("old_etag"), F.col("last_modified").alias("old_date"))
+def unchanged(info: DataFrame, responses: DataFrame, key: str = "url") -> DataFrame:
+    """responses with what a conditional request gets: 304 if the etag or date that info (a row per key) has stored is still the response's."""
+    old = info.select(key, F.col("etag").alias("old_etag"), F.col("last_modified").alias("old_date"))
     same = (F.col("old_etag") == F.try_element_at("headers", F.lit("etag"))) | (F.col("old_date") == F.try_element_at("headers", F.lit("last-modified")))
-    return responses.join(old, "url", "left").withColumn("status", F.when(F.coalesce(same, F.lit(False)), 304).otherwise(F.col("status"))).drop("old_etag", "old_date")
+    return responses.join(old, key, "left").withColumn("status", F.when(F.coalesce(same, F.lit(False)), 304).otherwise(F.col("status"))).drop("old_etag", "old_date")
 
 
 def skipped(no_check: bool, trust_expires: bool, run_ts: str, expires: Column) -> Column:
