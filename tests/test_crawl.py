@@ -274,3 +274,20 @@ def test_stream(spark, tmp_path):
     assert known == {"": 0, "a": 0, "z": 1}
     changed = {x["url"].removeprefix(E): x["batch"] for x in spark.read.parquet(str(tmp_path / "out/changed")).collect()}
     assert changed == {"a": 1}  # it links to z
+
+
+def test_bodies_are_read_once_in_a_crawl(spark):
+    """However many waves it has; and a rule passes as before where there is no response at all."""
+    r, links = web(spark, {"": ["a", "z"], "a": ["b"], "b": ["c"], "c": ["d"], "d": []})
+    times = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def body(url):
+        times.add(1)
+        return b"x"
+
+    r = r.filter(F.col("url") != E + "z").coalesce(1).cache()
+    done = Crawl(r.withColumn("content", body("url")), links, ["+", "-content=y", "-size!=1"]).run(seeds(spark, [E]))
+    assert saved(done) == ["", "a", "b", "c", "d"]
+    assert done.log.filter(F.col("url") == E + "z").first()["status"] == "rule-deny"
+    assert times.value <= 2 * r.count()  # once a rule

@@ -6,8 +6,8 @@ itself are processed, later ones are duplicates. Nothing else depends on the ord
 be followed, drop known urls, apply the follow rules that need no response, join what is known of the responses, apply the rest,
 replace redirecting links by their targets, drop errors, find the first saving link of each url by an aggregation, and expand.
 
-Responses are joined once a url, not once a link, and give only what is asked of them: status, redirects, and whether each rule about a
-response passes. Bodies never go through the joins of links.
+Responses give only what is asked of them: status, redirects, and whether each rule about a response passes. Of a table of responses this is written
+once, before the first wave, so bodies are read once in a crawl, and never go through the joins of links.
 
 Every wave writes its links' fate, the urls that it made known, and what it leads to, before the next one reads them. Known urls are compared with
 each wave's links; in buckets, they stay where they are and only the links move. A graph in which no page is saved may have no end: a wave that saves nothing
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from weblathe.functions import weburl as U
 from weblathe.operators.known import Known
@@ -159,7 +160,6 @@ class Crawl:
             self.responses = unchanged(self.url_info, self.responses)
         if self.fetch is None:
             self.responses = _coded(self.responses)
-            self._hops = not self.responses.filter(F.size("redirects") > 0).isEmpty()
         links = [self.links.withColumn("stored", F.lit(False))] if self.links is not None else []
         if self.url_info is not None and "links" in self.url_info.columns:
             old = self.url_info.select(F.col("url").alias("from_url"), F.posexplode("links").alias("n", "l"))
@@ -170,15 +170,29 @@ class Crawl:
         rules = {r.source: r for x in (self.follow, self.save, self.stop) for r in x.rules if r.test.kind == "R"}
         self._asked = {source: (f"passes_{i}", rule) for i, (source, rule) in enumerate(rules.items())}
         self._given = {source: F.coalesce(F.col(name), F.lit(False)) for source, (name, _) in self._asked.items()}
+        self._passed = [passes(rule).alias(name) for name, rule in self._asked.values()]
+        if self.fetch is None:
+            self._answer()
         # Columns that every wave uses are made once: making them takes longer than a small wave's jobs.
         user = F.coalesce(F.col("source") == "user", F.lit(False))
         self._denied = ~(user | (self.follow.column(F.coalesce("hops", F.lit(False)), self._given) if "R" in self.follow.kinds else self.follow.column()))
         self._target_denied = ~(user | self.follow.column(None, self._given)) if self._hops else None
         self._saves, self._stops = self.save.column(None, self._given), self.stop.column(None, self._given)
-        self._passed = [passes(rule).alias(name) for name, rule in self._asked.values()]
-        self._last = U.normalise(F.try_element_at("redirects", F.lit(-1))) if self._hops else F.lit(None).cast("string")
         self._target = U.canonical(F.col("last_url")) if self._hops else F.lit(None).cast("string")
 
+    def _answer(self) -> None:
+        """What decisions need of all responses of a table; and how rules pass where there is no response."""
+        self._answers = kept(self.responses.select("url", *self._said()))
+        self._hops = not self._answers.filter("hops").isEmpty()
+        self._absent = {}
+        if self._passed:
+            nothing = self._answers.sparkSession.createDataFrame([(None,) * len(self.responses.columns)], StructType([StructField(f.name, f.dataType) for f in self.responses.schema]))
+            self._absent = nothing.select(*self._passed).first().asDict()
+
+    def _said(self) -> list:
+        last = U.normalise(F.try_element_at("redirects", F.lit(-1))) if self.fetch is None or self._hops else F.lit(None).cast("string")
+        return ["status", "error", "redirect_code", F.coalesce(F.size("redirects") > 0, F.lit(False)).alias("hops"), last.alias("last_url"), *self._passed]
+
     def _resolve(self, links: DataFrame) -> None:
         new = kept(with_parts(links.withColumn("original_url", U.normalise(F.col("absolute"))).filter("original_url IS NOT NULL")))
         self._resolved = new if self._resolved is None else self._resolved.unionByName(new)
@@ -191,9 +205,7 @@ class Crawl:
         return links.groupBy("url").agg(F.min_by(F.struct(*own), "order").alias("r")).select("url", "r.*")
 
     def _responses_of(self, urls: DataFrame, head: bool = False) -> DataFrame:
-        """From the table, or from the web: what comes from there is written before anything else reads it, so nothing is asked for twice. head: headers only."""
-        if self.fetch is None:
-            return self.responses
+        """From the web: what comes from there is written before anything else reads it, so nothing is asked for twice. head: headers only."""
         asked = urls.columns
         if self.url_info is not None:
             old = self.url_info.select(F.col("url").alias("old_url"), "etag", F.col("last_modified").alias("modified"), F.struct(*[c for c in self.url_info.columns if c != "links"]).alias("old"))
@@ -228,12 +240,14 @@ class Crawl:
 
     def _facts(self, urls: DataFrame, head: bool = False) -> DataFrame:
         """Of distinct urls: what their responses, and the previous run, say that a decision needs."""
-        if self.fetch is None and not self._asked and self.skip is None:  # nothing is computed of a response, so links may meet the table as it is
-            got = self.responses
-        else:
+        if self.fetch is not None:
             r = self._responses_of(urls, head).withColumnRenamed("url", "response_url")
-            got = urls.select("url").join(r, F.col("url") == F.col("response_url"), "left")
-        got = got.select("url", "status", "error", "redirect_code", F.coalesce(F.size("redirects") > 0, F.lit(False)).alias("hops"), self._last.alias("last_url"), *self._passed)
+            got = urls.select("url").join(r, F.col("url") == F.col("response_url"), "left").select("url", *self._said())
+        elif not self._asked and self.skip is None:  # links meet the table as it is
+            got = self._answers
+        else:
+            got = urls.select("url").join(self._answers.withColumnRenamed("url", "response_url"), F.col("url") == F.col("response_url"), "left").drop("response_url")
+            got = got.withColumns({"hops": F.coalesce("hops", F.lit(False))} | {name: F.coalesce(name, F.lit(x)) for name, x in self._absent.items()})
         if self.url_info is not None and self.skip is not None:
             names = [c for c in self.url_info.columns if c not in ("url", "links")]
             old = self.url_info.select(F.col("url").alias("old_url"), F.struct(*names).alias("old"))
