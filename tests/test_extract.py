@@ -121,3 +121,26 @@ def test_round_trip_of_all_pages(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     same = extract.rewrite_links(F.col("html"), F.lit("text/html"), F.create_map(F.lit("none"), F.lit("x")))
     assert p.filter(same != F.col("html")).count() == 0
+
+
+def test_documents_go_to_workers_in_batches_of_bounded_size(spark):
+    from pyspark.sql import functions as F
+
+    from weblathe.operators import extract
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    extract.mentions(F.col("html"), F.lit("text/html"))
+
+    @F.arrow_udf("long")
+    def rows_of_batch(texts):
+        import pyarrow as pa
+
+        return pa.array([len(texts)] * len(texts), pa.int64())
+
+    pages = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("html"))
+    assert pages.select(rows_of_batch("html").alias("n")).agg(F.max("n")).first()[0] <= 6
+    spark.conf.set(name, "1000000")
+    extract.mentions(F.col("html"), F.lit("text/html"))
+    assert spark.conf.get(name).removesuffix("b") == "1000000"  # what was asked for stays
+    spark.conf.unset(name)

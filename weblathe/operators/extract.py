@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblathe.functions import charsets, scanners
@@ -26,8 +26,20 @@ def register_extractor(mime: str, extractor: Callable[[str], list]) -> None:
 _FIELDS = [("pos", pa.int32()), ("len", pa.int32()), ("raw", pa.string()), ("inline", pa.bool_()), ("tag", pa.string()), ("do_not_follow", pa.bool_()), ("base", pa.string()), ("quote", pa.string())]
 
 
+#: Bytes of documents that go to a Python worker at a time, where nobody has said how many.
+BATCH = 4 << 20
+
+
+def small_batches() -> None:
+    """A worker holds a few copies of a batch, which by Spark's own limit has 64 MB."""
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", SparkSession.active()
+    if spark.conf.get(name).removesuffix("b") == str(64 << 20):
+        spark.conf.set(name, str(BATCH))
+
+
 def mentions(content: Column, mime: Column, charset: Column | None = None) -> Column:
     """array of mentions of a text, by its exact content type; empty for other types. With a charset (a label), content is bytes."""
+    small_batches()
     known = dict(_EXTRACTORS)
 
     @F.arrow_udf(f"array<{MENTION}>")
@@ -95,6 +107,7 @@ def links_of(responses: DataFrame) -> DataFrame:
 def rewrite_links(content: Column, mime: Column, new: Column) -> Column:
     """content with the raw urls that are keys of the map new replaced by its values."""
 
+    small_batches()
     known = dict(_EXTRACTORS)
 
     @F.pandas_udf("string")
@@ -106,6 +119,7 @@ def rewrite_links(content: Column, mime: Column, new: Column) -> Column:
 
 def rewrite_documents(content: Column, mime: Column, charset: Column, new: Column) -> Column:
     """Documents' bytes with the raw urls that are keys of the map new replaced by its values; every other byte stays as it was received."""
+    small_batches()
     known = dict(_EXTRACTORS)
 
     @F.arrow_udf("binary")
