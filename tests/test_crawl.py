@@ -65,6 +65,65 @@ def test_long_chains_have_no_limit(spark):
     assert len(saved(Crawl(r, links, ["+"]).run(seeds(spark, [E])))) == 32
 
 
+def in_order(crawl, *args):
+    """A crawl's rows; orders by themselves say nothing."""
+    done = crawl.run(*args)
+    log = [{k: v for k, v in x.asDict(True).items() if k != "order"} for x in done.log.orderBy("depth", "order").collect()]
+    places = {(x["depth"], x["order"]): i for i, x in enumerate(done.log.orderBy("depth", "order").collect())}
+    expanded = sorted((places[x["p_depth"], x["p_order"]], x["n"], x["url"], x["queued"], x["p_domain_depth"], x["p_original"], str(x["p_root"])) for x in crawl.expanded.collect())
+    return done.waves, log, expanded, sorted((x["url"], places.get((x["depth"], x["order"]))) for x in done.known.collect())
+
+
+REQUISITES = ["-", "+depth<=1", "+requisite"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_have_the_rows_of_waves(spark, monkeypatch, seed):
+    """Chains that meet, meet known pages, change hosts, end in errors and close circles."""
+    at = random.Random(seed)
+    pages = [f"http://{at.choice('ab')}.org/{i}" for i in range(40)]
+    rows = [(p, n, at.choice(pages) + at.choice(["", "#x"]), False, "a.href", at.random() < 0.1, None) for p in pages for n in (0, 3)]
+    for i, p in enumerate(pages):
+        to = at.choice(pages) if at.random() < 0.2 else pages[(i + 1) % 40]
+        rows += [(p, n, to, True, "img.src", False, None) for n in (at.choice([1, 4]), 5)]
+    rows += [(pages[0], 10 + n, x, False, "a.href", False, None) for n, x in enumerate(at.sample(pages, 5))]
+    r = spark.createDataFrame([(p, 404 if at.random() < 0.04 else 200, {}, b"x", [], None) for p in pages[:38]], RESPONSES)
+    links = spark.createDataFrame(rows, LINKS)
+    start, known = seeds(spark, [pages[0], pages[1]]), spark.createDataFrame([(pages[2],)], "url string")
+    used, whole = [], Crawl._chained
+    monkeypatch.setattr(Crawl, "_chained", lambda self, *a: used.append(whole(self, *a)) or used[-1])
+    if seed == 1:  # orders are ranked where they would grow too large
+        monkeypatch.setattr(crawl_module, "MOST", 40)
+    got = in_order(Crawl(r, links, REQUISITES), start, known)
+    assert used and all(x is not None for x in used)
+    monkeypatch.setattr(Crawl, "_settled", lambda self: None)
+    assert got == in_order(Crawl(r, links, REQUISITES), start, known)
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    r, links = web(spark, {f"p{i}": [(f"p{i + 1}", True, False), "p7"] for i in range(150)} | {"": ["p0"]})
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("chain", "a chain")
+    done = Crawl(r, links, REQUISITES).run(seeds(spark, [E]))
+    depths = {x["url"].removeprefix(E): x["depth"] for x in done.saved.collect()}
+    jobs = len(tracker.getJobIdsForGroup("chain"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert depths == {"": 0} | {f"p{i}": i + 1 for i in range(151)} and done.waves == 152
+    assert jobs < 250  # in waves they are more than ten for each page
+
+
+def test_branches_and_unsaved_pages_go_in_waves(spark, monkeypatch):
+    """What isn't a chain isn't taken for one: two requisites of a page, pages that aren't saved, pages that end the way, hosts' depths."""
+    monkeypatch.setattr(Crawl, "_chained", lambda self, *a, whole=Crawl._chained: whole(self, *a) and pytest.fail("no chain"))
+    chain = {"": ["a"], "a": [("b", True, False)], "b": [("c", True, False)], "c": [("d", True, False)], "d": []}
+    start = seeds(spark, [E])
+    two = chain | {"c": [("d", True, False), ("e", True, False)], "e": []}
+    assert saved(Crawl(*web(spark, two), REQUISITES).run(start)) == ["", "a", "b", "c", "d", "e"]
+    assert saved(Crawl(*web(spark, chain), REQUISITES, ["+", "-path=/d"]).run(start)) == ["", "a", "b", "c"]
+    assert saved(Crawl(*web(spark, chain), REQUISITES, stop=["-", "+path=/c"]).run(start)) == ["", "a", "b", "c"]
+    assert saved(Crawl(*web(spark, chain), [*REQUISITES, "-domain-depth>2"]).run(start)) == ["", "a", "b"]
+
+
 def test_response_rules_and_many_links_to_a_url(spark):
     """A rule about responses is decided once a url; the first of many links to it is the one that is saved."""
     r, links = web(spark, {"": ["a", "b", "big"], "a": ["big", "small"], "b": ["small", "big", ""]})

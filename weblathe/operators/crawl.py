@@ -12,6 +12,9 @@ once, before the first wave, so bodies are read once in a crawl, and never go th
 Every wave writes its links' fate, the urls that it made known, and what it leads to, before the next one reads them. Known urls are compared with
 each wave's links; in buckets, they stay where they are and only the links move. A graph in which no page is saved may have no end: a wave that saves nothing
 and meets no new url ends it with an error, unless rules about depth will end it.
+
+Where rules let at most one url of each page be followed, from some depth on, the rest of the crawl goes along chains, and as many waves as the longest has pages
+would follow. They are found at once, by doubling pointers (`chains`), and their rows are those that the waves would have had.
 """
 
 from __future__ import annotations
@@ -24,16 +27,23 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from weblathe.functions import text as T
 from weblathe.functions import weburl as U
+from weblathe.operators.chains import first_along
 from weblathe.operators.known import Known
 from weblathe.operators.mirror import unchanged
 from weblathe.operators.store import folder, keep, kept
-from weblathe.plans.rules import FOLLOW, SAVE, STOP, RuleList, passes
+from weblathe.plans.rules import FOLLOW, SAVE, STOP, TESTS, RuleList, passes
 
 #: Orders are below this; a wave whose links would pass it ranks the pages of the wave before anew.
 MOST = 1 << 62
 #: Tests of responses that headers are enough for.
 HEADERS_ONLY = {"size", "content-type"}
+#: Tests that say the same of a link however its page was reached, once its depth is past what rules name; `requisite` does if every page is saved.
+FIXED = {
+    name: TESTS[name]
+    for name in ("", "depth", "same-domain", "path-level", "path-distance", "url", "protocol", "domain", "port", "path", "filename", "extension", "querystring", "fragment", "robots", "tag", "requisite")
+}
 PARTS = ["url", "scheme", "netloc", "port", "path", "params", "query", "fragment", "is_https"]
 #: status of a link in the log, and what becomes of it.
 STATUSES = ("no-download", "duplicate", "rule-deny", "connect-error", "redirect-error", "redirect", "http-error", "not-modified", "success", "not-expired")
@@ -121,6 +131,7 @@ class Crawl:
         self._prepare()
         table = Known(spark, place, before, self.buckets)
         frontier, seen, waves = start, table.rows() if self.buckets else before, 0
+        settled, saved, chained = self._settled(), None, None
         while True:
             if self.max_waves is not None and waves >= self.max_waves:
                 raise CrawlError(f"not done after {self.max_waves} waves")
@@ -139,17 +150,80 @@ class Crawl:
             size = queue.get or links.filter("queued").agg(F.max("p_order").alias("pages"), F.max("n").alias("places")).first()
             if (self.max_depth is not None and waves >= self.max_depth) or size["pages"] is None:
                 break
+            if settled is not None and waves >= settled:
+                pages, saved = saved, firsts.filter("own").count()
+                if pages is not None:  # the graph is looked at once, and only if this wave didn't branch
+                    chained = self._chained(waves, decided, links.filter("queued"), seen, size["pages"]) if saved <= pages else None
+                    settled = None
+            if chained is not None:
+                break
             frontier = _frontier(links.filter("queued"), size["pages"], size["places"])
             self._progress(log, firsts, waves)
             waves += 1
         log, self.expanded = (waves_of(df, f"{place}/{name}") for df, name in ((log, "log"), (links, "links")))
         firsts = table.waves()
+        if chained is not None:
+            log, self.expanded, firsts = (x.unionByName(more) for x, more in zip((log, self.expanded, firsts), chained))
+            seen, waves = seen.unionByName(chained[2].select("url", "depth", "order")), chained[0].agg(F.max("wave")).first()[0]
         totals = self.expanded.groupBy(F.col("p_depth").alias("depth"), F.col("p_order").alias("order")).agg(F.count(F.lit(1)).alias("links_total"), F.count_if("queued").alias("links_followed"))
         done = self._decided(log, firsts).join(totals, ["depth", "order"], "left").na.fill(0, ["links_total", "links_followed"])
         moved = log.filter("status = 'redirect'").groupBy("url").agg(F.max_by(F.struct(F.coalesce("redirect_code", F.lit(302)).alias("code"), "target_url"), F.struct("depth", "order")).alias("r"))
         first = seen.groupBy("url").agg(F.min(F.struct("depth", "order")).alias("k")).select("url", "k.depth", "k.order")
         return Crawled(done.drop("wave", "redirect_code", "target_url"), first, waves + 1, moved.select("url", "r.code", "r.target_url"))
 
+    def _settled(self) -> float | None:
+        """The depth past which rules decide on a link in the same way however its page was reached. None if there is none, or if waves have to come one by one."""
+        rules = [r for x in (self.follow, self.save, self.stop) for r in x.rules]
+        if self.fetch is not None or self._hops or self.url_info is not None or any(x is not None for x in (self.on_wave, self.max_waves, self.max_depth)):
+            return None
+        if any(r.test.kind != "R" and FIXED.get(r.test.name) is not r.test for r in rules):
+            return None
+        return max([0, *(T.number(r.value) or 0 for r in rules if r.test.name == "depth" and r.op)])
+
+    def _ways(self, depth: int) -> DataFrame | None:
+        """Of each page, the first link that is followed at this depth and deeper: from_url, n, url, original_url, netloc, path. None if a page has links to several
+        urls that are, or if one of them isn't saved or ends the way."""
+        of = {"url": F.col("from_url"), "original": F.col("from_url"), "netloc": U.netloc(F.col("from_url")), "path": U.path(F.col("from_url"))}
+        root = F.lit(None).cast("struct<url:string,netloc:string,path:string>")
+        numbers = {"p_order": F.lit(0).cast("long"), "p_depth": F.lit(depth - 1), "p_domain_depth": F.lit(0), "p_root": root}
+        every = _frontier(self._resolved.filter("from_url IS NOT NULL").withColumns({f"p_{k}": v for k, v in of.items()} | numbers), 0, 0)
+        fate = self._fate(every.withColumns({"is_known": F.lit(None).cast("boolean"), "prev_encountered": F.lit(True)})).filter(F.col("status").isin(*OPEN))
+        link = F.struct((F.col("order") / 2).cast("long").alias("n"), "url", "original_url", "netloc", "path")
+        fork = (F.min("url") != F.max("url")) | F.bool_or(~F.col("may_save")) | F.bool_or("stops")
+        ways = kept(fate.groupBy(F.col("prev.url").alias("from_url")).agg(F.min(link).alias("l"), fork.alias("fork")).select("from_url", "l.*", "fork"))
+        return ways.drop("fork") if ways.filter("fork").isEmpty() else None
+
+    def _chained(self, wave: int, decided: DataFrame, queued: DataFrame, seen: DataFrame, pages: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+        """What all waves after this one write (log, links, firsts), where the rest of the crawl goes along chains; else None. A page of a chain has the order of the chain's
+        first page, on this wave, before its link's place."""
+        ways = self._ways(wave + 1)
+        if ways is None:
+            return None
+        width = 2 * (self._resolved.agg(F.max("n")).first()[0] + 1)
+        heads = decided.filter("expanded").select("url", F.col("order").alias("r"), "domain_depth", "root")
+        if (pages + 1) * width >= MOST:
+            ranks = ranked(heads.select(F.col("r").alias("order"))).withColumnRenamed("order", "r")
+            heads = heads.join(ranks, "r").withColumn("r", F.col("rank")).drop("rank")
+            queued = queued.join(ranks.withColumnRenamed("r", "p_order"), "p_order").withColumn("p_order", F.col("rank")).drop("rank")
+        heads = kept(heads)
+        ids = kept(ways.select(F.explode(F.array("from_url", "url")).alias("url")).distinct().withColumn("id", F.monotonically_increasing_id()))
+        at, to = ids.select(F.col("url").alias("from_url"), F.col("id").alias("at")), ids.withColumnRenamed("id", "to")
+        ways = ways.join(seen.select("url").distinct(), "url", "left_anti").join(at, "from_url").join(to, "url")
+        ways = kept(ways.withColumn("since", F.when(F.col("netloc") != U.netloc(F.col("from_url")), 0)))
+        starts = heads.join(at, F.col("url") == F.col("from_url")).select("at", "r", F.col("domain_depth").alias("run"))
+        found = first_along(ways.select("at", "to", "since"), starts).filter("t > 0").drop("at")
+        order, depth = (F.col("r") * width + 2 * F.col("n")).alias("order"), (F.col("t") + wave).cast("int").alias("depth")
+        met = found.join(ways.withColumnRenamed("at", "via").drop("to", "since"), "via").join(heads.select("r", "root"), "r")
+        met = kept(met.select("url", "original_url", "netloc", "path", order, depth, F.col("run").alias("domain_depth"), "root", F.lit("success").alias("status"), F.lit(True).alias("expanded")))
+        firsts = met.select("url", F.lit(True).alias("own"), "depth", "order", F.col("depth").alias("wave"))
+        known = seen.unionByName(firsts.select("url", "depth", "order"))
+        links = kept(self._expand(met, known).withColumn("wave", F.col("p_depth")))
+        later = links.filter("queued").withColumn("p_order", F.expr(f"p_order DIV {width}"))
+        frontier = _frontier(queued.unionByName(later), 0, width // 2 - 1)
+        before = known.select("url", F.col("depth").alias("k_depth"))
+        f = frontier.join(before, "url", "left").withColumns({"is_known": F.when(F.col("k_depth") < F.col("depth"), True), "prev_encountered": F.lit(True)}).drop("k_depth")
+        return kept(self._fate(f).withColumn("wave", F.col("depth"))), links, firsts
+
     def _prepare(self) -> None:
         self._asked_for = 0  # tables of responses so far
         about = {r.test.name for r in self.follow.rules if r.test.kind == "R"}
@@ -265,6 +339,10 @@ class Crawl:
             f = f.withColumn("prev_encountered", F.coalesce("prev_encountered", F.lit(False)))
         else:
             f = f.withColumn("prev_encountered", F.lit(False))
+        return self._fate(f, known)
+
+    def _fate(self, f: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """What becomes of links, of which is_known and prev_encountered are told. known: only asked where responses redirect."""
         early = F.when(F.col("do_not_follow"), "no-download").when(F.col("is_known"), "duplicate")
         if "R" not in self.follow.kinds:  # decided before anything is requested
             early = F.coalesce(early, F.when(self._denied, "rule-deny"))
